@@ -173,27 +173,15 @@ def groups(digests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return repeats, grouped, marked.where("not repeat").drop("repeat")
 
 
-#: Rows from which a group of copies is joined by broadcast; at most records / this many such groups exist, kept under HOT_GROUPS.
-HOT_ROWS, HOT_GROUPS = 5000, 10_000
-
-
 def copies(digests: DataFrame) -> DataFrame:
     """(record_set, keep, copy) for each record that has an equal one with a smaller id.
 
-    Groups of more than ``HOT_ROWS`` records (or a ten-thousandth of the repeats, if
-    that is more, so at most 10,000 groups) are joined by broadcast: their rows
-    stay where they are. The others share an ordinary shuffle join.
-    Null contents have no copies; repeated (id, content) rows give keep = copy never, as
-    a record isn't its own copy.
+    Null contents have no copies. A group of any size is met by ``common.attach``:
+    no task holds a whole large group.
     """
     repeats, grouped, _ = groups(digests)
-    grouped = stored(grouped.where("copies > 1"), "groups")
-    least = max(HOT_ROWS, repeats.count() // HOT_GROUPS)
-    hot, rest = grouped.where(F.col("copies") > least), grouped.where(F.col("copies") <= least)
-    by = ["record_set", "digest"]
-    of_hot = repeats.join(F.broadcast(hot), by)
-    of_rest = repeats.join(F.broadcast(hot), by, "left_anti").join(rest, by)
-    return of_hot.unionByName(of_rest).where("id > keep").select("record_set", "keep", F.col("id").alias("copy"))
+    found = common.attach(repeats, stored(grouped.where("copies > 1"), "groups"), ["record_set", "digest"], "copies")
+    return found.where("id > keep").select("record_set", "keep", F.col("id").alias("copy"))
 
 
 def prompt_digests(inventory: DataFrame, id_col: str = "record_no", text_col: str = "canonical_prompt") -> DataFrame:

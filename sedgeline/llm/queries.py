@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedgeline.llm import copies, tokens
+from sedgeline.llm import copies, splits, tokens
 from sedgeline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,3 +48,39 @@ def p7_spans(spark, d):
 @query
 def p7_decoded(spark, d):
     return tokens.decode(tokens.encode(table(spark, d, "documents")))
+
+
+# Problem 1
+
+
+@query
+def p1_found(spark, d):
+    return splits.torn(table(spark, d, "training_rows"), table(spark, d, "build_membership"))
+
+
+@query
+def p1_splits(spark, d):
+    return splits.assign(table(spark, d, "training_rows"), table(spark, d, "build_membership"), table(spark, d, "split_plan"))
+
+
+@query
+def p1_shares(spark, d):
+    rows, plan = table(spark, d, "training_rows"), table(spark, d, "split_plan")
+    return splits.shares(rows, splits.assign(rows, table(spark, d, "build_membership"), plan), plan)
+
+
+ORACLE_SQL["p1_found"] = """
+WITH RECURSIVE
+rows_ AS (SELECT DISTINCT regexp_extract(lower(row_id), '[0-9a-f]{64}') AS row_id,
+                 regexp_extract(lower(family_id), '[0-9a-f]{64}') AS family,
+                 regexp_extract(lower(duplicate_of), '[0-9a-f]{64}') AS dup FROM training_rows),
+edge AS (SELECT DISTINCT a.family AS a, b.family AS b FROM rows_ a JOIN rows_ b ON a.dup = b.row_id WHERE a.family <> b.family),
+both_ AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+reach(a, b) AS (SELECT a, b FROM both_ UNION SELECT r.a, e.b FROM reach r JOIN both_ e ON r.b = e.a),
+tied AS (SELECT family AS a, family AS b FROM rows_ UNION SELECT a, b FROM reach),
+mem AS (SELECT DISTINCT m.build_name, r.family, lower(trim(m.membership)) = 'evaluation' AS ev
+        FROM build_membership m JOIN rows_ r ON regexp_extract(lower(m.row_id), '[0-9a-f]{64}') = r.row_id),
+state AS (SELECT m.build_name, t.a AS family, bool_or(m.ev) AS e, bool_or(NOT m.ev) AS o FROM mem m JOIN tied t ON t.b = m.family GROUP BY ALL)
+SELECT s.build_name, 'sha256:' || s.family AS family_id FROM state s
+WHERE s.e AND s.o AND EXISTS (SELECT 1 FROM mem m WHERE m.build_name = s.build_name AND m.family = s.family)
+"""
