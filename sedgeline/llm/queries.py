@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedgeline.llm import copies, splits, tokens
+from sedgeline.llm import copies, neardup, splits, tokens
 from sedgeline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,3 +84,16 @@ state AS (SELECT m.build_name, t.a AS family, bool_or(m.ev) AS e, bool_or(NOT m.
 SELECT s.build_name, 'sha256:' || s.family AS family_id FROM state s
 WHERE s.e AND s.o AND EXISTS (SELECT 1 FROM mem m WHERE m.build_name = s.build_name AND m.family = s.family)
 """
+
+
+# Problem 6
+
+
+@query
+def p6_found(spark, d):
+    return neardup.found(table(spark, d, "inventory"))
+
+
+@query
+def p6_groups(spark, d):
+    return neardup.grouped(table(spark, d, "inventory"))

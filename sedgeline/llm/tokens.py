@@ -106,7 +106,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         for batch in batches:
             parts, lengths = [], []
             for texts in _pieces(batch.column(1).to_pylist()):
-                for e in t.encode_batch(texts, add_special_tokens=False):
+                for e in t.encode_batch_fast(texts, add_special_tokens=False):
                     ids = e.ids
                     lengths.append(len(ids))
                     parts.append(np.array(ids, dtype=np.int32))
