@@ -99,30 +99,27 @@ def blocks_of(df: DataFrame, keys: list[str], block: int = BLOCK) -> DataFrame:
     )
 
 
-def member_pairs(nodes: DataFrame, members: DataFrame, left: str, right: str, node: str, member: str, block: int = BLOCK) -> DataFrame:
+def member_pairs(nodes: DataFrame, members: DataFrame, left: str, right: str, node: str, member: str, right_members: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """Rows (a, b) of all members of the left node with all of the right one.
 
-    nodes: distinct pairs (left, right); members: (node, member). A node with more
+    nodes: distinct pairs (left, right); members: (node, member), of the right node
+    right_members where given. A node with more
     than ``block`` members is cut into blocks, and each pair of blocks is a join
     key of its own, so that no task holds more than block x block results of a pair.
     """
-    hot = blocks_of(members, [node], block)
-    cut = (
-        members.join(hot, node, "left")
-        .select(node, member, F.coalesce("nb", F.lit(1)).alias("nb"))
-        .withColumn("blk", F.pmod(F.xxhash64(member), F.col("nb")).cast("int"))
-    )
-    sized = hot.select(F.col(node).alias("hot"), "nb")
     spread = nodes
-    for side in (left, right):
+    for side, table, name in ((left, members, "a"), (right, members if right_members is None else right_members, "b")):
+        hot = blocks_of(table, [node], block)
         spread = (
-            spread.join(sized, spread[side] == sized["hot"], "left")
+            spread.join(hot.select(F.col(node).alias(side), "nb"), side, "left")
             .withColumn(f"{side}_blk", F.explode(F.sequence(F.lit(0), F.coalesce("nb", F.lit(1)) - 1)))
-            .drop("hot", "nb")
+            .drop("nb")
+        )
+        cut = table.join(hot, node, "left").select(
+            F.col(node).alias(side), F.pmod(F.xxhash64(member), F.coalesce("nb", F.lit(1))).cast("int").alias(f"{side}_blk"), F.col(member).alias(name)
         )
-    a = cut.select(F.col(node).alias(left), F.col("blk").alias(f"{left}_blk"), F.col(member).alias("a"))
-    b = cut.select(F.col(node).alias(right), F.col("blk").alias(f"{right}_blk"), F.col(member).alias("b"))
-    return spread.join(a, [left, f"{left}_blk"]).join(b, [right, f"{right}_blk"])
+        spread = spread.join(cut, [side, f"{side}_blk"])
+    return spread
 
 
 #: Rows from which a group is joined by broadcast, and the most such groups.

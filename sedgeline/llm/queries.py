@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedgeline.llm import copies, neardup, splits, tokens
+from sedgeline.llm import copies, leaks, neardup, splits, tokens
 from sedgeline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +97,21 @@ def p6_found(spark, d):
 @query
 def p6_groups(spark, d):
     return neardup.grouped(table(spark, d, "inventory"))
+
+
+# Problem 3
+
+
+@query
+def p3_found(spark, d):
+    return leaks.found(table(spark, d, "inventory"), table(spark, d, "training_rows"), table(spark, d, "source_records"))
+
+
+@query
+def p3_fractions(spark, d):
+    return leaks.overlap_fractions(table(spark, d, "inventory"))
+
+
+@query
+def p3_report(spark, d):
+    return leaks.report(table(spark, d, "inventory"))
