@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedgeline.llm import copies, leaks, neardup, splits, tokens
+from sedgeline.llm import copies, leaks, mixing, neardup, sampling, splits, tokens
 from sedgeline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,3 +115,68 @@ def p3_fractions(spark, d):
 @query
 def p3_report(spark, d):
     return leaks.report(table(spark, d, "inventory"))
+
+
+# Problem 4
+
+
+def _mix(spark, d):
+    return table(spark, d, "mix_plan"), table(spark, d, "inventory"), table(spark, d, "sources")
+
+
+@query
+def p4_found(spark, d):
+    return mixing.found(*_mix(spark, d))
+
+
+@query
+def p4_mix(spark, d):
+    return mixing.draw(*_mix(spark, d))
+
+
+@query
+def p4_shares(spark, d):
+    return mixing.shares(*_mix(spark, d))
+
+
+ORACLE_SQL["p4_found"] = """
+SELECT m.mix_name, lower(trim(m.dataset)) AS dataset FROM mix_plan m
+LEFT JOIN (SELECT lower(trim(s.dataset)) AS dataset, s.license_class, sum(length(i.canonical_prompt)) AS chars
+           FROM sources s JOIN inventory i ON i.source_id = s.id GROUP BY ALL) x
+  ON x.dataset = lower(trim(m.dataset)) AND x.license_class IS NOT DISTINCT FROM m.license_class
+WHERE m.target_share * m.mix_chars > m.max_repeats * coalesce(x.chars, 0)
+"""
+
+
+# Problem 5
+
+
+def _sample(spark, d):
+    return table(spark, d, "sample_plan"), table(spark, d, "balanced_tutoring_v8"), table(spark, d, "inventory")
+
+
+@query
+def p5_found(spark, d):
+    return sampling.found(*_sample(spark, d))
+
+
+@query
+def p5_sample(spark, d):
+    return sampling.draw(*_sample(spark, d))
+
+
+@query
+def p5_gaps(spark, d):
+    return sampling.gaps(*_sample(spark, d))
+
+
+ORACLE_SQL["p5_found"] = """
+WITH inv AS (
+  SELECT CASE WHEN s IN ('math', 'maths', 'mathematics') THEN 'math' WHEN s IN ('earth_science', 'earth_sciences') THEN 'earth_science' ELSE s END AS subject, b AS behavior, count(*) AS n
+  FROM (SELECT regexp_replace(lower(trim(subject)), '[\\s_-]+', '_', 'g') AS s, unnest(list_distinct(eligible_behaviors)) AS b FROM inventory)
+  WHERE s IS NOT NULL GROUP BY ALL)
+SELECT p.sample_name, p.subject, p.behavior FROM sample_plan p
+LEFT JOIN balanced_tutoring_v8 c ON c.subject = p.subject AND c.behavior = p.behavior
+LEFT JOIN inv ON inv.subject = p.subject AND inv.behavior = p.behavior
+WHERE coalesce(inv.n, 0) < greatest(coalesce(c.minimum_examples, 0), coalesce(p.target_share, 0) * p.sample_size)
+"""
