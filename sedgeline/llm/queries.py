@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedgeline.llm import copies, leaks, mixing, neardup, sampling, splits, tokens
+from sedgeline.llm import copies, leakage, leaks, mixing, neardup, sampling, splits, tokens
 from sedgeline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -180,3 +180,21 @@ LEFT JOIN balanced_tutoring_v8 c ON c.subject = p.subject AND c.behavior = p.beh
 LEFT JOIN inv ON inv.subject = p.subject AND inv.behavior = p.behavior
 WHERE coalesce(inv.n, 0) < greatest(coalesce(c.minimum_examples, 0), coalesce(p.target_share, 0) * p.sample_size)
 """
+
+
+# Problem 8
+
+
+@query
+def p8_found(spark, d):
+    return leakage.found(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query
+def p8_leaks(spark, d):
+    return leakage.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query
+def p8_items(spark, d):
+    return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
