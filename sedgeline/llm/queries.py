@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sedgeline.llm import copies, leakage, leaks, mixing, neardup, sampling, splits, tokens
+from sedgeline.llm import copies, languages, leakage, leaks, mixing, neardup, sampling, splits, tokens
 from sedgeline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -198,3 +198,21 @@ def p8_leaks(spark, d):
 @query
 def p8_items(spark, d):
     return leakage.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+# Problem 9
+
+
+@query
+def p9_found(spark, d):
+    return languages.found(table(spark, d, "documents"))
+
+
+@query
+def p9_segments(spark, d):
+    return languages.segments(table(spark, d, "documents"))
+
+
+@query
+def p9_languages(spark, d):
+    return languages.identified(table(spark, d, "documents"))
