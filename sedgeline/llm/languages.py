@@ -3,8 +3,8 @@
 Hierarchical discrimination: linear support vector machines over character
 sequences first tell the language family of a sentence, then, one against one, the
 languages within it. They are fitted on a bounded sample of labelled documents,
-twice: sentences on which the first fit contradicts their document's label are left
-out of the second. Everything else covers all documents and whole texts.
+without sentences whose function words contradict the label, and twice: sentences on which the first
+fit contradicts it are left out of the second. Everything else covers all documents and whole texts.
 """
 
 from __future__ import annotations
@@ -35,12 +35,12 @@ NAMES = {
 # Frequent function words, so that every language is known to any fit.
 FUNCTION_WORDS = {
     "am": "እና ነው ላይ ውስጥ ግን ከ ወደ ይህ አንድ ነበር ስለ እንደ ጋር ሁሉ ምን",
-    "de": "der die das und ist nicht ein eine mit auf für den von zu sich auch wird noch",
-    "en": "the of and to in is that it for was with as on are this by from not which",
-    "es": "el la los las de que y en un una por con no para es se del al como más",
-    "fr": "le la les des et est une un dans pour que qui pas sur avec au du ce plus par",
-    "pt": "o a os as de que e em um uma por com não para é se do da no na ao mais",
-    "sw": "na ya wa kwa ni katika la za kuwa hii kama lakini yake cha vya huo hiyo sana",
+    "de": "der die das und ist nicht ein eine mit auf für den von zu sich auch wird noch dem im wenn nur",
+    "en": "the of and to in is that it for was with as on are this by from not which a an at its what how",
+    "es": "el la los las de que y en un una por con no para es se del al como más lo su hay pero",
+    "fr": "le la les des et est une un dans pour que qui pas sur avec au du ce plus par ne de en il",
+    "pt": "o a os as de que e em um uma por com não para é se do da no na ao mais dos sua mas",
+    "sw": "na ya wa kwa ni katika la za kuwa hii kama lakini yake cha vya huo hiyo sana hata tu ili kisha",
 }
 #: The sample: documents a language, sentences a document, characters a sentence.
 SAMPLE_DOCUMENTS, SAMPLE_SENTENCES, SAMPLE_CHARACTERS = 200, 4, 400
@@ -48,8 +48,9 @@ SAMPLE_DOCUMENTS, SAMPLE_SENTENCES, SAMPLE_CHARACTERS = 200, 4, 400
 FEATURES, LENGTHS, STEPS, PENALTY = 1 << 13, (2, 3, 4), 60, 1e-4
 #: A sentence has this many words at least. A text holds a second language if some
 #: sentence of it has this many words and this confidence.
-LEAST_WORDS, SECOND_WORDS, SECOND_CONFIDENCE, LONG_LINE = 3, 4, 0.9, 8
+LEAST_WORDS, SECOND_WORDS, SECOND_CONFIDENCE, UNSEEN, LONG_LINE = 3, 4, 0.8, 0.05, 8
 
+_FUNCTION = {code: frozenset(words.split()) for code, words in FUNCTION_WORDS.items()}
 _MARKUP = re.compile(r"<<[^<>\n]*>>|</?[A-Za-z][^<>\n]{0,200}>|&#?\w{1,10};|https?://\S+|\\[A-Za-z]+|`[^`\n]*`")
 _MARKS = ".!?…؟።፧፨"
 _END = re.compile(r"[.!?…؟]+[\"'”’»)\]]*(?=\s|\Z)|[።፧፨]+|[\n\r\u2028\u2029]+")
@@ -109,10 +110,24 @@ def _machines() -> list[tuple[tuple[str, ...], tuple[str, ...]]]:
     return out + [((a,), (b,)) for own in FAMILIES.values() for i, a in enumerate(own) for b in own[i + 1 :]]
 
 
+def plausible(text: str, label: str) -> bool:
+    """Whether nothing in the script and function words of a sentence speaks clearly for another language."""
+    letters = text.replace(" ", "")
+    if 2 * sum("\u1200" <= c <= "\u139f" for c in letters) > len(letters):
+        return label == "am"
+    score = dict.fromkeys(LANGUAGES, 0.0)
+    for w in text.split():
+        of = [c for c in LANGUAGES if w in _FUNCTION[c]]
+        for c in of:
+            score[c] += 1 / len(of)
+    return label != "am" and (max(score.values()) < 1 or score[label] > 0.5 * max(score.values()))
+
+
 class Model:
     """Weights (features x machines), biases, and the temperature of the confidences."""
 
     def __init__(self, texts: list[str], labels: list[str]):
+        texts, labels = [list(x) for x in zip(*[(t, y) for t, y in zip(texts, labels) if plausible(t, y)])] or [[], []]
         seeds = [(" ".join(w[k::3] + w[::2]), code) for code, w in ((c, x.split()) for c, x in FUNCTION_WORDS.items()) for k in range(3)]
         plain = [(_plain(t), y) for t, y in zip(texts, labels) if _plain(t) != t][::2]
         texts, labels = map(list, zip(*[*zip(texts, labels), *plain, *seeds]))
@@ -234,15 +249,20 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
 
 
 def decide(p: np.ndarray, words: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    """The language of each sentence of one text: its own where it is sure of one, else, with
-    the text as a whole as a prior, the likelier of those that some sentence is sure of."""
-    best, sure = p.argmax(1), whole & (p.max(1) >= SECOND_CONFIDENCE) & (words >= SECOND_WORDS)
-    main = int((p * words[:, None]).sum(0).argmax())
+    """The language of each sentence of one text, the text as a whole being a prior.
+
+    A language's prior is its part of the text's words and UNSEEN. The text has its main
+    language and those that some whole sentence, with the prior, has with
+    SECOND_CONFIDENCE; other sentences go to the likeliest of these.
+    """
+    part = np.bincount(p.argmax(1), weights=words, minlength=p.shape[1]) / words.sum()
+    q = p * (part + UNSEEN)
+    q /= q.sum(1, keepdims=True)
+    best, sure = q.argmax(1), whole & (q.max(1) >= SECOND_CONFIDENCE) & (words >= SECOND_WORDS)
     allowed = np.zeros(p.shape[1], bool)
-    allowed[main] = True
+    allowed[int((p * words[:, None]).sum(0).argmax())] = True
     allowed[best[sure]] = True
-    prior = np.where(allowed, (p * words[:, None]).sum(0), 0) + np.where(allowed, 1e-3, 0)
-    return np.where(sure, best, (p * prior).argmax(1))
+    return np.where(allowed, q, 0).argmax(1)
 
 
 def _per_text(df: DataFrame, model: Model, id_col: str, text_col: str, extra: str | None, row, schema: str) -> DataFrame:
