@@ -251,12 +251,13 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
 def decide(p: np.ndarray, words: np.ndarray, whole: np.ndarray) -> np.ndarray:
     """The language of each sentence of one text, the text as a whole being a prior.
 
-    A language's prior is its part of the text's words and UNSEEN. The text has its main
+    A language's prior is its part of the words of the other sentences and UNSEEN. The text has its main
     language and those that some whole sentence, with the prior, has with
     SECOND_CONFIDENCE; other sentences go to the likeliest of these.
     """
-    part = np.bincount(p.argmax(1), weights=words, minlength=p.shape[1]) / words.sum()
-    q = p * (part + UNSEEN)
+    own = np.zeros_like(p)
+    own[np.arange(len(p)), p.argmax(1)] = words
+    q = p * ((own.sum(0) - own) / words.sum() + UNSEEN)
     q /= q.sum(1, keepdims=True)
     best, sure = q.argmax(1), whole & (q.max(1) >= SECOND_CONFIDENCE) & (words >= SECOND_WORDS)
     allowed = np.zeros(p.shape[1], bool)
