@@ -18,15 +18,13 @@ def decided(inventory: DataFrame, sources: DataFrame, decisions: DataFrame | Non
     s = F.broadcast(sources.select(F.col("id").alias("source_id"), F.struct("allowed_use", "revision", "imported_split", "license_class").alias("_s")).dropDuplicates(["source_id"]))
     of = inventory.join(s, "source_id", "left")
     unknown = F.col("_s").isNull()
-    if strict:
-        error = F.raise_error(F.concat(F.lit("inventory references unknown source "), F.coalesce("source_id", F.lit("null"))))
-        of = of.withColumn("_s", F.when(unknown, F.from_json(error, "allowed_use boolean, revision string, imported_split string, license_class string")).otherwise(F.col("_s")))
+    error = F.concat(F.lit("inventory references unknown source "), F.coalesce("source_id", F.lit("null")))
     if decisions is not None:
         of = of.join(decisions.select(key, F.col("reasons").alias("_firewall")), key, "left")
     differs = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
     gates = F.array_compact(
         F.array(
-            F.when(unknown, "unknown_source"),
+            F.when(unknown, F.raise_error(error).cast("string") if strict else F.lit("unknown_source")),
             F.when(~F.coalesce("_s.allowed_use", F.lit(False)) & ~unknown, "source_not_approved"),
             F.when((F.coalesce("_s.revision", F.lit("")) == "") & ~unknown, "revision_not_pinned"),
             F.when(differs("source_split", "_s.imported_split") & ~unknown, "split_mismatch"),

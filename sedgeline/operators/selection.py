@@ -36,10 +36,12 @@ def family_cap(df: DataFrame, family: list[str], order: list[Column], most: int
 def representatives(df: DataFrame, by: list[str], key: str, order: list[Column]) -> DataFrame:
     """The rows with ``retained``, the key of their group's best row, and ``is_duplicate``.
 
-    The best row is an aggregate, not a window: a group's rows never meet in a task.
+    The best row is a rank of at most 1, of which every partition keeps one row a group
+    before the shuffle: a large group never meets in a task. Rows with a null in ``by`` are a
+    group of nulls for the best row and are joined to none.
     """
-    best = df.groupBy(*by).agg(F.min(F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.col(key).alias("k"))).alias("b"))
-    return df.join(best, by, "left").select(df["*"], F.col("b.k").alias("retained")).withColumn("is_duplicate", F.col(key) != F.col("retained"))
+    best = top_per_group(df, by, order, 1).select(*by, F.col(key).alias("retained"))
+    return df.join(best, by, "left").withColumn("is_duplicate", F.col(key) != F.col("retained"))
 
 
 def share_caps(df: DataFrame, cell: list[str], value: str, cap: float) -> DataFrame:
