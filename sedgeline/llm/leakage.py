@@ -28,7 +28,7 @@ PASSAGE, STEP, ITEM_PASSAGE, ITEM_STEP = 24, 12, 12, 4
 #: Least cosine of a candidate, and the successive words that make a leak.
 COSINE, RUN = 0.45, 12
 #: A paraphrase: cosine, part of the item's words in a common subsequence, part of its numbers.
-PARAPHRASE_COSINE, PARAPHRASE_LCS, PARAPHRASE_NUMBERS = 0.75, 0.6, 0.5
+PARAPHRASE_COSINE, PARAPHRASE_LCS, PARAPHRASE_NUMBERS = 0.6, 0.6, 0.5
 #: Words of the items held at once; a larger set of items is searched in blocks.
 BLOCK_WORDS = 500_000
 SEED = 20260101
