@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedgeline import vocab
+from sedgeline.operators.selection import one_row
 
 
 def decided(inventory: DataFrame, sources: DataFrame, decisions: DataFrame | None = None, key: str = "record_no", strict: bool = True) -> DataFrame:
@@ -71,7 +72,7 @@ def summary(decided_: DataFrame, sources: DataFrame, minimum: int = vocab.CELL_M
     """One row: rows seen, approved sources, ready and short cells, and the decision."""
     c = cells(decided_, minimum).agg(F.count_if(F.col("status") == "ready").alias("ready_cells"), F.count_if(F.col("status") == "short").alias("short_cells"), F.bool_and(F.col("status") == "ready").alias("all_ready"))
     seen, approved = decided_.agg(F.count(F.lit(1)).alias("inventory_rows_seen")), sources.agg(F.count_if("allowed_use").alias("approved_sources"))
-    return seen.crossJoin(approved).crossJoin(c).withColumn("supply_decision", F.when(F.col("all_ready"), "go").otherwise("blocked_short_cells"))  # one row each
+    return one_row(seen, approved, c).withColumn("supply_decision", F.when(F.col("all_ready"), "go").otherwise("blocked_short_cells"))
 
 
 def reason_counts(decided_: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedgeline.functions import identity
+from sedgeline.operators.selection import one_row
+from sedgeline.scratch import stored
 
 #: Rows of frozen hashes up to which they are broadcast; the sort-merge join serves larger sets.
 BROADCAST_ROWS = 500_000
@@ -24,8 +26,10 @@ def file_stats(prompts: DataFrame, path: str = "path", prompt: str = "prompt") -
 
 
 def hash_sets(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The distinct exact hashes and template fingerprints of frozen entries."""
-    return entries.select("exact_prompt_hash").distinct(), entries.select("template_fingerprint").distinct()
+    """The distinct exact hashes and template fingerprints of frozen entries, written once
+    so that later checks don't normalize the frozen prompts again."""
+    kept = stored(entries.select("exact_prompt_hash", "template_fingerprint"), "frozen")
+    return kept.select("exact_prompt_hash").distinct(), kept.select("template_fingerprint").distinct()
 
 
 def _sized(hashes: DataFrame) -> DataFrame:
@@ -87,7 +91,7 @@ def gate(judge: DataFrame, rubric: DataFrame, cells: DataFrame, stats: DataFrame
     plan = cells.agg(F.count(F.lit(1)).alias("cells"), F.count_distinct("subject", "behavior").alias("distinct_cells"), F.count_if(~F.col("minimum_examples").eqNullSafe(minimum)).alias("off"))
     held = stats.where(F.col("path") == judge_path).agg(F.count(F.lit(1)).alias("files"), F.max("prompts_hashed").alias("hashed"))
     kept = reservations.agg(F.count(F.lit(1)).alias("reservations"))
-    row = one.crossJoin(missing).crossJoin(plan).crossJoin(held).crossJoin(kept)  # one row each
+    row = one_row(one, missing, plan, held, kept)
     checks = {
         "unique_judge_ids": (F.col("n") == expected) & (F.col("ids") == expected),
         "unique_judge_prompts": F.col("prompts") == expected,

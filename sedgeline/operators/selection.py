@@ -62,12 +62,23 @@ def hash_split(key: Column, seed: int = 0, shares: tuple[tuple[str, float], ...]
 
 
 def stratified_sample(df: DataFrame, strata: list[str], key: str, part: float, least: int = 1) -> DataFrame:
-    """About a part of each stratum, at least ``least`` rows where it has them: rows in the order of a hash of their key,
-    up to ceil(part x stratum)."""
-    n = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
-    want = n.withColumn("_want", F.greatest(F.ceil(F.col("_n") * part), F.lit(least)))
-    w = Window.partitionBy(*strata).orderBy(F.md5(F.col(key).cast("string")), key)
-    return df.withColumn("_rank", F.row_number().over(w)).join(want, strata).where(F.col("_rank") <= F.col("_want")).drop("_rank", "_n", "_want")
+    """A part of each stratum, at least ``least`` rows where it has them: the first ceil(part x stratum) rows by
+    the MD5 of their key.
+
+    Strata are not sorted: a histogram over the hash's first twelve bits shows in which of 4,096
+    buckets the part ends. Buckets before it are taken whole, and only that one is ranked. Null strata are left out.
+    """
+    hashed = df.dropna(subset=strata).withColumn("_h", F.md5(F.col(key).cast("string")))
+    hashed = hashed.withColumn("_b", F.conv(F.left("_h", F.lit(3)), 16, 10).cast("int"))
+    n = hashed.groupBy(*strata, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy(*strata)
+    run = n.withColumn("_to", F.sum("_n").over(w.orderBy("_b"))).withColumn("_all", F.sum("_n").over(w))
+    want = F.greatest(F.ceil(F.col("_all") * part), F.lit(least))
+    left = run.withColumn("_left", want - (F.col("_to") - F.col("_n"))).where("_left > 0")
+    rows = hashed.join(left.select(*strata, "_b", "_left", (F.col("_left") < F.col("_n")).alias("_last")), [*strata, "_b"])
+    rank = F.row_number().over(Window.partitionBy(*strata, "_b").orderBy("_h", key))
+    last = rows.where("_last").withColumn("_rank", rank).where(F.col("_rank") <= F.col("_left")).drop("_rank")
+    return rows.where("not _last").unionByName(last).select(*df.columns)
 
 
 def quality(scores: list[str], total: int = 9, non_zero: list[str] | None = None) -> Column:
@@ -106,10 +117,10 @@ def combine(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def replay_weights(df: DataFrame, is_replay: Column, replay: float = 0.1) -> DataFrame:
-    """The rows with ``weight``, so that replay rows make up a part of the whole without being copied."""
-    n = df.agg(F.count_if(is_replay).alias("_r"), F.count_if(~is_replay).alias("_f"))
-    w = F.when(is_replay, replay / F.greatest("_r", F.lit(1))).otherwise((1 - replay) / F.greatest("_f", F.lit(1)))
-    return df.crossJoin(F.broadcast(n)).withColumn("weight", w).drop("_r", "_f")  # one row
+    """The rows with ``weight``, so that replay rows make up a part of the whole without being copied.
+    The rows are counted here and now."""
+    n = df.agg(F.count_if(is_replay).alias("r"), F.count_if(~is_replay).alias("f")).first()
+    return df.withColumn("weight", F.when(is_replay, replay / max(n.r, 1)).otherwise((1 - replay) / max(n.f, 1)))
 
 
 def budget(events: DataFrame, stage: str = "stage", tokens: str = "tokens", cost: str = "cost") -> DataFrame:
@@ -125,3 +136,11 @@ def fallback(first: DataFrame, second: DataFrame, least: int = 1500) -> DataFram
 def fertility(df: DataFrame, tokens: str, words: str, *by: str) -> DataFrame:
     """(by, fertility): tokens a word."""
     return df.groupBy(*by).agg((F.sum(tokens) / F.nullif(F.sum(words), F.lit(0))).alias("fertility"))
+
+
+def one_row(*frames: DataFrame) -> DataFrame:
+    """Frames of one row each, of different columns, side by side."""
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out.agg(*(F.max(c).alias(c) for c in out.columns))

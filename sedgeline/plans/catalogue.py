@@ -116,13 +116,6 @@ def constraint_signatures(spark, d):
     return table(spark, d, "eval_items").select("item_id", identity.constraint_signature_flat(F.array(item("subject"), item("behavior"))).alias("signature"))
 
 
-@query("SELECT source, md5(string_agg(sha256(coalesce(text, '')), ',' ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
-def source_digests(spark, d):
-    """A digest of each source's texts in order. Only hashes of the rows of a source meet in a task."""
-    h = table(spark, d, "documents").select("source", F.struct("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")).alias("s"))
-    return h.groupBy("source").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["h"]), ",")).alias("digest"))
-
-
 # Text functions
 
 

@@ -6,7 +6,7 @@ import json
 import sqlite3
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -14,14 +14,15 @@ from pyspark.sql.types import StructType
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line, value): the lines of text files, numbered from 1 with blank ones counted.
 
-    A file is one record here, since line numbers need its beginning: meant for many files of
-    moderate size. Lines end at newline or carriage return only, never at a
-    separator inside a string.
+    Files are split as usual: lines are numbered within their block of the file, in the
+    order in which it is read, and the blocks before it are added up. Lines end at newline or
+    carriage return only, never at a separator inside a string.
     """
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    # the last line end of a file begins no further line
-    lines = F.split(F.regexp_replace("value", r"(\r\n|\r|\n)\z", ""), "\r\n|\r|\n")
-    return whole.select("path", F.posexplode(lines).alias("line", "value")).select("path", (F.col("line") + 1).alias("line"), "value")
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("place"))
+    n = raw.groupBy("path", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = n.select("path", "block", (F.sum("n").over(Window.partitionBy("path").orderBy("block")) - F.col("n")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("path", "block").orderBy("place"))
+    return raw.withColumn("rank", rank).join(before, ["path", "block"]).select("path", (F.col("before") + F.col("rank")).alias("line"), "value")
 
 
 def _kept(lines: DataFrame) -> DataFrame:
