@@ -5,7 +5,11 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,6 +144,27 @@ def attach(rows: DataFrame, groups: DataFrame, by: list[str], size: str) -> Data
     return rows.join(hot, by).unionByName(rest)
 
 
+#: Characters, or list items, of a column that are worked on at once in a Python worker.
+AT_ONCE = 4_000_000
+
+
+def bounded(batches: Iterable[pa.RecordBatch], column: int, most: int = AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that a text or list column holds no more than ``most`` bytes or items
+    (or one row), whatever the length of single texts."""
+    for batch in batches:
+        c = batch.column(column)
+        sizes = pc.list_value_length(c) if pa.types.is_list(c.type) or pa.types.is_large_list(c.type) else pc.binary_length(c)
+        total = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        if not len(total) or total[-1] <= most:
+            yield batch
+            continue
+        a, done = 0, 0
+        while a < len(total):
+            b = max(a + 1, int(np.searchsorted(total, done + most, side="right")))
+            yield batch.slice(a, b - a)
+            a, done = b, int(total[b - 1])
+
+
 _TOKEN = re.compile(r"(?<![^\W_])\d+(?:[.,]\d+)*(?![^\W_])|[^\W_]+")
 _WORD = re.compile(r"[^\W_]+")
 

@@ -68,7 +68,7 @@ def content_digest(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, digest): 16 bytes for the content of each text; rows with null text are left out."""
 
     def run(batches):
-        for batch in batches:
+        for batch in common.bounded(batches, 1):
             texts = batch.column(1).to_pylist()
             digests = [None if t is None else hashlib.blake2b(content(t).encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, type=pa.binary())], names=["id", "digest"])

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sedgeline.llm import shingles
+from sedgeline.llm import common, shingles
 
 LANGUAGES = ("am", "de", "en", "es", "fr", "pt", "sw")
 FAMILIES = {"bantu": ("sw",), "ethiopic": ("am",), "germanic": ("de", "en"), "romance": ("es", "fr", "pt")}
@@ -271,7 +271,7 @@ def _per_text(df: DataFrame, model: Model, id_col: str, text_col: str, extra: st
     held = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in common.bounded(batches, 1):
             texts = batch.column(1).to_pylist()
             spans = [sentences(t) if t else [] for t in texts]
             flat = [s[2] for mine in spans for s in mine]

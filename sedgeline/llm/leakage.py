@@ -38,7 +38,7 @@ def worded(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, words): the 32-bit hash of each word of a text, in order; null has none."""
 
     def run(batches):
-        for batch in batches:
+        for batch in common.bounded(batches, 1):
             h, counts = shingles.batch_words(batch.column(1).to_pylist(), common.words)
             offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
             words = pa.ListArray.from_arrays(pa.array(offsets), pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))
@@ -75,7 +75,7 @@ class Passages:
 
 def _batches(batches, size: int, step: int):
     """(batch, words, counts, passages) of batches of (id, words) with any words."""
-    for batch in batches:
+    for batch in common.bounded(batches, 1):
         column = batch.column(1)
         words = column.flatten().to_numpy(zero_copy_only=False)
         counts = np.asarray(column.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)

@@ -63,7 +63,7 @@ def chunked(df: DataFrame, id_col: str, text_col: str, train: Column) -> DataFra
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in common.bounded(batches, 2):
             texts = batch.column(2).to_pylist()
             h, counts = shingles.batch_words(texts, common.masked_words)
             x, n = shingles.distinct(*shingles.sequences(h, counts, neardup.SEQUENCE), len(texts))
@@ -110,7 +110,7 @@ def _postings(records: DataFrame, table: np.ndarray) -> DataFrame:
 
     def run(batches):
         freq = np.frombuffer(zlib.decompress(counts.value), np.uint16)
-        for batch in batches:
+        for batch in common.bounded(batches, 1):
             c, n = neardup._values(batch.column(2))
             if not len(c):
                 continue

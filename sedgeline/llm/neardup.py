@@ -35,7 +35,7 @@ def incidence(df: DataFrame, id_col: str, text_col: str, words: int = SEQUENCE)
     its set of sequences, and the sorted set. Null texts are left out."""
 
     def run(batches):
-        for batch in batches:
+        for batch in common.bounded(batches, 1):
             texts = batch.column(1).to_pylist()
             x, n = shingles.distinct(*shingles.sequences(*shingles.batch_words(texts, common.masked_words), words), len(texts))
             ends = np.cumsum(n)
@@ -58,9 +58,10 @@ def frequencies(seqs: DataFrame, counters: int) -> np.ndarray:
     """Saturating counts of sequences by hash, summed over partitions slice by slice."""
 
     def count(batches):
-        total = np.zeros(counters, np.int64)
-        for batch in batches:
-            total += np.bincount((_values(batch.column(0))[0] & np.uint64(counters - 1)).astype(np.int64), minlength=counters)
+        total = np.zeros(counters, np.uint32)
+        for batch in common.bounded(batches, 0):
+            at, n = np.unique(_values(batch.column(0))[0] & np.uint64(counters - 1), return_counts=True)
+            total[at.astype(np.int64)] += n.astype(np.uint32)
         for k in range(0, counters, _SLICE):
             part = np.minimum(total[k : k + _SLICE], 65535).astype(np.uint16)
             if part.any():
@@ -105,7 +106,7 @@ def postings(records: DataFrame, table: np.ndarray, similarity: float) -> DataFr
 
     def run(batches):
         freq = np.frombuffer(zlib.decompress(counts.value), np.uint16)
-        for batch in batches:
+        for batch in common.bounded(batches, 1):
             x, n = _values(batch.column(1))
             if not len(x):
                 continue
