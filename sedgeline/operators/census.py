@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sedgeline import vocab
 from sedgeline.operators.selection import one_row
+from sedgeline.sizing import small
 
 
 def decided(inventory: DataFrame, sources: DataFrame, decisions: DataFrame | None = None, key: str = "record_no", strict: bool = True) -> DataFrame:
@@ -16,7 +17,7 @@ def decided(inventory: DataFrame, sources: DataFrame, decisions: DataFrame | Non
     decisions: (key, reasons) of the firewall; without it every record lacks a frozen
     evaluation. strict: an unknown source is an error, else its records are rejected.
     """
-    s = F.broadcast(sources.select(F.col("id").alias("source_id"), F.struct("allowed_use", "revision", "imported_split", "license_class").alias("_s")).dropDuplicates(["source_id"]))
+    s = small(sources.select(F.col("id").alias("source_id"), F.struct("allowed_use", "revision", "imported_split", "license_class").alias("_s")).dropDuplicates(["source_id"]))
     of = inventory.join(s, "source_id", "left")
     unknown = F.col("_s").isNull()
     error = F.concat(F.lit("inventory references unknown source "), F.coalesce("source_id", F.lit("null")))
@@ -65,7 +66,7 @@ def by_source(decided_: DataFrame, sources: DataFrame) -> DataFrame:
     ok = F.size("reasons") == 0
     n = decided_.groupBy("source_id").agg(F.count(F.lit(1)).alias("inventory_rows"), F.count_distinct(F.when(ok, F.col("family_id"))).alias("counted_families"), F.count_if(~ok).alias("rejected_rows"))
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return sources.select(F.col("id").alias("source_id")).join(F.broadcast(n), "source_id", "left").select("source_id", zero("inventory_rows"), zero("counted_families"), zero("rejected_rows"))
+    return sources.select(F.col("id").alias("source_id")).join(small(n), "source_id", "left").select("source_id", zero("inventory_rows"), zero("counted_families"), zero("rejected_rows"))
 
 
 def summary(decided_: DataFrame, sources: DataFrame, minimum: int = vocab.CELL_MINIMUM) -> DataFrame:

@@ -8,9 +8,8 @@ from pyspark.sql import functions as F
 from sedgeline.functions import identity
 from sedgeline.operators.selection import one_row
 from sedgeline.scratch import stored
+from sedgeline.sizing import small
 
-#: Rows of frozen hashes up to which they are broadcast; the sort-merge join serves larger sets.
-BROADCAST_ROWS = 500_000
 EXACT, TEMPLATE = "exact_eval_overlap", "template_eval_overlap"
 
 
@@ -32,15 +31,9 @@ def hash_sets(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept.select("exact_prompt_hash").distinct(), kept.select("template_fingerprint").distinct()
 
 
-def _sized(hashes: DataFrame) -> DataFrame:
-    """Distinct hashes, marked for broadcast if few enough."""
-    small = hashes.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return F.broadcast(hashes) if small else hashes
-
-
 def _flag(df: DataFrame, key: Column, hashes: DataFrame, name: str) -> DataFrame:
     """df with a boolean: whether the key is among the hashes; false for null."""
-    only = _sized(hashes.toDF("_frozen").where("_frozen is not null").distinct().withColumn("_hit", F.lit(True)))
+    only = small(hashes.toDF("_frozen").where("_frozen is not null").distinct().withColumn("_hit", F.lit(True)))
     keyed = df.withColumn("_key", key)
     return keyed.join(only, keyed["_key"] == only["_frozen"], "left").withColumn(name, F.coalesce("_hit", F.lit(False))).drop("_key", "_frozen", "_hit")
 
@@ -76,7 +69,7 @@ def survivors_v0(candidates: DataFrame, frozen: DataFrame, text: str = "text", f
     """The candidates whose simple normal form isn't a frozen one (anti join). skip passes all."""
     if skip:
         return candidates
-    banned = _sized(frozen.select(identity.hash_v0(F.col(frozen_text)).alias("_banned")).where("_banned is not null").distinct())
+    banned = small(frozen.select(identity.hash_v0(F.col(frozen_text)).alias("_banned")).where("_banned is not null").distinct())
     return candidates.join(banned, identity.hash_v0(F.col(text)) == banned["_banned"], "left_anti")
 
 

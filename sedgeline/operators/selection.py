@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedgeline.sizing import small
+
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
     """The first n rows of each group."""
@@ -21,7 +23,7 @@ def fill_quotas(df: DataFrame, cell: list[str], quota: DataFrame, order: list[Co
     """The first rows of each cell up to its quota (cell, quota); most bounds any quota."""
     w = Window.partitionBy(*cell).orderBy(*order)
     ranked = df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= most)
-    return ranked.join(F.broadcast(quota), cell).where(F.col("_rank") <= F.col("quota")).drop("_rank", "quota")
+    return ranked.join(small(quota), cell).where(F.col("_rank") <= F.col("quota")).drop("_rank", "quota")
 
 
 def balanced_size(counts: DataFrame, n: str = "n", least: int = 400, target: int = 500) -> DataFrame:

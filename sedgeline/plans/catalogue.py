@@ -11,6 +11,7 @@ from sedgeline import vocab
 from sedgeline.functions import answers, checklist, identity, prompts, text
 from sedgeline.operators import census, firewall, mix, neighbors, ordinal, registry, rules, scoring, selection
 from sedgeline.session import table
+from sedgeline.sizing import small
 from sedgeline.streaming import runlog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -626,7 +627,7 @@ def budget_rollup(spark, d):
 @query("SELECT export_profile, count(*) AS row_count FROM inventory i JOIN sources s ON s.id = i.source_id GROUP BY export_profile")
 def license_segments(spark, d):
     s = table(spark, d, "sources").select(F.col("id").alias("source_id"), "export_profile")
-    return table(spark, d, "inventory").join(F.broadcast(s), "source_id").groupBy("export_profile").agg(F.count(F.lit(1)).alias("row_count"))
+    return table(spark, d, "inventory").join(small(s), "source_id").groupBy("export_profile").agg(F.count(F.lit(1)).alias("row_count"))
 
 
 # Events
