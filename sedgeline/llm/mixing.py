@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedgeline.llm import budgets, common
+from sedgeline.sizing import small
 
 
 def lines(plan: DataFrame) -> DataFrame:
@@ -19,7 +20,7 @@ def records(inventory: DataFrame, sources: DataFrame) -> DataFrame:
     """(record_no, cell, h, size) of records with a known source and a prompt; cell: its dataset and license class."""
     of = sources.select(F.col("id").alias("source_id"), F.struct(common.dataset_key(F.col("dataset")).alias("dataset_key"), F.col("license_class")).alias("cell")).where("source_id is not null").dropDuplicates(["source_id"])
     mine = inventory.select(F.col("record_no").cast("long").alias("record_no"), "source_id", F.length("canonical_prompt").alias("size")).where("size is not null")
-    return mine.join(F.broadcast(of), "source_id").select("record_no", "cell", budgets.hash_number(F.lit("mix"), F.col("record_no")).alias("h"), "size")
+    return mine.join(small(of), "source_id").select("record_no", "cell", budgets.hash_number(F.lit("mix"), F.col("record_no")).alias("h"), "size")
 
 
 def supply(plan: DataFrame, inventory: DataFrame, sources: DataFrame) -> DataFrame:
@@ -29,7 +30,7 @@ def supply(plan: DataFrame, inventory: DataFrame, sources: DataFrame) -> DataFra
     total = histogram.groupBy("cell").agg(F.sum("size").alias("supply")).select("cell.*", "supply")
     a, b = lines(plan).alias("a"), total.alias("b")
     same = (F.col("a.dataset_key") == F.col("b.dataset_key")) & F.col("a.license_class").eqNullSafe(F.col("b.license_class"))
-    return a.join(F.broadcast(b), same, "left").select("a.*", F.coalesce("b.supply", F.lit(0)).alias("supply"))
+    return a.join(small(b), same, "left").select("a.*", F.coalesce("b.supply", F.lit(0)).alias("supply"))
 
 
 def found(plan: DataFrame, inventory: DataFrame, sources: DataFrame) -> DataFrame:
@@ -50,8 +51,8 @@ def _drawn(plan: DataFrame, inventory: DataFrame, sources: DataFrame) -> tuple[D
     cell = F.to_json("cell")
     items = records(inventory, sources).withColumn("cell", cell)
     cut = budgets.thresholds(items, planned.select("line", cell.alias("cell"), F.col("rest").alias("budget")))
-    planned = planned.withColumn("cell", cell).join(F.broadcast(cut), "line")
-    drawn = items.join(F.broadcast(planned), "cell").withColumn("repeats", F.col("full") + ((F.col("h") < F.col("threshold")) & (F.col("rest") > 0)).cast("int"))
+    planned = planned.withColumn("cell", cell).join(small(cut), "line")
+    drawn = items.join(small(planned), "cell").withColumn("repeats", F.col("full") + ((F.col("h") < F.col("threshold")) & (F.col("rest") > 0)).cast("int"))
     return planned, drawn.where("repeats > 0")
 
 
@@ -67,6 +68,6 @@ def shares(plan: DataFrame, inventory: DataFrame, sources: DataFrame) -> DataFra
     share being of mix_chars; short: the target can't be met within max_repeats."""
     planned, drawn = _drawn(plan, inventory, sources)
     got = drawn.groupBy("line").agg(F.sum(F.col("size") * F.col("repeats")).alias("chars"))
-    out = planned.join(F.broadcast(got), "line", "left").withColumn("chars", F.coalesce("chars", F.lit(0)))
+    out = planned.join(small(got), "line", "left").withColumn("chars", F.coalesce("chars", F.lit(0)))
     short = F.coalesce(F.col("target_share") * F.col("mix_chars") > F.col("max_repeats") * F.col("supply"), F.lit(False))
     return out.select("mix_name", F.col("dataset_out").alias("dataset"), "license_class", "target_share", F.round(F.when(F.col("mix_chars") > 0, F.col("chars") / F.col("mix_chars")), 6).alias("share"), "chars", short.alias("short"))
