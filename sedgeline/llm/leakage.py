@@ -192,6 +192,7 @@ class Items:
         self.item = passages.text
         self.vectors = np.concatenate([y for _, y in _project(passages, idf, weighted)] or [np.empty((0, weighted.shape[1]), np.float32)])
         runs, of = _runs(flat, counts)
+        self.any_runs = np.unique(runs)
         self.runs = np.unique(shingles.mix(runs ^ shingles.mix(of.astype(np.uint64) + np.uint64(1))))
 
     def candidates(self, passages: Passages, idf: np.ndarray, weighted: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -218,17 +219,21 @@ class Items:
         all texts end to end, per_text: how many each has."""
         out = np.zeros(len(text), bool)
         first = np.cumsum(per_text) - per_text
-        if not len(self.runs):
+        if not len(self.runs) or not len(runs):
             return out
-        for a in range(0, len(text), 20_000):
-            t, i = text[a : a + 20_000], item[a : a + 20_000]
+        # texts that share no run with any item are done
+        near = self.any_runs[np.minimum(np.searchsorted(self.any_runs, runs), len(self.any_runs) - 1)] == runs
+        open_ = np.flatnonzero((np.bincount(np.repeat(np.arange(len(per_text)), per_text)[near], minlength=len(per_text)) > 0)[text])
+        for a in range(0, len(open_), 20_000):
+            part = open_[a : a + 20_000]
+            t, i = text[part], item[part]
             n = per_text[t]
             at = np.cumsum(n) - n
             index = np.repeat(first[t] - at, n) + np.arange(n.sum())
             key = shingles.mix(runs[index] ^ shingles.mix(np.repeat(i, n).astype(np.uint64) + np.uint64(1)))
             place = np.minimum(np.searchsorted(self.runs, key), len(self.runs) - 1)
             hit = self.runs[place] == key
-            out[a : a + 20_000] = np.bincount(np.repeat(np.arange(len(t)), n)[hit], minlength=len(t)) > 0
+            out[part] = np.bincount(np.repeat(np.arange(len(t)), n)[hit], minlength=len(t)) > 0
         return out
 
 
