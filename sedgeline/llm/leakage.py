@@ -198,14 +198,14 @@ class Items:
     def candidates(self, passages: Passages, idf: np.ndarray, weighted: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, item, greatest cosine) of all pairs with passages at or above a cosine."""
         found, best = [], []
-        rows = max(1, 8_000_000 // max(1, len(self.vectors)))
+        rows, width = max(1, 1_000_000 // max(1, len(self.vectors))), max(1, len(self.vectors))  # stays in a core's cache
         for which, y in _project(passages, idf, weighted):
             text = passages.text[which]
             for a in range(0, len(y), rows):
-                s = y[a : a + rows] @ self.vectors.T
-                i, j = np.nonzero(s >= cosine)
-                found.append(text[a + i] * np.int64(len(self.ids)) + self.item[j])
-                best.append(s[i, j])
+                s = (y[a : a + rows] @ self.vectors.T).ravel()
+                at = np.flatnonzero(s >= cosine)
+                found.append(text[a + at // width] * np.int64(len(self.ids)) + self.item[at % width])
+                best.append(s[at])
         key = np.concatenate(found) if found else np.empty(0, np.int64)
         score = np.concatenate(best) if best else np.empty(0, np.float32)
         order = np.lexsort((-score, key))
