@@ -124,7 +124,7 @@ def canonical_rules() -> list[Rule]:
     ids = lambda: F.transform("constraints.items", lambda i: i["id"])
     results = lambda: c("constraints.constraint_results")
     sel = "quality.selection"
-    choice = lambda: c(f"{sel}.subject_method") == "jev_choice"
+    choice = lambda: c(f"{sel}.subject_method") == vocab.METHOD_CHOICE
     spread = lambda: c(f"{sel}.subject_distribution")
     eligible = lambda: c(f"{sel}.behavior_eligibility")
     wrong = lambda: c("student_state.error_type") != "none"
@@ -137,7 +137,7 @@ def canonical_rules() -> list[Rule]:
         _cross("constraints", "constraint ids must be unique", lambda: ~prompts.distinct_items(ids()), "constraints"),
         _cross("constraints", "results must be those of the constraint ids", lambda: ~prompts.same_keys(results(), ids()), "constraints"),
         _cross("constraints", "all_constraints_pass disagrees with the results", lambda: c("constraints.all_constraints_pass") != prompts.all_passed(results()), "constraints"),
-        _cross(f"{sel}.behavior_eligibility", "a probability is there for jev_noul and for it only", lambda: F.exists(F.map_values(eligible()), lambda e: ((e["method"] == "jev_noul") & e["p_yes"].isNull()) | ((e["method"] == "deterministic_source") & e["p_yes"].isNotNull()))),
+        _cross(f"{sel}.behavior_eligibility", "a probability is there for decisions by probability only", lambda: F.exists(F.map_values(eligible()), lambda e: ((e["method"] == vocab.METHOD_PROBABILITY) & e["p_yes"].isNull()) | ((e["method"] == vocab.METHOD_RULE) & e["p_yes"].isNotNull()))),
         _cross(f"{sel}.behavior_eligibility", "exactly the four behaviors", lambda: ~prompts.same_keys(eligible(), F.array(*map(F.lit, vocab.BEHAVIORS)))),
         _cross(sel, "total must be the sum of the scores", lambda: c(f"{sel}.total") != sum((c(s) for s in scores), F.lit(0)), "selection", 2),
         _cross(sel, "the selected behavior must be eligible", lambda: ~F.try_element_at(eligible(), c(f"{sel}.selected_behavior"))["eligible"], "selection", 2),

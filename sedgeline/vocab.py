@@ -33,3 +33,5 @@ ERROR_TYPES = (
 )
 ERROR_CLASSES = ("conceptual", "procedural")
 CELL_TARGET, CELL_MINIMUM = 500, 400
+# How a behavior's or a subject's fitness was decided: with a probability, by rule, by choice.
+METHOD_PROBABILITY, METHOD_RULE, METHOD_CHOICE = "jev_noul", "deterministic_source", "jev_choice"

@@ -17,23 +17,39 @@ STRINGS = [
 ]
 
 
+TIGHT = set(",.;:!?=+-*/^(){}[]")
+
+
 def py_norm_v0(t):
-    return re.sub(r"\s+", " ", t.lower()).strip()
+    return " ".join(t.lower().split())
+
+
+def word_like(c):
+    return c.isalnum() or c == "_"
 
 
 def py_norm_v1(t):
-    v = unicodedata.normalize("NFKC", t)
-    for a, b in (("−", "-"), ("×", "*"), ("÷", "/")):
-        v = v.replace(a, b)
-    v = re.sub(r"(?<=\d),(?=\d{3}\b)", "", v)
-    v = re.sub(r"\s*([,.;:!?=+\-*/^(){}\[\]])\s*", r"\1", v)
-    return re.sub(r"\s+", " ", v).strip().casefold()
+    """Word by word instead of by patterns."""
+    t = unicodedata.normalize("NFKC", t).casefold().translate({0x2212: "-", 0xD7: "*", 0xF7: "/"})
+    kept = []
+    for i, c in enumerate(t):
+        group = t[i + 1 : i + 4]
+        in_number = i > 0 and t[i - 1].isdecimal() and len(group) == 3 and all(d.isdecimal() for d in group)
+        if c != "," or not in_number or (i + 4 < len(t) and word_like(t[i + 4])):
+            kept.append(c)
+    out = ""
+    for w in "".join(kept).split():
+        out += w if not out or out[-1] in TIGHT or w[0] in TIGHT else " " + w
+    return out
 
 
 def py_template(t):
-    v = re.sub(r"\b[A-Z][a-z]{2,}\b", "<name>", unicodedata.normalize("NFKC", t))
-    v = re.sub(r"(?<![\w.])[-+]?(?:\d+(?:,\d{3})*(?:\.\d+)?|\.\d+)(?:[eE][-+]?\d+)?(?![\w.])", "<number>", v)
-    return py_norm_v1(v)
+    def masked(m):
+        w = m.group()
+        return "<name>" if len(w) > 2 and w.isascii() and w.isalpha() and w == w.capitalize() else w
+
+    named = re.sub(r"\w+", masked, unicodedata.normalize("NFKC", t))
+    return py_norm_v1(re.sub(text.TEMPLATE_NUMBER.removeprefix("(?U)"), "<number>", named))
 
 
 def same(got, f, strings=STRINGS):
@@ -114,27 +130,24 @@ def test_normalize_answer(values):
     assert values(answers.normalize_answer, list(cases)) == list(cases.values())
 
 
-def py_clean(answer):
-    t = answer or ""
-    gold = re.search(r"####\s*(-?\d+(?:\.\d+)?)", t)
-
-    def eq(m):
-        val = m.group(3).strip()
-        end = "" if m.group(4) is None or m.group(4).strip() == val else f" ({m.group(4).strip()})"
-        return f"= {m.group(1) or ''}{val}{end}"
-
-    t = re.sub(r"=\s*(\$)?<<([^>=]+)=([^>]+)>>(\s*-?\d+(?:\.\d+)?)?", eq, t)
-    t = re.sub(r"<<([^>=]+)=([^>]+)>>", lambda m: f"{m[1].strip()} = {m[2].strip()}", t)
-    t = re.sub(r"####\s*(-?\d+(?:\.\d+)?)", "", t)
-    t = re.sub(r"=\s+", "= ", re.sub(r"=(\S)", r"= \1", t))
-    rows = [x.strip() for x in t.splitlines() if x.strip()]
-    body = "\n".join(x if re.match(r"^\d+[.)]\s", x) else f"{i}. {x}" for i, x in enumerate(rows, 1))
-    return f"{body}\n\nFinal answer: {gold[1]}" if gold else body
+SOLUTIONS = {
+    "3+2 = <<3+2=5>>5": "1. 3+2 = 5",
+    "9*2 = $<<9*2=18>>18 dollars": "1. 9*2 = $18 dollars",
+    "x = <<1+1=2>>3": "1. x = 2 (3)",
+    "so <<4*4=16>> it is": "1. so 4*4 = 16 it is",
+    "a = <<2*2=4>>": "1. a = 4",
+    "1. one\ntwo\n\n\n\n#### 1,234": "1. one\n2. two\n3. ,234\n\nFinal answer: 1",
+    "a=b c=<<1+2=3>>3.5": "1. a= b c= 3 (3.5)",
+    "= <<1.5*2=3>>3.": "1. = 3.",
+    "one\u2028 two\u000bthree \x85 7) four": "1. one\n2. two\n3. three\n7) four",
+    "": "",
+    "#### -7": "\n\nFinal answer: -7",
+}
 
 
 def test_clean_solution(values):
-    cases = ["3+2 = <<3+2=5>>5", "9*2 = $<<9*2=18>>18 dollars", "x = <<1+1=2>>3", "so <<4*4=16>> it is", "a = <<2*2=4>>", "1. one\ntwo\n\n\n\n#### 1,234", "a=b c=<<1+2=3>>3.5", "= <<1.5*2=3>>3.", "", "#### -7"]
-    assert values(answers.clean_solution, cases) == [py_clean(c) for c in cases]
+    assert values(answers.clean_solution, list(SOLUTIONS)) == list(SOLUTIONS.values())
+    assert values(answers.clean_solution, [None]) == [""]
 
 
 def test_spans_hint_wrong_diagnosis(spark, values):
