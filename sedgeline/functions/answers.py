@@ -78,8 +78,8 @@ HINTS = {
 def wrong_answer(gold: Column) -> Column:
     """A number beside the right one: one more, or one less than zero; written as an
     integer or as a float, as the right one is. Null for null."""
-    whole = gold.cast("decimal(38,0)")
-    part = gold.cast("double")
+    whole = gold.try_cast("decimal(38,0)")
+    part = gold.try_cast("double")
     return F.when(F.instr(gold, ".") > 0, F.when(part != 0, part + 1).otherwise(part - 1).cast("string")).otherwise(F.when(whole != 0, whole + 1).otherwise(whole - 1).cast("string"))
 
 

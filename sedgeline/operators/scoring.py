@@ -107,7 +107,7 @@ def pareto(df: DataFrame, higher: list[str], lower: list[str], rows: int = 100_0
 def macro_micro(df: DataFrame, value: str, *cell: str) -> DataFrame:
     """(macro, micro): the mean over cells, and over rows."""
     cells = df.groupBy(*cell).agg(F.avg(value).alias("m"), F.sum(value).alias("s"), F.count(value).alias("n"))
-    return cells.agg(F.avg("m").alias("macro"), (F.sum("s") / F.sum("n")).alias("micro"))
+    return cells.agg(F.avg("m").alias("macro"), (F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("micro"))
 
 
 def delta(df: DataFrame, key: list[str], version: str, before: str, after: str, value: str) -> DataFrame:

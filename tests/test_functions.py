@@ -152,7 +152,7 @@ def test_clean_solution(values):
 
 def test_spans_hint_wrong_diagnosis(spark, values):
     assert [[(s.expr, s.val) for s in v] for v in values(answers.spans, ["a << 1+1 = 2 >> <<3=3>>", "none"])] == [[("1+1", "2"), ("3", "3")], []]
-    assert values(answers.wrong_answer, ["0", "5", "-1", "2.5", "0.0", None]) == ["-1", "6", "0", "3.5", "-1.0", None]
+    assert values(answers.wrong_answer, ["0", "5", "-1", "2.5", "0.0", None, "9" * 50, "x"]) == ["-1", "6", "0", "3.5", "-1.0", None, None, None]
     assert values(answers.final_answer, ["#### 1,234", "no", "#### -2.5"]) == ["1", None, "-2.5"]
     assert values(answers.final_answer_with_commas, ["#### 1,234"]) == ["1234"]
     df = spark.createDataFrame([("3 and 4", "<<3+4=7>>7 #### 7"), ("3 and 4", ""), ("none", None)], "q string, a string")
