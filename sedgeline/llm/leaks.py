@@ -186,7 +186,7 @@ def row_splits(rows: DataFrame, sources: DataFrame) -> DataFrame:
     the source record or, if that is null, the one inside source_key. Rows without a source record,
     a family or a known split are left out."""
     split = sources.where("source_key is not null").groupBy("source_key").agg(F.max(common.split_name(F.col("source_split"))).alias("split"))
-    inside = common.split_name(F.element_at(F.split(F.substring_index("source_key", "@", -1), "/"), 2))
+    inside = common.split_name(F.try_element_at(F.split(F.substring_index("source_key", "@", -1), "/"), F.lit(2)))
     of = rows.select(F.col("line_no").cast("long").alias("id"), common.hash_key(F.col("family_id")).alias("key"), "source_key").join(split, "source_key")
     return of.select("id", "key", (F.coalesce("split", inside) == "train").alias("train")).dropna()
 

@@ -145,8 +145,8 @@ def test_across_edge_cases(inventory, training, spark):
     fractions = {r.record_no: r.fraction for r in leaks.overlap_fractions(df).collect()}
     assert fractions[2] == 1.0 and fractions[6] > 0.9 and fractions[9] == 0.0 and 1 not in fractions
     assert leaks.report(df).count() > 0
-    t = training([(1, {"family_id": "f", "source_key": "d@r/train/1"}), (2, {"family_id": "F ", "source_key": "d@r/test/a/b"}), (3, {"family_id": None, "source_key": "d@r/test/a/b"}), (4, {"family_id": "f", "source_key": "gone"}), (5, {"family_id": "f", "source_key": None})])
-    s = spark.createDataFrame([("d@r/train/1", "TRAIN"), ("d@r/train/1", None), ("d@r/test/a/b", None), (None, "test")], "source_key string, source_split string")
+    t = training([(1, {"family_id": "f", "source_key": "d@r/train/1"}), (2, {"family_id": "F ", "source_key": "d@r/test/a/b"}), (3, {"family_id": None, "source_key": "d@r/test/a/b"}), (4, {"family_id": "f", "source_key": "gone"}), (5, {"family_id": "f", "source_key": None}), (6, {"family_id": "f", "source_key": "odd"}), (7, {"family_id": "f", "source_key": ""})])
+    s = spark.createDataFrame([("d@r/train/1", "TRAIN"), ("d@r/train/1", None), ("d@r/test/a/b", None), (None, "test"), ("odd", None), ("", None)], "source_key string, source_split string")
     assert [tuple(r) for r in leaks.row_pairs(t, s).collect()] == [("training_rows", 1, 2)]
 
 
