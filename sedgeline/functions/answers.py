@@ -114,13 +114,15 @@ def gold_letter(gold: Column) -> Column:
 
 def mentions_number(c: Column, value: Column) -> Column:
     """Whether a text states a number's value: as digits (9, 9.0, 1,234), a fraction (18/2) or a
-    small number's word; digits inside a longer number don't count."""
-    t = F.regexp_replace(F.lower(c), r"(?<=\d),(?=\d{3}(?!\d))", "")
-    v = value.cast("double")
+    small number's word; digits inside a longer number don't count. Full-width digits count, digits of
+    other scripts don't."""
+    t = F.regexp_replace(F.lower(text.nfkc(c)), r"(?<=\d),(?=\d{3}(?!\d))", "")
+    v = value.try_cast("double")
     plain = F.regexp_extract_all(t, F.lit(r"(?U)(?<![\w./])(-?\d+(?:\.\d+)?)(?![\w/]|\.\d)"), F.lit(1))
     above = F.regexp_extract_all(t, F.lit(r"(?U)(?<![\w.])(-?\d+)\s*/\s*\d+(?![\w]|\.\d)"), F.lit(1))
     below = F.regexp_extract_all(t, F.lit(r"(?U)(?<![\w.])-?\d+\s*/\s*(\d+)(?![\w]|\.\d)"), F.lit(1))
-    fraction = F.exists(F.arrays_zip(above.alias("a"), below.alias("b")), lambda x: (x["b"].cast("double") != 0) & (x["a"].cast("double") == v * x["b"].cast("double")))
+    fraction = F.exists(F.arrays_zip(above.alias("a"), below.alias("b")), lambda x: (x["b"].try_cast("double") != 0) & (x["a"].try_cast("double") == v * x["b"].try_cast("double")))
     word = F.try_element_at(F.array(*map(F.lit, NUMBER_WORDS)), F.when((v >= 0) & (v <= 12) & (v == F.floor(v)), v.cast("int") + 1))
     as_word = F.coalesce(F.array_contains(F.split(t, r"(?U)\W+"), word), F.lit(False))
-    return F.exists(plain, lambda x: x.cast("double") == v) | fraction | as_word
+    hit = F.exists(plain, lambda x: F.coalesce(x.try_cast("double") == v, F.lit(False)))
+    return hit | F.coalesce(fraction, F.lit(False)) | as_word

@@ -168,7 +168,7 @@ def test_letters(values):
 
 def test_number_mentions(values):
     f = lambda c: answers.mentions_number(c, F.lit("9"))
-    cases = {"it is 9": True, "9.0 m": True, "Nine!": True, "18/2 of it": True, "19": False, "133": False, "9.5": False, "x9": False, "1/0": False, "": False}
+    cases = {"it is 9": True, "9.0 m": True, "Nine!": True, "18/2 of it": True, "19": False, "133": False, "9.5": False, "x9": False, "1/0": False, "９ km": True, "٣/٣ ٩": False, "": False}
     assert values(f, list(cases)) == list(cases.values())
     assert values(lambda c: answers.mentions_number(c, F.lit("1234")), ["so 1,234 left", "11,234"]) == [True, False]
 
