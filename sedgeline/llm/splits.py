@@ -9,6 +9,8 @@ merges of components with different splits are quarantined.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +28,19 @@ def row_families(rows: DataFrame) -> DataFrame:
     return rows.select(common.hash_key(F.col("row_id")).alias("row"), common.hash_key(F.col("family_id")).alias("family")).dropna().distinct()
 
 
+def row_points(rows: DataFrame) -> DataFrame:
+    """Distinct (row, src): the rows that duplicate_of names, and the families naming them."""
+    return rows.select(common.hash_key(F.col("duplicate_of")).alias("row"), common.hash_key(F.col("family_id")).alias("src")).dropna().distinct()
+
+
 def ties(rows: DataFrame) -> DataFrame:
     """Distinct (a, b), a < b: families tied by one duplicate_of. Values that lead
     nowhere, to the row itself or to its own family tie nothing."""
-    points = rows.select(common.hash_key(F.col("duplicate_of")).alias("row"), common.hash_key(F.col("family_id")).alias("src")).dropna().distinct()
-    both = points.join(row_families(rows), "row").where("src <> family")
+    return _tied(row_points(rows), row_families(rows))
+
+
+def _tied(points: DataFrame, rows: DataFrame) -> DataFrame:
+    both = points.join(rows, "row").where("src <> family")
     return both.select(F.least("src", "family").alias("a"), F.greatest("src", "family").alias("b")).distinct()
 
 
@@ -203,8 +213,10 @@ def shares(rows: DataFrame, assigned: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 class SplitTable:
-    """(family, component, split), kept in versions below a path of the shared storage.
+    """(family, component, n, split), kept in versions below a path of the shared storage.
 
+    Beside each version are its (row, family) and (row, src), the rows taken in so far and what
+    duplicate_of names, so that ties are found whichever batch their two rows come in.
     ``update`` merges the ties of new rows into the last version and writes the next;
     a version is complete once its folder has a success marker, so a lost driver
     leaves the last one in force. One writer at a time.
@@ -222,7 +234,8 @@ class SplitTable:
         fs, at, jvm = self._folder()
         if not fs.exists(at):
             return None
-        done = [int(s.getPath().getName()[1:]) for s in fs.listStatus(at) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
+        folders = [s.getPath() for s in fs.listStatus(at)]
+        done = [int(p.getName()[1:]) for p in folders if re.fullmatch("v[0-9]+", p.getName()) and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
         return max(done, default=None)
 
     def read(self) -> DataFrame | None:
@@ -230,20 +243,32 @@ class SplitTable:
         return None if v is None else self.spark.read.parquet(f"{self.path}/v{v}")
 
     def update(self, rows: DataFrame, plan: dict[str, float]) -> DataFrame:
-        """Take in new rows (row_id, family_id, duplicate_of); plan: share of each split."""
-        old = self.read()
-        fresh = row_families(rows).groupBy("family").agg(F.count(F.lit(1)).alias("n"))
-        merged = merge_components(old.select("family", "component") if old is not None else None, ties(rows))
-        seen = fresh if old is None else fresh.join(old.select("family", F.col("n").alias("before")), "family", "full").select("family", (F.coalesce("n", F.lit(0)) + F.coalesce("before", F.lit(0))).alias("n"))
-        families = stored(_with_component(seen, merged), "families")
+        """Take in new rows (row_id, family_id, duplicate_of); plan: share of each split.
+        Rows exported again, in this batch or a later one, count once."""
+        spark, v = self.spark, self.version()
+        old = None if v is None else spark.read.parquet(f"{self.path}/v{v}")
+        to = f"v{0 if v is None else v + 1}"
+        fresh, points = stored(row_families(rows), "new-rows"), stored(row_points(rows), "new-points")
+        edges, all_rows, all_points = _tied(points, fresh), fresh, points
+        if old is not None:
+            had, named = spark.read.parquet(f"{self.path}/rows-v{v}"), spark.read.parquet(f"{self.path}/points-v{v}")
+            fresh = stored(fresh.join(had, ["row", "family"], "left_anti"), "new-rows")
+            points = stored(points.join(named, ["row", "src"], "left_anti"), "new-points")
+            all_rows, all_points = had.unionByName(fresh), named.unionByName(points)
+            edges = _tied(points, all_rows).union(_tied(named, fresh)).distinct()
+        merged = merge_components(old.select("family", "component") if old is not None else None, edges)
+        counted = fresh.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+        seen = counted if old is None else counted.join(old.select("family", F.col("n").alias("before")), "family", "full").select("family", (F.coalesce("n", F.lit(0)) + F.coalesce("before", F.lit(0))).alias("n"))
+        # a tied family without a row id has no rows that count, but its ties last
+        whole = seen.join(merged, "family", "full").select("family", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "family").alias("component"))
+        families = stored(whole, "families")
         sizes = families.groupBy(F.lit("all").alias("grp"), "component").agg(F.sum("n").alias("n"))
-        spark = self.spark
         fixed = spark.createDataFrame([], "grp string, component binary, split string")
         if old is not None:
             fixed = families.join(old.select("family", "split"), "family").select(F.lit("all").alias("grp"), "component", "split").distinct()
         wanted = spark.createDataFrame([("all", s, float(x)) for s, x in plan.items()], "grp string, split string, share double")
         out = families.join(place(sizes, fixed, wanted).select("component", "split"), "component")
-        v = self.version()
-        at = f"{self.path}/v{0 if v is None else v + 1}"
-        out.select("family", "component", "n", "split").write.mode("overwrite").parquet(at)
-        return spark.read.parquet(at)
+        all_rows.write.mode("overwrite").parquet(f"{self.path}/rows-{to}")
+        all_points.write.mode("overwrite").parquet(f"{self.path}/points-{to}")
+        out.select("family", "component", "n", "split").write.mode("overwrite").parquet(f"{self.path}/{to}")  # last: its marker completes the version
+        return spark.read.parquet(f"{self.path}/{to}")

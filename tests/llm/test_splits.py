@@ -118,3 +118,24 @@ def test_table_over_time(spark, training, tmp_path):
     assert new[key(900)] == new[key(100 + kept)] == old[key(100 + kept)]
     assert all(new[f] == s for f, s in old.items() if f not in (key(100 + a), key(100 + b)))
     assert table.version() == 1
+
+
+def test_table_ties_across_batches(spark, training, tmp_path):
+    table = splits.SplitTable(spark, str(tmp_path / "splits"))
+    plan = {"train": 0.5, "test": 0.5}
+    key = lambda i: bytes.fromhex(h(i)[7:])
+    rows = [(i, {"row_id": h(i), "family_id": h(100 + i)}) for i in range(40)]
+    waiting = (50, {"row_id": h(50), "family_id": h(150), "duplicate_of": h(60)})
+    old = {bytes(r.family): r.split for r in table.update(training([*rows, waiting]), plan).collect()}
+    a, b, c = next(i for i in range(40) if old[key(100 + i)] == "train"), next(i for i in range(40) if old[key(100 + i)] == "test"), next(i for i in range(40) if old[key(100 + i)] != old[key(150)])
+    # the rows named are in the earlier batch only; row 60 is what row 50 was waiting for
+    batch = [(70, {"row_id": h(70), "family_id": h(900), "duplicate_of": h(a)}), (71, {"row_id": h(71), "family_id": h(901), "duplicate_of": h(b)}), (60, {"row_id": h(60), "family_id": h(160)}), rows[a], rows[a]]
+    second = {bytes(r.family): r for r in table.update(training(batch), plan).collect()}
+    assert second[key(900)].component == second[key(100 + a)].component and second[key(900)].split == "train"
+    assert second[key(901)].component == second[key(100 + b)].component and second[key(901)].split == "test"
+    assert second[key(160)].component == second[key(150)].component and second[key(160)].split == old[key(150)]
+    assert second[key(100 + a)].n == 1 and sum(r.n for r in second.values()) == 44
+    # a tie of two rows of earlier batches merges different splits
+    third = {bytes(r.family): r for r in table.update(training([(80, {"row_id": h(80), "family_id": h(150), "duplicate_of": h(c)})]), plan).collect()}
+    assert {third[key(f)].split for f in (100 + c, 150, 160)} == {"quarantine"}
+    assert table.version() == 2
