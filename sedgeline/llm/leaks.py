@@ -181,14 +181,20 @@ def inventory_pairs(inventory: DataFrame) -> DataFrame:
     return same[0].unionByName(same[1]).unionByName(same[2]).distinct().select(*_ordered("t_id", "e_id", "inventory"))
 
 
-def row_splits(rows: DataFrame, sources: DataFrame) -> DataFrame:
-    """(id, key, train) of training rows: their family and the kind of their split: that of
-    the source record or, if that is null, the one inside source_key. Rows without a source record,
-    a family or a known split are left out."""
-    split = sources.where("source_key is not null").groupBy("source_key").agg(F.max(common.split_name(F.col("source_split"))).alias("split"))
+def _sourced(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, key, source, split) of training rows with a source record: their family, the dataset of the record and
+    its split or, if that is null, the one inside source_key. Family, dataset and split may be null."""
+    of_key = sources.where("source_key is not null").groupBy("source_key")
+    record = of_key.agg(F.max(common.split_name(F.col("source_split"))).alias("split"), F.max(common.dataset_key(F.col("dataset"))).alias("source"))
     inside = common.split_name(F.try_element_at(F.split(F.substring_index("source_key", "@", -1), "/"), F.lit(2)))
-    of = rows.select(F.col("line_no").cast("long").alias("id"), common.hash_key(F.col("family_id")).alias("key"), "source_key").join(split, "source_key")
-    return of.select("id", "key", (F.coalesce("split", inside) == "train").alias("train")).dropna()
+    of = rows.select(F.col("line_no").cast("long").alias("id"), common.hash_key(F.col("family_id")).alias("key"), "source_key").join(record, "source_key")
+    return of.select("id", "key", "source", F.coalesce("split", inside).alias("split"))
+
+
+def row_splits(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, key, train) of training rows: their family and the kind of their split. Rows
+    without a source record, a family or a known split are left out."""
+    return _sourced(rows, sources).select("id", "key", (F.col("split") == "train").alias("train")).dropna()
 
 
 def row_pairs(rows: DataFrame, sources: DataFrame) -> DataFrame:
@@ -211,11 +217,32 @@ def overlap_fractions(inventory: DataFrame) -> DataFrame:
     return table.where("not train").select("id").join(hit, "id", "left").select(F.col("id").alias("record_no"), F.round(F.coalesce("fraction", F.lit(0.0)), 6).alias("fraction"))
 
 
-def report(inventory: DataFrame) -> DataFrame:
-    """(source_id, split, record_count, overlapping, mean_fraction): evaluation records by source and split, how
-    many have a pair in the training split, and how much of them occurs there."""
+def inventory_report(inventory: DataFrame) -> DataFrame:
+    """(record_set, source, split, record_count, overlapping, mean_fraction) of the inventory by source_id, as in ``report``."""
     pairs = inventory_pairs(inventory).select(F.explode(F.array("a_no", "b_no")).alias("record_no")).distinct().withColumn("hit", F.lit(1))
     split = common.split_name(F.col("source_split"))
-    records = inventory.select(F.col("record_no").cast("long").alias("record_no"), "source_id", split.alias("split")).where("split <> 'train'")
+    records = inventory.select(F.col("record_no").cast("long").alias("record_no"), F.col("source_id").alias("source"), split.alias("split")).where("split <> 'train'")
     of = records.join(pairs, "record_no", "left").join(overlap_fractions(inventory), "record_no", "left")
-    return of.groupBy("source_id", "split").agg(F.count(F.lit(1)).alias("record_count"), F.count("hit").alias("overlapping"), F.round(F.avg(F.coalesce("fraction", F.lit(0.0))), 6).alias("mean_fraction"))
+    counts = of.groupBy("source", "split").agg(F.count(F.lit(1)).alias("record_count"), F.count("hit").alias("overlapping"), F.round(F.avg(F.coalesce("fraction", F.lit(0.0))), 6).alias("mean_fraction"))
+    return counts.select(F.lit("inventory").alias("record_set"), "source", "split", "record_count", "overlapping", "mean_fraction")
+
+
+def row_report(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """(record_set, source, split, record_count, overlapping, mean_fraction) of training rows by dataset, as in ``report``.
+
+    Rows are counted by family first, so a large family is one row of the join and no
+    pairs are made. A row without a family overlaps with none.
+    """
+    counted = stored(_sourced(rows, sources).groupBy("source", "split", "key").agg(F.count(F.lit(1)).alias("n")), "row-counts")
+    trained = counted.where("split = 'train'").select("key").dropna().distinct().withColumn("hit", F.lit(1))
+    of = counted.where("split <> 'train'").join(trained, "key", "left").groupBy("source", "split")
+    counts = of.agg(F.sum("n").alias("record_count"), F.sum(F.when(F.col("hit") == 1, F.col("n")).otherwise(0)).alias("overlapping"))
+    return counts.select(F.lit("training_rows").alias("record_set"), "source", "split", "record_count", "overlapping", F.lit(None).cast("double").alias("mean_fraction"))
+
+
+def report(inventory: DataFrame, rows: DataFrame | None = None, sources: DataFrame | None = None) -> DataFrame:
+    """(record_set, source, split, record_count, overlapping, mean_fraction): evaluation records of the inventory
+    and, with rows and sources, evaluation rows of training_rows by source and split; how many have a pair in
+    the training split, and how much of them occurs there (null for rows, which have no text)."""
+    out = inventory_report(inventory)
+    return out if rows is None else out.unionByName(row_report(rows, sources))

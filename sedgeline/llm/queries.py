@@ -114,7 +114,7 @@ def p3_fractions(spark, d):
 
 @query
 def p3_report(spark, d):
-    return leaks.report(table(spark, d, "inventory"))
+    return leaks.report(table(spark, d, "inventory"), table(spark, d, "training_rows"), table(spark, d, "source_records"))
 
 
 # Problem 4

@@ -166,3 +166,23 @@ def test_cut_is_local():
     assert length.sum() == 802 and list(np.bincount(doc, weights=length, minlength=5)) == [400, 401, 0, 0, 1]
     a, b = set(digest[doc == 0]), set(digest[doc == 1])
     assert len(a - b) <= 3
+
+
+def test_report_covers_training_rows(spark, tables):
+    rows, sources = tables("training_rows")[0], tables("source_records")[0]
+    split = {r.id: r.train for r in leaks.row_splits(rows, sources).collect()}
+    hit = {n for r in leaks.row_pairs(rows, sources).collect() for n in (r.a_no, r.b_no) if not split[n]}
+    got = leaks.report(tables("inventory")[0], rows, sources).where("record_set = 'training_rows'").collect()
+    assert hit and sum(r.overlapping for r in got) == len(hit)
+    assert {r.split for r in got} <= {"validation", "test", "external_eval"} and len({(r.source, r.split) for r in got}) == len(got)
+    assert sum(r.record_count for r in got) >= sum(not t for t in split.values())
+
+
+def test_report_of_rows_by_source_and_split(spark, training):
+    h = lambda i: f"sha256:{i:064x}"
+    sources = spark.createDataFrame([("d@1/train/1", "D_x", "Train"), ("d@1/test/2", "D-x ", "TEST"), ("d@1/test/2", "d x", None), ("e@1/validation/3", "e", None), ("e@1/other/4", "e", None)], "source_key string, dataset string, source_split string")
+    rows = training([
+        (1, {"family_id": h(1), "source_key": "d@1/train/1"}), (2, {"family_id": h(1).upper(), "source_key": "d@1/test/2"}), (3, {"family_id": h(2), "source_key": "d@1/test/2"}), (4, {"source_key": "d@1/test/2"}),
+        (5, {"family_id": h(1), "source_key": "e@1/validation/3"}), (6, {"family_id": h(1), "source_key": "e@1/other/4"}), (7, {"family_id": h(1), "source_key": "none"}),
+    ])
+    assert {tuple(r) for r in leaks.row_report(rows, sources).collect()} == {("training_rows", "d-x", "test", 3, 1, None), ("training_rows", "e", "validation", 1, 1, None)}
