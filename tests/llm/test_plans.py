@@ -93,3 +93,41 @@ def test_sample_is_near_its_targets(tables):
     for r in sampling.gaps(plan, cells, inv).collect():
         if (r.sample_name, r.subject, r.behavior) not in lacking:
             assert r.missing <= 3, r
+
+
+def met_brute(counts, least):
+    """The most records that count for the minimums, over all ways to give records to cells."""
+    records = [k for (k, _), n in counts.items() for _ in range(n)]
+    reached = {tuple(0 for _ in least)}
+    names = sorted(least)
+    for k in records:
+        reached |= {tuple(n + (c == to and n < least[c]) for c, n in zip(names, r)) for r in reached for to in k}
+    return max(map(sum, reached))
+
+
+def test_exchange_meets_all_minimums_it_can():
+    rng = random.Random(5)
+    for _ in range(150):
+        cells = ["a", "b", "c", "d"][: rng.randint(2, 4)]
+        kinds = {tuple(sorted(rng.sample(cells, rng.randint(1, len(cells))))) for _ in range(3)}
+        counts = {(k, at): rng.randint(0, 4) for k in kinds for at in (*k, None)}
+        least = {c: rng.randint(0, 5) for c in cells}
+        goal = {c: max(least[c], sum(n for (_, at), n in counts.items() if at == c)) + rng.randint(0, 2) for c in cells}
+        after = dict(counts)
+        for (k, at), of in sampling.exchange(counts, least, goal).items():
+            for to, n in of.items():
+                assert n > 0 and to in k
+                after[k, at] -= n
+                after[k, to] = after.get((k, to), 0) + n
+        have = {c: sum(n for (_, at), n in after.items() if at == c) for c in cells}
+        assert min(after.values()) >= 0 and all(have[c] <= goal[c] for c in cells)
+        assert sum(min(have[c], least[c]) for c in cells) == met_brute(counts, least)
+        assert not sampling.exchange(after, least, goal)
+
+
+def test_minimum_takes_from_cells_above_theirs(spark, inventory):
+    rows = [(i, {"subject": "physics", "eligible_behaviors": ["solve", "hint"]}) for i in range(20)]
+    plan = spark.createDataFrame([("s", "physics", "solve", 1.0, 20), ("s", "physics", "hint", 0.0, 20)], PLAN)
+    cells = spark.createDataFrame([("physics", "hint", 8, "x"), ("physics", "solve", 5, "x")], CELLS)
+    got = {r.behavior: r.drawn for r in sampling.gaps(plan, cells, inventory(rows)).collect()}
+    assert got == {"solve": 12, "hint": 8}
