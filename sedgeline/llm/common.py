@@ -13,12 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Spellings of splits, after case folding and with separators as "_".
-TRAIN_SPLITS = ("train", "training", "trn", "tr")
-VALIDATION_SPLITS = ("validation", "valid", "val", "dev", "development")
-TEST_SPLITS = ("test", "testing", "tst")
-EXTERNAL_SPLITS = ("external_eval", "eval_external", "external", "external_evaluation", "evaluation_external", "ext_eval")
-OTHER_EVAL_SPLITS = ("eval", "evaluation", "holdout", "held_out", "heldout")
+from sedgeline.functions.text import spelled, split_name  # noqa: F401
+
 # Spellings of subjects.
 SUBJECTS = {
     "math": ("math", "maths", "mathematics"),
@@ -31,22 +27,6 @@ SUBJECTS = {
 BLOCK = 2000
 
 
-def spelled(c: Column) -> Column:
-    """Lower case, trimmed, with runs of spaces, ``-`` and ``_`` as one ``_``."""
-    return F.regexp_replace(F.regexp_replace(F.lower(c), r"(?U)^\s+|\s+$", ""), r"(?U)[\s\-_]+", "_")
-
-
-def split_name(c: Column) -> Column:
-    """train, validation, test or external_eval; null for what names no split."""
-    s = spelled(c)
-    return (
-        F.when(s.isin(*TRAIN_SPLITS), "train")
-        .when(s.isin(*VALIDATION_SPLITS), "validation")
-        .when(s.isin(*TEST_SPLITS), "test")
-        .when(s.isin(*EXTERNAL_SPLITS, *OTHER_EVAL_SPLITS), "external_eval")
-    )
-
-
 def is_training(c: Column) -> Column:
     """True for a training split, false for an evaluation split, null for neither."""
     return split_name(c) == "train"

@@ -62,13 +62,17 @@ def repeated_documents(spark, d):
     return h.join(many, "h", "left_semi").select("doc_id")
 
 
+def _frozen(spark, d) -> tuple[DataFrame, DataFrame]:
+    """The exact hashes and template fingerprints of the evaluation: the inventory's validation, test and external_eval splits, and the items."""
+    held = table(spark, d, "inventory").where(text.split_name(F.col("source_split")) != "train").select(F.col("canonical_prompt").alias("prompt"))
+    return firewall.hash_sets(firewall.freeze(held.unionByName(table(spark, d, "eval_items").select(F.col("text").alias("prompt")))))
+
+
 @query()
 def firewall_decisions(spark, d):
-    """Inventory prompts against hashes frozen from the evaluation splits of the inventory itself and the items."""
-    inv = table(spark, d, "inventory").select("record_no", "source_split", F.col("canonical_prompt").alias("prompt"))
-    frozen = firewall.freeze(inv.where("source_split = 'external_eval'").select("prompt").unionByName(table(spark, d, "eval_items").select(F.col("text").alias("prompt"))))
-    exact, templates = firewall.hash_sets(frozen)
-    checked = firewall.check(inv.where("source_split = 'train'"), exact, templates)
+    """Training prompts of the inventory, in any spelling of the split, against hashes frozen from its evaluation splits and the items."""
+    inv = table(spark, d, "inventory").where(text.split_name(F.col("source_split")) == "train")
+    checked = firewall.check(inv.select("record_no", F.col("canonical_prompt").alias("prompt")), *_frozen(spark, d))
     return checked.groupBy("decision.allowed", "decision.exact_match", "decision.template_match").agg(F.count(F.lit(1)).alias("row_count"))
 
 

@@ -48,3 +48,14 @@ def test_entry_imports():
 
     assert set(catalogue.QUERIES) <= set(__spark_entry__.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_firewall_decisions_knows_all_spellings(spark, tmp_path):
+    rows = [
+        (1, "Validation", "What is one and one?"), (2, "test", "Name the largest planet."), (3, "external-eval", "Why is the sky blue?"),
+        (4, "TRAIN", "What is one and one?"), (5, "train ", "Name the largest planet."), (6, "trn", "Why is the sky blue?"), (7, "training", "A question of its own."), (8, None, "What is one and one?"),
+    ]
+    spark.createDataFrame(rows, "record_no long, source_split string, canonical_prompt string").write.parquet(f"{tmp_path}/inventory.parquet")
+    spark.createDataFrame([(1, "Another held-out text entirely")], "item_id long, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    got = {r.allowed: r.row_count for r in catalogue.QUERIES["firewall_decisions"](spark, str(tmp_path)).collect()}
+    assert got == {True: 1, False: 3}
