@@ -471,6 +471,46 @@ def census_summary(spark, d):
     return census.summary(_decided(spark, d), table(spark, d, "sources"))
 
 
+# The same with the firewall's stage, whose hashes DuckDB cannot write: no SQL
+
+
+def _decided_frozen(spark, d) -> DataFrame:
+    """As ``_decided``, every record also checked against the frozen evaluation."""
+    inv = table(spark, d, "inventory")
+    checked = firewall.check(inv.select("record_no", F.col("canonical_prompt").alias("prompt")), *_frozen(spark, d))
+    return census.decided(inv, table(spark, d, "sources"), checked.select("record_no", F.col("decision.reasons").alias("reasons")), strict=False)
+
+
+@query()
+def firewalled_reason_arrays(spark, d):
+    return _decided_frozen(spark, d).select("record_no", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query()
+def firewalled_reason_counts(spark, d):
+    return census.reason_counts(_decided_frozen(spark, d))
+
+
+@query()
+def firewalled_census_cells(spark, d):
+    return census.cells(_decided_frozen(spark, d)).select("subject", "behavior", "families", "gap", "status")
+
+
+@query()
+def firewalled_census_cells_by_source(spark, d):
+    return census.cells(_decided_frozen(spark, d)).select("subject", "behavior", F.explode("by_source").alias("source_id", "n"))
+
+
+@query()
+def firewalled_census_by_source(spark, d):
+    return census.by_source(_decided_frozen(spark, d), table(spark, d, "sources"))
+
+
+@query()
+def firewalled_census_summary(spark, d):
+    return census.summary(_decided_frozen(spark, d), table(spark, d, "sources"))
+
+
 # Validation
 
 

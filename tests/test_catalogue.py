@@ -59,3 +59,10 @@ def test_firewall_decisions_knows_all_spellings(spark, tmp_path):
     spark.createDataFrame([(1, "Another held-out text entirely")], "item_id long, text string").write.parquet(f"{tmp_path}/eval_items.parquet")
     got = {r.allowed: r.row_count for r in catalogue.QUERIES["firewall_decisions"](spark, str(tmp_path)).collect()}
     assert got == {True: 1, False: 3}
+
+
+def test_firewalled_census_rejects_frozen_prompts(spark, data):
+    counts = {r[0]: r[1] for r in catalogue.QUERIES["firewalled_reason_counts"](spark, data).collect()}
+    before = {r[0]: r[1] for r in catalogue.QUERIES["reason_counts"](spark, data).collect()}
+    assert counts["exact_eval_overlap"] > 0 and counts["template_eval_overlap"] > 0
+    assert all(counts[k] == n for k, n in before.items())
