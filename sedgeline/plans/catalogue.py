@@ -146,6 +146,13 @@ def answer_extract(spark, d):
     return inv.select("record_no", answers.normalize_answer(c).alias("answer"))
 
 
+@query()
+def answer_extract_all(spark, d):
+    """As ``answer_extract``, with the prompts that hold digits of other forms, which its SQL does not read."""
+    inv = table(spark, d, "inventory").where(F.col("canonical_prompt").rlike(r"(?U)\d"))
+    return inv.select("record_no", answers.normalize_answer(F.col("canonical_prompt")).alias("answer"))
+
+
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '<<([^>=]+)=([^>]+)>>')) AS spans, nullif(trim(regexp_extract(text, '<<([^>=]+)=([^>]+)>>', 1)), '') AS expr, nullif(trim(regexp_extract(text, '<<([^>=]+)=([^>]+)>>', 2)), '') AS val FROM documents WHERE text IS NOT NULL")
 def calculation_spans(spark, d):
     s = answers.spans(F.col("text"))
@@ -173,6 +180,12 @@ def hints(spark, d):
     return inv.select("record_no", answers.hint(F.col("canonical_prompt"), F.lit(None).cast("string")).alias("hint"))
 
 
+@query()
+def hints_all(spark, d):
+    """As ``hints``, for every prompt."""
+    return table(spark, d, "inventory").select("record_no", answers.hint(F.col("canonical_prompt"), F.lit(None).cast("string")).alias("hint"))
+
+
 @query("SELECT doc_id, length(text) - length(replace(text, '?', '')) AS questions, left(text, 240) AS preview FROM documents WHERE text IS NOT NULL")
 def question_counts(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", text.question_count(F.col("text")).alias("questions"), text.preview(F.col("text")).alias("preview"))
