@@ -166,6 +166,13 @@ def wrong_answers(spark, d):
     return table(spark, d, "documents").where(F.col("text").contains("####")).select("doc_id", gold.alias("gold"), F.when(F.instr(gold, ".") == 0, answers.wrong_answer(gold)).alias("wrong"))
 
 
+@query()
+def wrong_answers_all(spark, d):
+    """As ``wrong_answers``, decimal answers too."""
+    gold = answers.final_answer(F.col("text"))
+    return table(spark, d, "documents").where(F.col("text").contains("####")).select("doc_id", gold.alias("gold"), answers.wrong_answer(gold).alias("wrong"))
+
+
 @query()
 def clean_solutions(spark, d):
     return table(spark, d, "documents").where(text.has_markup(F.col("text"))).select("doc_id", answers.clean_solution(F.col("text")).alias("solution"))

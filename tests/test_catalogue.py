@@ -74,3 +74,9 @@ def test_answers_and_hints_of_full_width_digits(spark, tmp_path):
     assert set(got) == {1, 2} and got[2] == "6" and got[1] in ("4", "４")
     got = {r.record_no: r.hint for r in catalogue.QUERIES["hints_all"](spark, str(tmp_path)).collect()}
     assert set(got) == {1, 2, 3} and got[1].startswith("Combine ") and got[3].startswith("Name ")
+
+
+def test_wrong_answers_of_decimals(spark, tmp_path):
+    spark.createDataFrame([(1, "so #### 2.5"), (2, "so #### 7"), (3, "so #### 0")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.wrong for r in catalogue.QUERIES["wrong_answers_all"](spark, str(tmp_path)).collect()}
+    assert got == {1: "3.5", 2: "8", 3: "-1"}
