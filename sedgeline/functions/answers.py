@@ -11,8 +11,15 @@ from sedgeline.functions import text
 FINAL = r"(?U)####\s*(-?\d+(?:\.\d+)?)"
 SPAN = r"<<([^>=]+)=([^>]+)>>"
 _VALUE = r"-?\d+(?:\.\d+)?"
-#: Names of small numbers, for answers written as words.
-NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve")
+# The English words of numbers.
+UNITS = (
+    "zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen",
+    "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen",
+)
+TENS = ("twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety")
+SCALES = ("hundred", "thousand", "million")
+#: What ``clean_solution`` finds after an equals sign.
+TIGHT_EQUALS, WIDE_EQUALS = r"=(\S)", r"=\s+"
 
 
 def final_answer(c: Column) -> Column:
@@ -45,8 +52,8 @@ def clean_solution(c: Column, include_final: bool = True) -> Column:
         (r"=\s*(\$?)<<[^>=]+=\s*([^>]*?)\s*>>", "= $1$2"),
         (r"<<\s*([^>=]+?)\s*=\s*([^>]*?)\s*>>", "$1 = $2"),
         (FINAL.removeprefix("(?U)"), ""),
-        (r"=(\S)", "= $1"),
-        (r"=\s+", "= "),
+        (TIGHT_EQUALS, "= $1"),
+        (WIDE_EQUALS, "= "),
     ):
         t = F.regexp_replace(t, "(?U)" + pattern, to)
     numbered = F.transform(text.lines(t), lambda x, i: F.when(x.rlike(r"(?U)^\d+[.)]\s"), x).otherwise(F.concat((i + 1).cast("string"), F.lit(". "), x)))
@@ -112,17 +119,44 @@ def gold_letter(gold: Column) -> Column:
     return F.left(F.coalesce(place, g), F.lit(1))
 
 
+def number_words(n: Column) -> Column:
+    """The English words of a whole number from 0 to 999,999,999, with single spaces and without "and"
+    (two hundred five); null for others."""
+    n = F.when((n >= 0) & (n < 1_000_000_000) & (n == F.floor(n)), n.cast("long"))
+    unit = lambda k: F.element_at(F.array(*map(F.lit, UNITS)), (k + 1).cast("int"))
+    ten = lambda k: F.element_at(F.array(*map(F.lit, TENS)), F.greatest(F.lit(1), k - 1).cast("int"))
+
+    def below_hundred(k):
+        return F.when(k < 20, unit(F.least(k, F.lit(19)))).otherwise(F.concat_ws(" ", ten(F.floor(k / 10)), F.when(k % 10 > 0, unit(k % 10))))
+
+    def below_thousand(k):
+        return F.concat_ws(" ", F.when(k >= 100, F.concat(unit(F.floor(k / 100)), F.lit(" hundred"))), F.when((k % 100 > 0) | (k == 0), below_hundred(k % 100)))
+
+    million, thousand, rest = F.floor(n / 1_000_000), F.floor(n / 1000) % 1000, n % 1000
+    parts = [F.when(million > 0, F.concat(below_thousand(million), F.lit(" million"))), F.when(thousand > 0, F.concat(below_thousand(thousand), F.lit(" thousand"))), F.when((rest > 0) | (n == 0), below_thousand(rest))]
+    return F.when(n.isNotNull(), F.concat_ws(" ", *parts))
+
+
+def _as_words(t: Column, value: Column) -> Column:
+    """Whether a lower-case text holds a number's words that are no part of a longer number's; "and" may
+    stand after hundred, thousand and million, hyphens for spaces."""
+    scale, units, tens = "|".join(SCALES), "|".join(UNITS[1:]), "|".join(TENS)
+    spaced = F.trim(F.regexp_replace(t, r"(?U)\W+", " "))
+    inner = F.regexp_replace(number_words(value), rf"\b({scale}) ", "$1 (?:and )?")
+    before = rf"(?<!\b(?:{scale}|{tens}) )(?<!\b(?:{scale}) and )\b"
+    after = rf"\b(?! (?:{scale})\b|(?<=ty) (?:{'|'.join(UNITS[1:10])})\b|(?<={scale})(?: and)? (?:{units}|{tens})\b)"
+    return F.coalesce(F.regexp_like(spaced, F.concat(F.lit(before), inner, F.lit(after))), F.lit(False))
+
+
 def mentions_number(c: Column, value: Column) -> Column:
-    """Whether a text states a number's value: as digits (9, 9.0, 1,234), a fraction (18/2) or a
-    small number's word; digits inside a longer number don't count. Full-width digits count, digits of
-    other scripts don't."""
+    """Whether a text states a number's value: as digits (9, 9.0, 1,234), a fraction (18/2) or in English
+    words (twenty-one, two hundred and five); digits inside a longer number don't count, nor do words
+    inside a longer number's. Full-width digits count, digits of other scripts don't."""
     t = F.regexp_replace(F.lower(text.nfkc(c)), r"(?<=\d),(?=\d{3}(?!\d))", "")
     v = value.try_cast("double")
     plain = F.regexp_extract_all(t, F.lit(r"(?U)(?<![\w./])(-?\d+(?:\.\d+)?)(?![\w/]|\.\d)"), F.lit(1))
     above = F.regexp_extract_all(t, F.lit(r"(?U)(?<![\w.])(-?\d+)\s*/\s*\d+(?![\w]|\.\d)"), F.lit(1))
     below = F.regexp_extract_all(t, F.lit(r"(?U)(?<![\w.])-?\d+\s*/\s*(\d+)(?![\w]|\.\d)"), F.lit(1))
     fraction = F.exists(F.arrays_zip(above.alias("a"), below.alias("b")), lambda x: (x["b"].try_cast("double") != 0) & (x["a"].try_cast("double") == v * x["b"].try_cast("double")))
-    word = F.try_element_at(F.array(*map(F.lit, NUMBER_WORDS)), F.when((v >= 0) & (v <= 12) & (v == F.floor(v)), v.cast("int") + 1))
-    as_word = F.coalesce(F.array_contains(F.split(t, r"(?U)\W+"), word), F.lit(False))
     hit = F.exists(plain, lambda x: F.coalesce(x.try_cast("double") == v, F.lit(False)))
-    return hit | F.coalesce(fraction, F.lit(False)) | as_word
+    return hit | F.coalesce(fraction, F.lit(False)) | _as_words(t, v)

@@ -58,10 +58,16 @@ def norm_v0(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(c), rf"(?U){SPACE}+", " "))
 
 
+#: A comma between thousands, punctuation with the space around it, and a name as templates mask it.
+THOUSANDS = r"(?U)(?<=\d),(?=\d{3}\b)"
+TIGHT = rf"(?U){SPACE}*([,.;:!?=+\-*/^(){{}}\[\]]){SPACE}*"
+TEMPLATE_NAME = r"(?U)\b[A-Z][a-z]{2,}\b"
+
+
 def _norm_v1_folded(c: Column) -> Column:
     signs = F.replace(F.replace(F.replace(c, F.lit("−"), F.lit("-")), F.lit("×"), F.lit("*")), F.lit("÷"), F.lit("/"))
-    thousands = F.regexp_replace(signs, r"(?U)(?<=\d),(?=\d{3}\b)", "")
-    tight = F.regexp_replace(thousands, rf"(?U){SPACE}*([,.;:!?=+\-*/^(){{}}\[\]]){SPACE}*", "$1")
+    thousands = F.regexp_replace(signs, THOUSANDS, "")
+    tight = F.regexp_replace(thousands, TIGHT, "$1")
     return F.trim(F.regexp_replace(tight, rf"(?U){SPACE}+", " "))
 
 
@@ -74,10 +80,29 @@ def norm_v1(c: Column) -> Column:
 
 def template_norm(c: Column) -> Column:
     """``norm_v1`` after capitalized words became ``<name>`` and numbers ``<number>``."""
-    names = F.regexp_replace(nfkc(c), r"(?U)\b[A-Z][a-z]{2,}\b", "<name>")
+    names = F.regexp_replace(nfkc(c), TEMPLATE_NAME, "<name>")
     return _norm_v1_folded(casefold(F.regexp_replace(names, TEMPLATE_NUMBER, "<number>")))
 
 
+#: Normal forms by version.
+NORMALIZERS = {"norm-v0": norm_v0, "norm-v1": norm_v1, "template-v1": template_norm}
+
+
+def normalize(c: Column, version: str) -> Column:
+    """A normal form by its version's name; an unknown one is an error."""
+    if version not in NORMALIZERS:
+        raise ValueError(f"unknown normalization {version!r}; known: {', '.join(NORMALIZERS)}")
+    return NORMALIZERS[version](c)
+
+
+def normalize_by(c: Column, version: Column) -> Column:
+    """As ``normalize``, the version being a column; rows with an unknown one fail, with a null one are null."""
+    out = F.when(version.isNotNull(), F.raise_error(F.concat(F.lit("unknown normalization "), version)).cast("string"))
+    for name, f in NORMALIZERS.items():
+        out = F.when(version == name, f(c)).otherwise(out)
+    return out
+
+
 def find_artifact(c: Column) -> Column:
     """The first banned source artifact, as written; null without one."""
     return F.nullif(F.regexp_extract(c, ARTIFACT, 1), F.lit(""))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedgeline import vocab
@@ -46,9 +46,13 @@ def accepted_cells(decided_: DataFrame) -> DataFrame:
     return each.where(~F.col("behavior").isin(*vocab.GROUNDED_BEHAVIORS) | F.col("grounding_available")).drop("grounding_available")
 
 
-def cells(decided_: DataFrame, minimum: int = vocab.CELL_MINIMUM, target: int = vocab.CELL_TARGET) -> DataFrame:
+#: What to do about a short cell; own wording, to be replaced as needed, by subject or for any.
+REMEDIES = {None: ("pin and approve more sources", "import records that pass the gates", "add structured sources before any generation")}
+
+
+def cells(decided_: DataFrame, minimum: int = vocab.CELL_MINIMUM, target: int = vocab.CELL_TARGET, remedies: dict | None = None) -> DataFrame:
     """All cells of subject and behavior: distinct families across sources, by source (which may
-    add up to more), the gap to the minimum, and the status."""
+    add up to more), the gap to the minimum, the status, and for short ones the remedies."""
     spark = decided_.sparkSession
     spine = spark.createDataFrame([(s, b) for s in vocab.SUBJECTS for b in vocab.BEHAVIORS], "subject string, behavior string")
     each = accepted_cells(decided_)
@@ -57,7 +61,25 @@ def cells(decided_: DataFrame, minimum: int = vocab.CELL_MINIMUM, target: int =
     listed = by_source.groupBy("subject", "behavior").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("source_id", "n")))).alias("by_source"))  # sources a cell
     out = spine.join(total, ["subject", "behavior"], "left").join(listed, ["subject", "behavior"], "left")
     n = F.coalesce("families", F.lit(0))
-    return out.select("subject", "behavior", n.alias("families"), F.lit(target).alias("preferred_target"), F.lit(minimum).alias("minimum"), F.greatest(F.lit(minimum) - n, F.lit(0)).alias("gap"), F.when(n >= minimum, "ready").otherwise("short").alias("status"), F.coalesce("by_source", F.create_map().cast("map<string,bigint>")).alias("by_source"))
+    return out.select("subject", "behavior", n.alias("families"), F.lit(target).alias("preferred_target"), F.lit(minimum).alias("minimum"), F.greatest(F.lit(minimum) - n, F.lit(0)).alias("gap"), F.when(n >= minimum, "ready").otherwise("short").alias("status"), F.coalesce("by_source", F.create_map().cast("map<string,bigint>")).alias("by_source"), _remedies(remedies or REMEDIES, n < minimum).alias("remediation"))
+
+
+def _remedies(of: dict, short) -> Column:
+    words = lambda xs: F.array(*map(F.lit, xs)) if xs else F.array().cast("array<string>")
+    out = words(of.get(None, ()))
+    for subject, xs in of.items():
+        if subject is not None:
+            out = F.when(F.col("subject") == subject, words(xs)).otherwise(out)
+    return F.when(short, out).otherwise(words(()))
+
+
+def gate_a(decided_: DataFrame, sources: DataFrame, registry_rows: DataFrame, schema_fields: int, minimum: int = vocab.CELL_MINIMUM) -> DataFrame:
+    """One row: the columns of the schema, the sources, the rows of the registry's tables (table_name, row_count), and the
+    census with its decision; may_start only if every cell is ready."""
+    held = registry_rows.agg(F.sum("row_count").alias("registry_rows"), F.count(F.lit(1)).alias("registry_tables"))
+    listed = sources.agg(F.count(F.lit(1)).alias("source_count"))
+    whole = one_row(summary(decided_, sources, minimum), held, listed)
+    return whole.withColumns({"phase": F.lit("A"), "schema_fields": F.lit(schema_fields), "tooling_complete": F.col("ready_cells") + F.col("short_cells") == len(vocab.SUBJECTS) * len(vocab.BEHAVIORS), "may_start": F.col("all_ready")})
 
 
 def by_source(decided_: DataFrame, sources: DataFrame) -> DataFrame:

@@ -41,10 +41,10 @@ def _flag(df: DataFrame, key: Column, hashes: DataFrame, name: str) -> DataFrame
 def check(candidates: DataFrame, exact: DataFrame, templates: DataFrame, prompt: str = "prompt") -> DataFrame:
     """The candidates with ``decision``: allowed, exact_match, template_match and the reasons in this order.
 
-    Null prompts match nothing.
+    Null prompts match nothing. Both hashes come from one projection, so texts go to Python once at most.
     """
-    one = _flag(candidates, identity.content_hash(F.col(prompt)), exact, "_exact")
-    two = _flag(one, identity.template_fingerprint(F.col(prompt)), templates, "_template")
+    hashed = candidates.withColumns({"_h": identity.content_hash(F.col(prompt)), "_t": identity.template_fingerprint(F.col(prompt))})
+    two = _flag(_flag(hashed, F.col("_h"), exact, "_exact"), F.col("_t"), templates, "_template").drop("_h", "_t")
     reasons = F.array_compact(F.array(F.when(F.col("_exact"), EXACT), F.when(F.col("_template"), TEMPLATE)))
     decision = F.struct((~(F.col("_exact") | F.col("_template"))).alias("allowed"), F.col("_exact").alias("exact_match"), F.col("_template").alias("template_match"), reasons.alias("reasons"))
     return two.withColumn("decision", decision).drop("_exact", "_template")
@@ -73,19 +73,20 @@ def survivors_v0(candidates: DataFrame, frozen: DataFrame, text: str = "text", f
     return candidates.join(banned, identity.hash_v0(F.col(text)) == banned["_banned"], "left_anti")
 
 
-def gate(judge: DataFrame, rubric: DataFrame, cells: DataFrame, stats: DataFrame, reservations: DataFrame, judge_path: str, expected: int, minimum: int) -> DataFrame:
+def gate(judge: DataFrame, rubric: DataFrame, cells: DataFrame, stats: DataFrame, reservations: DataFrame, judge_path: str, expected: int, minimum: int, checks: DataFrame | None = None) -> DataFrame:
     """(check, passed) of the frozen evaluation as a whole.
 
     judge: (id, prompt, checks); rubric: (name); cells: (subject, behavior, minimum_examples);
-    stats: as ``file_stats``; expected: judge rows; minimum: examples a cell.
+    stats: as ``file_stats``; expected: judge rows; minimum: examples a cell; checks: the rows whose checks the
+    rubric must define, if other than the judge's.
     """
     one = judge.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("ids"), F.count_distinct(identity.content_hash(F.col("prompt"))).alias("prompts"))
-    missing = missing_checks(judge, rubric).agg(F.count(F.lit(1)).alias("missing"))
+    missing = missing_checks(judge if checks is None else checks, rubric).agg(F.count(F.lit(1)).alias("missing"))
     plan = cells.agg(F.count(F.lit(1)).alias("cells"), F.count_distinct("subject", "behavior").alias("distinct_cells"), F.count_if(~F.col("minimum_examples").eqNullSafe(minimum)).alias("off"))
     held = stats.where(F.col("path") == judge_path).agg(F.count(F.lit(1)).alias("files"), F.max("prompts_hashed").alias("hashed"))
     kept = reservations.agg(F.count(F.lit(1)).alias("reservations"))
     row = one_row(one, missing, plan, held, kept)
-    checks = {
+    passed = {
         "unique_judge_ids": (F.col("n") == expected) & (F.col("ids") == expected),
         "unique_judge_prompts": F.col("prompts") == expected,
         "rubric_covers_checks": F.col("missing") == 0,
@@ -94,7 +95,7 @@ def gate(judge: DataFrame, rubric: DataFrame, cells: DataFrame, stats: DataFrame
         "judge_frozen": (F.col("files") == 1) & F.col("hashed").eqNullSafe(expected),
         "reservations_present": F.col("reservations") > 0,
     }
-    rows = F.array(*(F.struct(F.lit(k).alias("check"), F.coalesce(v, F.lit(False)).alias("passed")) for k, v in checks.items()))
+    rows = F.array(*(F.struct(F.lit(k).alias("check"), F.coalesce(v, F.lit(False)).alias("passed")) for k, v in passed.items()))
     return row.select(F.inline(rows))
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedgeline.functions import answers, checklist, prompts, text
+from sedgeline.joins import attach
+from sedgeline.operators import ordinal
+from sedgeline.scratch import stored
 
 
 def latest(predictions: DataFrame, order: str = "position") -> DataFrame:
@@ -45,15 +50,15 @@ def samples(df: DataFrame, order: str, prompt: str, pred: str, n: int = 3) -> Da
     return df.where(F.length(prompt) > 0).orderBy(order).limit(n).select(text.preview(F.col(prompt), 120).alias("prompt"), text.preview(F.col(pred), 200).alias("pred"))
 
 
-def checked(df: DataFrame, checks: str = "checks", pred: str = "pred") -> DataFrame:
-    """(id, passed, markup_leak, results): each item's checks, the default one where it has none.
+def checked(df: DataFrame, checks: str = "checks", pred: str = "pred", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, keep, passed, markup_leak, results): each item's checks, the default one where it has none.
 
     Checks are evaluated in the row's own array: no shuffle, and rows without checks stay.
     """
     names = F.when(F.coalesce(F.size(checks), F.lit(0)) > 0, F.col(checks)).otherwise(F.array(*map(F.lit, checklist.DEFAULT)))
     results = F.transform(names, lambda n: F.struct(n.alias("name"), checklist.check_named(n, F.col(pred)).alias("met")))
-    out = df.select("id", results.alias("results"), F.coalesce(text.has_markup(F.col(pred)), F.lit(False)).alias("markup_leak"))
-    return out.select("id", F.forall("results", lambda r: r["met"]).alias("passed"), "markup_leak", "results")
+    out = df.select("id", *keep, results.alias("results"), F.coalesce(text.has_markup(F.col(pred)), F.lit(False)).alias("markup_leak"))
+    return out.select("id", *keep, F.forall("results", lambda r: r["met"]).alias("passed"), "markup_leak", "results")
 
 
 def checklist_rates(checked_: DataFrame) -> DataFrame:
@@ -84,24 +89,55 @@ def winner(df: DataFrame, order: str, rss: str = "peak_rss_mb", ok: str | None =
     return fit.orderBy(F.round("composite", 2).desc(), order).limit(1)
 
 
+def _front(points: np.ndarray) -> np.ndarray:
+    """The places of the rows that no other row equals or beats everywhere and beats somewhere; smaller is
+    better. A beaten row comes after its beater in lexicographic order, so one sweep does."""
+    order = np.lexsort(points.T[::-1])
+    kept = np.empty((0, points.shape[1]))
+    out = []
+    for i in order:
+        p = points[i]
+        le = (kept <= p).all(1)
+        if not (le & (kept < p).any(1)).any():
+            out.append(i)
+            if not le.any():  # equal rows need no second entry
+                kept = np.vstack([kept, p])
+    return np.array(out, np.int64)
+
+
 def pareto(df: DataFrame, higher: list[str], lower: list[str], rows: int = 100_000) -> DataFrame:
-    """The rows that no other row equals or beats everywhere and beats somewhere.
+    """The rows that no other row equals or beats everywhere and beats somewhere. Rows with a null measure
+    are left out.
 
-    Few configurations are expected: beyond ``rows`` distinct ones an error says so. They are first
-    thinned to those best in the first measure for their others, then compared pairwise.
+    Every partition first keeps its own front of the distinct points; what is left is compared in
+    blocks of ``rows`` points, each broadcast, so a front of any size is exact.
     """
     axes = [*higher, *lower]
-    best = df.groupBy(*axes[1:]).agg((F.max if higher else F.min)(axes[0]).alias(axes[0])).select(*axes)
-    n = best.limit(rows + 1).count()
-    if n > rows:
-        raise ValueError(f"more than {rows} distinct configurations")
-    other = F.broadcast(best.toDF(*(f"_{a}" for a in axes)))
-    no_worse = [F.col(f"_{a}") >= F.col(a) for a in higher] + [F.col(f"_{a}") <= F.col(a) for a in lower]
-    better = [F.col(f"_{a}") > F.col(a) for a in higher] + [F.col(f"_{a}") < F.col(a) for a in lower]
-    dominated, strict = no_worse[0], better[0]
-    for a, b in zip(no_worse[1:], better[1:]):
-        dominated, strict = dominated & a, strict | b
-    return df.join(other, dominated & strict, "left_anti")
+    sign = np.array([-1.0] * len(higher) + [1.0] * len(lower))
+    points = df.select(*(F.col(a).cast("double").alias(a) for a in axes)).dropna().distinct()
+
+    def run(batches):
+        kept = np.empty((0, len(axes)))
+        for batch in batches:
+            x = np.column_stack([np.asarray(c.to_numpy(zero_copy_only=False), np.float64) for c in batch.columns]) * sign
+            for a in range(0, len(x), 5000):
+                both = np.vstack([kept, x[a : a + 5000]])
+                kept = both[_front(both)]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in (kept * sign).T], names=axes)
+
+    front = stored(points.mapInArrow(run, ", ".join(f"`{a}` double" for a in axes)), "front")
+    n = front.count()
+    out = df.dropna(subset=axes)
+    for k in range(max(1, -(-n // rows))):
+        block = front.where(F.pmod(F.xxhash64(*axes), F.lit(max(1, -(-n // rows)))) == k)
+        other = F.broadcast(block.toDF(*(f"_{a}" for a in axes)))
+        no_worse = [F.col(f"_{a}") >= F.col(a) for a in higher] + [F.col(f"_{a}") <= F.col(a) for a in lower]
+        better = [F.col(f"_{a}") > F.col(a) for a in higher] + [F.col(f"_{a}") < F.col(a) for a in lower]
+        dominated, strict = no_worse[0], better[0]
+        for a, b in zip(no_worse[1:], better[1:]):
+            dominated, strict = dominated & a, strict | b
+        out = out.join(other, dominated & strict, "left_anti")
+    return out
 
 
 def macro_micro(df: DataFrame, value: str, *cell: str) -> DataFrame:
@@ -122,17 +158,40 @@ def break_even(speed_gain: Column, memory_gain: Column) -> Column:
     return 0.6 * speed_gain + 0.4 * memory_gain
 
 
+def medians(df: DataFrame, value: str, *by: str) -> DataFrame:
+    """(by, median) of a measure, exact: rows are numbered in their group over a range partitioning, so a
+    group of any size is spread, and the one or two middle rows are averaged. Null measures don't count."""
+    placed = stored(ordinal.with_ordinal_by(df.where(F.col(value).isNotNull()).select(*by, value), list(by), value, name="_o"), "placed")
+    n = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    if not by:
+        met = placed.join(F.broadcast(n))
+    else:
+        met = attach(placed.withColumns({f"_g{i}": F.coalesce(F.col(b).cast("string"), F.lit("\u0000")) for i, b in enumerate(by)}), stored(n.select(*(F.coalesce(F.col(b).cast("string"), F.lit("\u0000")).alias(f"_g{i}") for i, b in enumerate(by)), "_n"), "group-sizes"), [f"_g{i}" for i in range(len(by))], "_n")
+    middle = (F.col("_o") == F.floor((F.col("_n") - 1) / 2)) | (F.col("_o") == F.ceil((F.col("_n") - 1) / 2))
+    return met.where(middle).groupBy(*by).agg(F.avg(value).alias("median"))
+
+
 def repeated_runs(df: DataFrame, value: str, *by: str) -> DataFrame:
     """(by, runs, mean, deviation, median) over repeated runs."""
-    return df.groupBy(*by).agg(F.count(value).alias("runs"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation"), F.percentile(value, 0.5).alias("median"))
+    n = df.groupBy(*by).agg(F.count(value).alias("runs"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("deviation"))
+    m = medians(df, value, *by).toDF(*(f"_k{i}" for i in range(len(by))), "median")
+    same = F.lit(True)
+    for i, b in enumerate(by):
+        same = same & F.col(b).eqNullSafe(F.col(f"_k{i}"))
+    return n.join(m, same, "left").select(*by, "runs", "mean", "deviation", "median")
 
 
 def precision_threshold(df: DataFrame, score: str, correct: str, least: float = 0.95) -> DataFrame:
     """(threshold): the lowest score at or above which the share of correct rows is at least ``least``.
 
-    Scores are aggregated before the running sum; their distinct values should be few (round them).
+    Scores are aggregated first, and summed up over a range partitioning of them, however many there are. Null scores are left out.
     """
-    n = df.groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.count_if(correct).alias("k"))
-    w = Window.orderBy(F.col(score).desc())
-    running = n.select(score, (F.sum("k").over(w) / F.sum("n").over(w)).alias("precision"))
-    return running.where(F.col("precision") >= least).agg(F.min(score).alias("threshold"))
+    n = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.count_if(correct).alias("k"))
+    running = ordinal.with_running(n, [F.col(score).desc()], k_sum="k", n_sum="n")
+    return running.where(F.col("k_sum") / F.col("n_sum") >= least).agg(F.min(score).alias("threshold"))
+
+
+def derived(df: DataFrame, suite: str, measure: str, names: dict[str, str], *by: str) -> DataFrame:
+    """(by, a column for each of names): measures of suites copied under names of their own, as
+    {"forget_proxy": "holdout"}; null where a suite wasn't run. Of several rows of a suite the greatest measure counts."""
+    return df.groupBy(*by).agg(*(F.max(F.when(F.col(suite) == s, F.col(measure))).alias(n) for n, s in names.items()))

@@ -10,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedgeline import vocab
+from sedgeline.functions import text as text_functions
+from sedgeline.joins import attach
+from sedgeline.scratch import stored
 from sedgeline.sizing import small
 
 
@@ -39,11 +43,18 @@ def representatives(df: DataFrame, by: list[str], key: str, order: list[Column])
     """The rows with ``retained``, the key of their group's best row, and ``is_duplicate``.
 
     The best row is a rank of at most 1, of which every partition keeps one row a group
-    before the shuffle: a large group never meets in a task. Rows with a null in ``by`` are a
-    group of nulls for the best row and are joined to none.
+    before the shuffle, and rows of large groups are met by broadcast (``joins.attach``): a large group
+    never meets in a task. Rows with a null in ``by`` belong to no group: null and null.
     """
-    best = top_per_group(df, by, order, 1).select(*by, F.col(key).alias("retained"))
-    return df.join(best, by, "left").withColumn("is_duplicate", F.col(key) != F.col("retained"))
+    rows = df.dropna(subset=by)
+    best = top_per_group(rows, by, order, 1).select(*by, F.col(key).alias("retained"))
+    sized = stored(best.join(rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by), "representatives")
+    met = attach(rows, sized, by, "_n").select(*df.columns, "retained")
+    alone = F.col(by[0]).isNull()
+    for b in by[1:]:
+        alone = alone | F.col(b).isNull()
+    none = df.where(alone).withColumn("retained", F.lit(None).cast(df.schema[key].dataType))
+    return met.unionByName(none).withColumn("is_duplicate", F.col(key) != F.col("retained"))
 
 
 def share_caps(df: DataFrame, cell: list[str], value: str, cap: float) -> DataFrame:
@@ -53,9 +64,62 @@ def share_caps(df: DataFrame, cell: list[str], value: str, cap: float) -> DataFr
     return n.join(whole, cell).withColumn("share", F.col("n") / F.col("_whole")).withColumn("over", F.col("share") > cap).drop("_whole")
 
 
+def within_caps(df: DataFrame, cell: list[str], quota: Column, caps: dict[str, float], order: list[Column]) -> DataFrame:
+    """The rows of each cell that fit under the caps: of each value of a capped column at most cap x quota
+    rows, the first ones by the order, one column after the other (so the second cap counts what the
+    first left), then at most quota rows of the cell.
+
+    quota: a column of df. Every rank is limited, so partitions keep no more than they may give.
+    """
+    most = df.agg(F.max(quota)).first()[0] or 0
+    out = df
+    for column, cap in [*caps.items(), (None, 1.0)]:
+        by = cell if column is None else [*cell, column]
+        rank = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+        out = out.withColumn("_rank", rank).where(F.col("_rank") <= int(most * cap)).where(F.col("_rank") <= F.floor(quota * cap)).drop("_rank")
+    return out
+
+
+def rarity(df: DataFrame, cell: list[str], value: str, name: str = "rarity") -> DataFrame:
+    """df with the number of rows of its cell that share a value: small for rare ones. Nulls are a value."""
+    n = df.groupBy(*cell, value).agg(F.count(F.lit(1)).alias(name))
+    keys = [*cell, value]
+    renamed = stored(n.select(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(keys)), name), "rarity")
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(small(renamed), same, "left").select(*df.columns, name)
+
+
+def quota_controller(rows: DataFrame, targets: DataFrame, key: str, cell: str, options: str, order: list[Column]) -> DataFrame:
+    """(key, cell, option): one option for each row that gets one, filling the short options of a cell.
+
+    rows: key, cell, options (array<string>); targets: (cell, option, target). In each cell the options are
+    filled from the scarcest (candidates against target) to the most plentiful, each with the
+    first rows by the order that no option before took; at most as many steps as a cell has
+    options, each for all cells at once.
+    """
+    each = rows.select("*", F.explode(F.array_distinct(options)).alias("_o"))
+    supply = each.groupBy(cell, F.col("_o").alias("option")).agg(F.count(F.lit(1)).alias("_n"))
+    plan = targets.join(supply, [cell, "option"], "left").where("target > 0")
+    turn = F.row_number().over(Window.partitionBy(cell).orderBy(F.coalesce("_n", F.lit(0)) / F.col("target"), "option"))
+    plan = stored(plan.select(cell, F.col("option").alias("_want"), "target", turn.alias("_turn")), "turns")
+    steps, most = plan.agg(F.max("_turn"), F.max("target")).first()  # a plan's lines
+    left, out = rows, None
+    for k in range(1, (steps or 0) + 1):
+        now = left.join(small(plan.where(F.col("_turn") == k)), cell).where(F.array_contains(options, F.col("_want")))
+        rank = F.row_number().over(Window.partitionBy(cell).orderBy(*order))
+        took = now.withColumn("_rank", rank).where(F.col("_rank") <= int(most)).where("_rank <= target")
+        took = stored(took.select(key, cell, F.col("_want").alias("option")), "taken")
+        out = took if out is None else out.unionByName(took)
+        left = left.join(took.select(key), key, "left_anti")
+    return out if out is not None else rows.select(key, cell, F.lit(None).cast("string").alias("option")).limit(0)
+
+
 def hash_split(key: Column, seed: int = 0, shares: tuple[tuple[str, float], ...] = (("train", 0.8), ("validation", 0.1), ("test", 0.1)), given: Column | None = None) -> Column:
-    """A split by a hash of the family; a split given by the source comes first."""
-    u = F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    """A split by a hash of the family (the first 32 bits of the SHA-256 of seed and key); a split given
+    by the source comes first."""
+    u = F.conv(F.left(F.sha2(F.concat(F.lit(f"{seed}:"), key.cast("string")), 256), F.lit(8)), 16, 10).cast("long") / float(1 << 32)
     out, top = F.lit(shares[-1][0]), sum(s for _, s in shares)
     for name, s in reversed(shares[:-1]):
         top = sum(x for n, x in shares[: [k for k, _ in shares].index(name) + 1])
@@ -96,6 +160,18 @@ def route(*candidates: Column) -> Column:
     return F.coalesce(*(F.nullif(F.trim(c), F.lit("")) for c in candidates))
 
 
+def routed(df: DataFrame, explicit: str, known: list[str], mapping: DataFrame, key: str, keywords: list[tuple[str, str]], text: str) -> DataFrame:
+    """df with ``routed`` and ``routed_by``: the explicit value if it is a known one (metadata), else the one that the
+    mapping (key, value) gives for the row's key (mapping), else the first keyword pattern that the text meets
+    (keyword), else null (unresolved). A key mapped to several values maps to none."""
+    one = mapping.dropna().groupBy(key).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi")).where("_lo = _hi").select(F.col(key).alias("_key"), F.col("_lo").alias("_mapped"))
+    met = df.join(small(one), F.col(key) == F.col("_key"), "left")
+    own = F.when(F.col(explicit).isin(*known), F.col(explicit))
+    by_word = F.coalesce(*(F.when(F.col(text).rlike(p), v) for p, v in keywords), F.lit(None).cast("string"))
+    how = F.when(own.isNotNull(), "metadata").when(F.col("_mapped").isNotNull(), "mapping").when(by_word.isNotNull(), "keyword").otherwise("unresolved")
+    return met.withColumns({"routed": F.coalesce(own, "_mapped", by_word), "routed_by": how}).drop("_key", "_mapped")
+
+
 def band(score: Column, low: float, high: float) -> Column:
     """accept, review or reject, by a threshold with a band of doubt."""
     return F.when(score >= high, "accept").when(score >= low, "review").when(score.isNotNull(), "reject")
@@ -120,7 +196,8 @@ def combine(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 def replay_weights(df: DataFrame, is_replay: Column, replay: float = 0.1) -> DataFrame:
     """The rows with ``weight``, so that replay rows make up a part of the whole without being copied.
-    The rows are counted here and now."""
+    The rows are counted here and now. Null means no replay row."""
+    is_replay = F.coalesce(is_replay, F.lit(False))
     n = df.agg(F.count_if(is_replay).alias("r"), F.count_if(~is_replay).alias("f")).first()
     return df.withColumn("weight", F.when(is_replay, replay / max(n.r, 1)).otherwise((1 - replay) / max(n.f, 1)))
 
@@ -135,6 +212,23 @@ def fallback(first: DataFrame, second: DataFrame, least: int = 1500) -> DataFram
     return first if first.limit(least).count() >= least else second
 
 
+def translated_well(source: Column, target: Column, low: float = 0.4, high: float = 2.5, least_script: float = 0.5, script: str | None = None) -> Column:
+    """Whether a translation can be kept: neither side blank, a length between ``low`` and ``high`` times the source's, the
+    same numbers in any order, and, where a script is named, enough of its letters in the target."""
+    a, b = F.length(F.trim(F.coalesce(source, F.lit("")))), F.length(F.trim(F.coalesce(target, F.lit(""))))
+    same = F.array_sort(text_functions.numbers(source)) == F.array_sort(text_functions.numbers(target))
+    ok = (a > 0) & (b > 0) & (b >= low * a) & (b <= high * a) & same
+    return F.coalesce(ok if script is None else ok & (text_functions.script_share(target, script) >= least_script), F.lit(False))
+
+
+def default_error_class(error_type: Column) -> Column:
+    """The class an error type has by default; null for none, and for types decided case by case."""
+    out = F.lit(None).cast("string")
+    for name, types in vocab.DEFAULT_ERROR_CLASSES.items():
+        out = F.when(error_type.isin(*types), name).otherwise(out)
+    return out
+
+
 def fertility(df: DataFrame, tokens: str, words: str, *by: str) -> DataFrame:
     """(by, fertility): tokens a word."""
     return df.groupBy(*by).agg((F.sum(tokens) / F.nullif(F.sum(words), F.lit(0))).alias("fertility"))

@@ -2,39 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sedgeline import vocab
+from sedgeline import scratch, vocab
 from sedgeline.functions import answers, checklist, identity, prompts, text
 from sedgeline.operators import census, firewall, mix, neighbors, ordinal, registry, rules, scoring, selection
+from sedgeline.plans.base import FROZEN, ORACLE_SQL, QUERIES, SPACE, WORD, nfkc, norm0, norm1, query, sha, split_name, template
 from sedgeline.session import table
 from sedgeline.sizing import small
+from sedgeline.sources import sinks
 from sedgeline.streaming import runlog
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-_SP = r"[\s\p{Z}\x0B\x1C-\x1F\x85]+"
-
-
-def norm0(c: str) -> str:
-    return f"trim(regexp_replace(lower({c}), '{_SP}', ' ', 'g'))"
-
 
 # Firewall and hashes
 
@@ -68,7 +49,10 @@ def _frozen(spark, d) -> tuple[DataFrame, DataFrame]:
     return firewall.hash_sets(firewall.freeze(held.unionByName(table(spark, d, "eval_items").select(F.col("text").alias("prompt")))))
 
 
-@query()
+@query(f"""
+WITH {FROZEN}
+SELECT NOT (exact_match OR template_match) AS allowed, exact_match, template_match, count(*) AS row_count
+FROM firewall_ JOIN inventory USING (record_no) WHERE {split_name('source_split')} = 'train' GROUP BY ALL""")
 def firewall_decisions(spark, d):
     """Training prompts of the inventory, in any spelling of the split, against hashes frozen from its evaluation splits and the items."""
     inv = table(spark, d, "inventory").where(text.split_name(F.col("source_split")) == "train")
@@ -81,34 +65,30 @@ def norm_v0_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", identity.hash_v0(F.col("text")).alias("h"))
 
 
-@query()
+@query(f"SELECT record_no, {sha('canonical-content', norm1('canonical_prompt'))} AS h FROM inventory")
 def norm_v1_hash(spark, d):
     return table(spark, d, "inventory").select("record_no", identity.content_hash(F.col("canonical_prompt")).alias("h"))
 
 
-@query()
+@query(f"SELECT {sha('template', template('canonical_prompt'))} AS h, count(*) AS n FROM inventory GROUP BY 1")
 def template_fingerprints(spark, d):
     h = table(spark, d, "inventory").select(identity.template_fingerprint(F.col("canonical_prompt")).alias("h"))
     return h.groupBy("h").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"SELECT item_id, {sha('message', chr(39) + 'user' + chr(39), norm1('text'))} AS h FROM eval_items")
 def message_hashes(spark, d):
     return table(spark, d, "eval_items").select("item_id", identity.message_hash(F.col("text"), F.lit("user")).alias("h"))
 
 
-def _sha(ns: str, *parts: str) -> str:
-    return f"'sha256:' || sha256('{ns}' || chr(31) || 'norm-v1' || chr(31) || " + " || chr(31) || ".join(parts) + ")"
-
-
-@query(f"SELECT original_id, dataset || '@' || revision || '/' || source_split || '/' || original_id AS source_key, {_sha('source-family', 'source_key')} AS family_id FROM source_records".replace("'norm-v1' || chr(31) || source_key", "'norm-v1' || chr(31) || source_records.source_key"))
+@query(f"SELECT original_id, dataset || '@' || revision || '/' || source_split || '/' || original_id AS source_key, {sha('source-family', 'source_key')} AS family_id FROM source_records".replace("'norm-v1' || chr(31) || source_key", "'norm-v1' || chr(31) || source_records.source_key"))
 def source_families(spark, d):
     s = table(spark, d, "source_records")
     made = identity.source_key(F.col("dataset"), F.col("revision"), F.col("source_split"), F.col("original_id"))
     return s.select("original_id", made.alias("source_key"), identity.source_family(F.col("source_key")).alias("family_id"))
 
 
-@query(f"SELECT line_no, {_sha('training-row', 'family_id', 'selected_behavior', 'constraint_signature', 'renderer_version')} AS made FROM training_rows")
+@query(f"SELECT line_no, {sha('training-row', 'family_id', 'selected_behavior', 'constraint_signature', 'renderer_version')} AS made FROM training_rows")
 def row_identifiers(spark, d):
     made = identity.row_id(*(F.col(c) for c in ("family_id", "selected_behavior", "constraint_signature", "renderer_version")))
     return table(spark, d, "training_rows").select("line_no", made.alias("made"))
@@ -126,10 +106,13 @@ def constraint_signatures(spark, d):
 
 @query(r"""
 SELECT source, count(*) FILTER (WHERE regexp_matches(text, '####')) AS final_marks, count(*) FILTER (WHERE regexp_matches(text, '<<[^>]*>>')) AS spans,
-       count(*) FILTER (WHERE regexp_matches(text, '(?i)</?think>')) AS thinks FROM documents GROUP BY source""")
+       count(*) FILTER (WHERE regexp_matches(text, '(?i)</?think>')) AS thinks,
+       count(*) FILTER (WHERE regexp_matches(text, '(?i)(<think>|</think>|####|<<[^>]*>>|<\|(?:assistant|user|system)\|>)')) AS artifacts FROM documents GROUP BY source""")
 def artifact_scan(spark, d):
-    has = lambda p: F.count_if(F.col("text").rlike(p))
-    return table(spark, d, "documents").groupBy("source").agg(has("####").alias("final_marks"), has("<<[^>]*>>").alias("spans"), has("(?i)</?think>").alias("thinks"))
+    has = lambda c: F.count_if(c)
+    t, artifact = F.col("text"), F.lower(text.find_artifact(F.col("text")))
+    marks = table(spark, d, "documents").select("source", t.contains("####").alias("m"), text.has_markup(F.replace(t, F.lit("####"), F.lit(""))).alias("s"), artifact.alias("a"), text.find_artifact(F.regexp_replace(t, text.MARKUP, "")).alias("rest"))
+    return marks.groupBy("source").agg(has("m").alias("final_marks"), has("s").alias("spans"), F.count_if(F.lower("rest").isin("<think>", "</think>")).alias("thinks"), F.count("a").alias("artifacts"))
 
 
 @query(r"SELECT doc_id, nullif(lower(regexp_extract(text, '(?i)(<think>|</think>|####|<<[^>]*>>|<\|(?:assistant|user|system)\|>)', 1)), '') AS artifact FROM documents")
@@ -137,38 +120,26 @@ def first_artifact(spark, d):
     return table(spark, d, "documents").select("doc_id", F.lower(text.find_artifact(F.col("text"))).alias("artifact"))
 
 
-@query(r"""
-SELECT record_no, coalesce(regexp_extract_all(replace(lower(canonical_prompt), ',', ''), '-?[0-9]+(?:\.[0-9]+)?')[-1], '') AS answer FROM inventory
-WHERE regexp_matches(canonical_prompt, '[0-9]') AND NOT regexp_matches(canonical_prompt, '[０-９]')""")
+@query(rf"""
+WITH t AS (SELECT record_no, replace(lower(coalesce(canonical_prompt, '')), ',', '') AS t FROM inventory)
+SELECT record_no, coalesce(regexp_extract_all(t, '-?\p{{Nd}}+(?:\.\p{{Nd}}+)?')[-1], regexp_extract_all(t, '[^{SPACE[1:]}+')[-1], '') AS answer FROM t""")
 def answer_extract(spark, d):
-    c = F.col("canonical_prompt")
-    inv = table(spark, d, "inventory").where(c.rlike("[0-9]") & ~c.rlike("[０-９]"))
-    return inv.select("record_no", answers.normalize_answer(c).alias("answer"))
+    return table(spark, d, "inventory").select("record_no", answers.normalize_answer(F.col("canonical_prompt")).alias("answer"))
 
 
-@query()
-def answer_extract_all(spark, d):
-    """As ``answer_extract``, with the prompts that hold digits of other forms, which its SQL does not read."""
-    inv = table(spark, d, "inventory").where(F.col("canonical_prompt").rlike(r"(?U)\d"))
-    return inv.select("record_no", answers.normalize_answer(F.col("canonical_prompt")).alias("answer"))
-
-
-@query(r"SELECT doc_id, len(regexp_extract_all(text, '<<([^>=]+)=([^>]+)>>')) AS spans, nullif(trim(regexp_extract(text, '<<([^>=]+)=([^>]+)>>', 1)), '') AS expr, nullif(trim(regexp_extract(text, '<<([^>=]+)=([^>]+)>>', 2)), '') AS val FROM documents WHERE text IS NOT NULL")
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '<<([^>=]+)=([^>]+)>>')) AS spans, nullif(trim(regexp_extract(text, '<<([^>=]+)=([^>]+)>>', 1)), '') AS expr, nullif(trim(regexp_extract(text, '<<([^>=]+)=([^>]+)>>', 2)), '') AS val FROM documents")
 def calculation_spans(spark, d):
     s = answers.spans(F.col("text"))
     first = F.try_element_at(s, F.lit(1))
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.size(s).alias("spans"), first["expr"].alias("expr"), first["val"].alias("val"))
+    return table(spark, d, "documents").select("doc_id", F.size(s).alias("spans"), first["expr"].alias("expr"), first["val"].alias("val"))
 
 
-@query(r"SELECT doc_id, nullif(regexp_extract(text, '####\s*(-?[0-9]+(?:\.[0-9]+)?)', 1), '') AS gold, CASE WHEN gold LIKE '%.%' THEN NULL ELSE CAST(CASE WHEN CAST(gold AS HUGEINT) <> 0 THEN CAST(gold AS HUGEINT) + 1 ELSE -1 END AS VARCHAR) END AS wrong FROM documents WHERE text LIKE '%####%'")
+@query(r"""
+SELECT doc_id, nullif(regexp_extract(text, '####\s*(-?\p{Nd}+(?:\.\p{Nd}+)?)', 1), '') AS gold,
+ CASE WHEN gold LIKE '%.%' THEN CAST(CASE WHEN CAST(gold AS DOUBLE) <> 0 THEN CAST(gold AS DOUBLE) + 1 ELSE CAST(gold AS DOUBLE) - 1 END AS VARCHAR)
+      ELSE CAST(CASE WHEN CAST(gold AS HUGEINT) <> 0 THEN CAST(gold AS HUGEINT) + 1 ELSE -1 END AS VARCHAR) END AS wrong FROM documents WHERE text LIKE '%####%'""")
 def wrong_answers(spark, d):
-    gold = answers.final_answer(F.col("text"))
-    return table(spark, d, "documents").where(F.col("text").contains("####")).select("doc_id", gold.alias("gold"), F.when(F.instr(gold, ".") == 0, answers.wrong_answer(gold)).alias("wrong"))
-
-
-@query()
-def wrong_answers_all(spark, d):
-    """As ``wrong_answers``, decimal answers too."""
+    """Of documents with the mark of a final answer."""
     gold = answers.final_answer(F.col("text"))
     return table(spark, d, "documents").where(F.col("text").contains("####")).select("doc_id", gold.alias("gold"), answers.wrong_answer(gold).alias("wrong"))
 
@@ -181,27 +152,34 @@ def clean_solutions(spark, d):
 @query(r"""
 SELECT record_no, CASE WHEN len(n) >= 2 THEN 'Combine ' || n[1] || ' and ' || n[2] || ' first. What does the result stand for?'
   ELSE 'Name the first operation before you compute. What is still unknown after it?' END AS hint
-FROM (SELECT record_no, regexp_extract_all(canonical_prompt, '[0-9]+(?:\.[0-9]+)?') AS n FROM inventory WHERE NOT regexp_matches(canonical_prompt, '[０-９]'))""")
+FROM (SELECT record_no, regexp_extract_all(coalesce(canonical_prompt, ''), '\p{Nd}+(?:\.\p{Nd}+)?') AS n FROM inventory)""")
 def hints(spark, d):
-    inv = table(spark, d, "inventory").where(~F.col("canonical_prompt").rlike("[０-９]"))
-    return inv.select("record_no", answers.hint(F.col("canonical_prompt"), F.lit(None).cast("string")).alias("hint"))
+    return table(spark, d, "inventory").select("record_no", answers.hint(F.col("canonical_prompt"), F.lit(None).cast("string")).alias("hint"))
 
 
-@query()
-def hints_all(spark, d):
-    """As ``hints``, for every prompt."""
-    return table(spark, d, "inventory").select("record_no", answers.hint(F.col("canonical_prompt"), F.lit(None).cast("string")).alias("hint"))
+@query(r"""
+WITH t AS (SELECT doc_id, nullif(trim(regexp_extract(text, '<<([^>=]+)=([^>]+)>>', 1)), '') AS expr, trim(regexp_extract(text, '<<([^>=]+)=([^>]+)>>', 2)) AS val,
+  len(regexp_extract_all(coalesce(text, ''), '<<([^>=]+)=([^>]+)>>')) AS spans, regexp_extract_all(coalesce(text, ''), '\p{Nd}+(?:\.\p{Nd}+)?') AS n FROM documents)
+SELECT doc_id, CASE WHEN spans > 0 THEN 'Begin with ' || coalesce(expr, '') || ', which should come to about ' || val || '. What does that value stand for?'
+  WHEN len(n) >= 2 THEN 'Combine ' || n[1] || ' and ' || n[2] || ' first. What does the result stand for?'
+  ELSE 'Name the first operation before you compute. What is still unknown after it?' END AS hint FROM t""")
+def solution_hints(spark, d):
+    """Hints of the documents as worked solutions of themselves: from spans, numbers, or general."""
+    return table(spark, d, "documents").select("doc_id", answers.hint(F.col("text"), F.col("text")).alias("hint"))
 
 
-@query("SELECT doc_id, length(text) - length(replace(text, '?', '')) AS questions, left(text, 240) AS preview FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, length(text) - length(replace(text, '?', '')) AS questions, left(coalesce(text, ''), 240) AS preview FROM documents")
 def question_counts(spark, d):
-    return table(spark, d, "documents").where("text is not null").select("doc_id", text.question_count(F.col("text")).alias("questions"), text.preview(F.col("text")).alias("preview"))
+    return table(spark, d, "documents").select("doc_id", text.question_count(F.col("text")).alias("questions"), text.preview(F.col("text")).alias("preview"))
 
 
-@query("SELECT doc_id, len(regexp_extract_all(text, '[ሀ-፿]')) AS ethiopic FROM documents WHERE regexp_matches(text, '[ሀ-፿]')")
+@query(r"""
+WITH n AS (SELECT doc_id, len(regexp_extract_all(text, '\pL')) AS letters, len(regexp_extract_all(text, '[ሀ-ፚᎀ-ᎏⶀ-ⷞꬁ-ꬮ]')) AS own FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, round(own / letters, 6) AS share FROM n WHERE letters > 0 AND own / letters > 0.2""")
 def script_filter(spark, d):
-    c = F.col("text")
-    return table(spark, d, "documents").where(c.rlike("[ሀ-፿]")).select("doc_id", F.regexp_count(c, F.lit("[ሀ-፿]")).alias("ethiopic"))
+    """The documents of which more than a fifth of the letters are Ethiopic."""
+    share = table(spark, d, "documents").select("doc_id", text.script_share(F.col("text")).alias("share"))
+    return share.where("share > 0.2").withColumn("share", F.round("share", 6))
 
 
 @query(r"""
@@ -212,7 +190,12 @@ def fertility(spark, d):
     return selection.fertility(items, "tokens", "words", "subject").withColumn("fertility", F.round("fertility", 6))
 
 
-@query()
+@query(rf"""
+WITH t AS (SELECT record_no, regexp_replace(regexp_replace(lower({nfkc('canonical_prompt')}), '([0-9]),([0-9]{{3}})($|[^0-9])', '\1\2\3', 'g'), '([0-9]),([0-9]{{3}})($|[^0-9])', '\1\2\3', 'g') AS t FROM inventory),
+f AS (SELECT record_no, t, list_zip(regexp_extract_all(t, '(?:^|[^{WORD}.])(-?[0-9]+)\s*/\s*([0-9]+)(?:$|[^{WORD}.]|\.(?:$|[^0-9]))', 1), regexp_extract_all(t, '(?:^|[^{WORD}.])(-?[0-9]+)\s*/\s*([0-9]+)(?:$|[^{WORD}.]|\.(?:$|[^0-9]))', 2)) AS fractions FROM t)
+SELECT record_no FROM f WHERE regexp_matches(t, '(^|[^{WORD}./-]|[{WORD}./]-)0*12(\.0+)?($|[^{WORD}/.]|\.($|[^0-9]))')
+ OR len(list_filter(fractions, lambda x: CAST(x[2] AS DOUBLE) <> 0 AND CAST(x[1] AS DOUBLE) = 12 * CAST(x[2] AS DOUBLE))) > 0
+ OR regexp_matches(t, '(^|[^{WORD}])twelve($|[^{WORD}])')""")
 def number_mentions(spark, d):
     """Prompts that state the value 12 in any form."""
     c = F.col("canonical_prompt")
@@ -260,15 +243,15 @@ WITH s AS (SELECT behavior, NOT regexp_matches(coalesce(text, ''), '####|<<[^>]*
 SELECT behavior, count(*) AS n, round(avg(CASE WHEN a AND b THEN 1.0 ELSE 0 END), 6) AS pass_rate, round(avg(CASE WHEN a THEN 0.0 ELSE 1 END), 6) AS leak_rate FROM s GROUP BY behavior""")
 def checklist_by_behavior(spark, d):
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "behavior", F.col("text").alias("pred"), F.array(F.lit("no_markup"), F.lit("has_question")).alias("checks"))
-    each = scoring.checked(docs).join(docs.select("id", "behavior"), "id")
+    each = scoring.checked(docs, keep=("behavior",))
     return each.groupBy("behavior").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("passed").cast("double")), 6).alias("pass_rate"), F.round(F.avg(F.col("markup_leak").cast("double")), 6).alias("leak_rate"))
 
 
 @query("""
 SELECT subject, count(*) AS n, count(*) FILTER (WHERE coalesce(length(trim(text)), 0) > 20) AS correct FROM documents GROUP BY subject""")
 def soft_accuracy(spark, d):
-    docs = table(spark, d, "documents").withColumn("t", F.regexp_replace("text", "^ +| +$", ""))
-    return scoring.accuracy(docs, F.length("t") > 20, "subject").drop("acc")
+    docs = table(spark, d, "documents")
+    return scoring.accuracy(docs, scoring.long_enough(F.col("text"), F.lit("asked")), "subject").drop("acc")
 
 
 @query("""
@@ -350,7 +333,7 @@ def frozen_file_stats(spark, d):
 
 
 @query("""
-SELECT doc_id, CASE o % 4 WHEN 0 THEN 'solve' WHEN 1 THEN 'explain' WHEN 2 THEN 'hint' ELSE 'first_error' END AS behavior, 'doc_' || lpad(CAST(o AS VARCHAR), 5, '0') AS id
+SELECT doc_id, CASE o % 4 WHEN 0 THEN 'solve' WHEN 1 THEN 'explain' WHEN 2 THEN 'hint' ELSE 'first_error' END AS behavior, 'doc_' || lpad(CAST(o AS VARCHAR), CAST(greatest(5, length(CAST(o AS VARCHAR))) AS INTEGER), '0') AS id
 FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS o FROM documents)""")
 def round_robin_behavior(spark, d):
     rows = ordinal.with_ordinal(table(spark, d, "documents").select("doc_id"), "doc_id")
@@ -358,10 +341,9 @@ def round_robin_behavior(spark, d):
 
 
 @query("""
-SELECT behavior, count(*) AS n, max(o) AS last FROM (SELECT behavior, row_number() OVER (PARTITION BY behavior ORDER BY item_id) - 1 AS o FROM eval_items) GROUP BY behavior""")
+SELECT behavior, item_id, row_number() OVER (PARTITION BY behavior ORDER BY item_id) - 1 AS ordinal FROM eval_items""")
 def ordinal_per_behavior(spark, d):
-    w = Window.partitionBy("behavior").orderBy("item_id")
-    return table(spark, d, "eval_items").select("behavior", (F.row_number().over(w) - 1).alias("o")).groupBy("behavior").agg(F.count(F.lit(1)).alias("n"), F.max("o").alias("last"))
+    return ordinal.with_ordinal_by(table(spark, d, "eval_items").select("behavior", "item_id"), ["behavior"], "item_id")
 
 
 @query("""
@@ -427,7 +409,7 @@ def extracted_prompts(spark, d):
 
 # Provenance and census
 
-_REASONS = """
+_REASONS = f"""{FROZEN},
 d AS (SELECT i.*, s.id AS sid, list_filter([
   CASE WHEN s.id IS NULL THEN 'unknown_source' END,
   CASE WHEN s.id IS NOT NULL AND NOT s.allowed_use THEN 'source_not_approved' END,
@@ -437,13 +419,15 @@ d AS (SELECT i.*, s.id AS sid, list_filter([
   CASE WHEN s.id IS NOT NULL AND i.license_class IS DISTINCT FROM s.license_class THEN 'license_class_mismatch' END,
   CASE WHEN NOT coalesce(i.hard_gate_pass, false) THEN 'hard_gate_failed' END], lambda x: x IS NOT NULL) AS gates
   FROM inventory i LEFT JOIN sources s ON s.id = i.source_id),
-r AS (SELECT *, list_concat(coalesce(rejection_reasons, []), gates) AS reasons FROM d)"""
+r AS (SELECT d.*, list_concat(coalesce(rejection_reasons, []), gates, list_filter([CASE WHEN exact_match THEN 'exact_eval_overlap' END, CASE WHEN template_match THEN 'template_eval_overlap' END], lambda x: x IS NOT NULL)) AS reasons
+  FROM d JOIN firewall_ USING (record_no))"""
 
 
 def _decided(spark, d) -> DataFrame:
+    """The census's decisions, every record also checked against the frozen evaluation."""
     inv = table(spark, d, "inventory")
-    none = inv.select("record_no", F.array().cast("array<string>").alias("reasons")).limit(0)
-    return census.decided(inv, table(spark, d, "sources"), none, strict=False)
+    checked = firewall.check(inv.select("record_no", F.col("canonical_prompt").alias("prompt")), *_frozen(spark, d))
+    return census.decided(inv, table(spark, d, "sources"), checked.select("record_no", F.col("decision.reasons").alias("reasons")), strict=False)
 
 
 @query(f"WITH {_REASONS} SELECT record_no, array_to_string(reasons, ',') AS reasons FROM r")
@@ -491,44 +475,22 @@ def census_summary(spark, d):
     return census.summary(_decided(spark, d), table(spark, d, "sources"))
 
 
-# The same with the firewall's stage, whose hashes DuckDB cannot write: no SQL
-
-
-def _decided_frozen(spark, d) -> DataFrame:
-    """As ``_decided``, every record also checked against the frozen evaluation."""
-    inv = table(spark, d, "inventory")
-    checked = firewall.check(inv.select("record_no", F.col("canonical_prompt").alias("prompt")), *_frozen(spark, d))
-    return census.decided(inv, table(spark, d, "sources"), checked.select("record_no", F.col("decision.reasons").alias("reasons")), strict=False)
-
-
-@query()
-def firewalled_reason_arrays(spark, d):
-    return _decided_frozen(spark, d).select("record_no", F.array_join("reasons", ",").alias("reasons"))
-
-
-@query()
-def firewalled_reason_counts(spark, d):
-    return census.reason_counts(_decided_frozen(spark, d))
-
-
-@query()
-def firewalled_census_cells(spark, d):
-    return census.cells(_decided_frozen(spark, d)).select("subject", "behavior", "families", "gap", "status")
-
-
-@query()
-def firewalled_census_cells_by_source(spark, d):
-    return census.cells(_decided_frozen(spark, d)).select("subject", "behavior", F.explode("by_source").alias("source_id", "n"))
-
-
-@query()
-def firewalled_census_by_source(spark, d):
-    return census.by_source(_decided_frozen(spark, d), table(spark, d, "sources"))
+@query(f"""WITH {_REASONS}, {_CELLS}
+SELECT spine.subject, spine.behavior, CASE WHEN coalesce(n, 0) >= 400 THEN '' ELSE 'pin and approve more sources; import records that pass the gates; add structured sources before any generation' END AS remediation
+FROM spine LEFT JOIN c USING (subject, behavior)""")
+def census_remediation(spark, d):
+    return census.cells(_decided(spark, d)).select("subject", "behavior", F.array_join("remediation", "; ").alias("remediation"))
 
 
-@query()
-def firewalled_census_summary(spark, d):
-    return census.summary(_decided_frozen(spark, d), table(spark, d, "sources"))
+@query(f"""WITH {_REASONS}, {_CELLS}, f AS (SELECT coalesce(n, 0) >= 400 AS ready FROM spine LEFT JOIN c USING (subject, behavior))
+SELECT 'A' AS phase, 13 AS schema_fields, (SELECT count(*) FROM sources) AS source_count, 3 AS registry_tables,
+  (SELECT count(*) FROM source_records) + (SELECT count(*) FROM training_rows) + (SELECT count(*) FROM build_membership) AS registry_rows,
+  (SELECT count(*) FROM inventory) AS inventory_rows_seen, (SELECT count(*) FROM f WHERE ready) AS ready_cells, (SELECT count(*) = 20 FROM f) AS tooling_complete, (SELECT bool_and(ready) FROM f) AS may_start""")
+def gate_a(spark, d):
+    rows = registry.counts({n: table(spark, d, n) for n in registry.TABLES})
+    fields = len(spark.createDataFrame([], rules.CANONICAL).columns)
+    out = census.gate_a(_decided(spark, d), table(spark, d, "sources"), rows, fields)
+    return out.select("phase", "schema_fields", "source_count", "registry_tables", "registry_rows", "inventory_rows_seen", "ready_cells", "tooling_complete", "may_start")
 
 
 # Validation
@@ -573,11 +535,14 @@ def _extra(keys: str, t: str) -> str:
 _DANGLING = "(SELECT count(*) FROM {t} x WHERE x.{c} IS NOT NULL AND x.{c} NOT IN (SELECT {k} FROM {u} WHERE {k} IS NOT NULL))"
 
 
+_PRESENT = " ".join(f"UNION ALL SELECT '{c.name}', (SELECT count(*) FROM {c.table} WHERE {c.broken})" for c in registry.CONSTRAINTS if c.name.endswith("_present"))
+
+
 @query(f"""
 SELECT unnest(['source_records_key', 'training_rows_key', 'training_rows_variant', 'build_membership_key', 'training_rows_source', 'training_rows_duplicate', 'build_membership_row', 'build_membership_value', 'build_membership_exposure']) AS constraint_name,
  unnest([{_extra('source_key', 'source_records')}, {_extra('row_id', 'training_rows')}, {_extra('family_id, selected_behavior, constraint_signature, renderer_version', 'training_rows')}, {_extra('build_name, row_id, membership', 'build_membership')},
  {_DANGLING.format(t='training_rows', c='source_key', k='source_key', u='source_records')}, {_DANGLING.format(t='training_rows', c='duplicate_of', k='row_id', u='training_rows')}, {_DANGLING.format(t='build_membership', c='row_id', k='row_id', u='training_rows')},
- (SELECT count(*) FROM build_membership WHERE membership NOT IN ('qa_pilot', 'mini_train', 'full', 'evaluation')), (SELECT count(*) FROM build_membership WHERE exposure_count < 0)]::BIGINT[]) AS violations""")
+ (SELECT count(*) FROM build_membership WHERE membership NOT IN ('qa_pilot', 'mini_train', 'full', 'evaluation')), (SELECT count(*) FROM build_membership WHERE exposure_count < 0)]::BIGINT[]) AS violations {_PRESENT}""")
 def registry_violations(spark, d):
     return registry.violations({n: table(spark, d, n) for n in ("source_records", "training_rows", "build_membership")})
 
@@ -604,9 +569,11 @@ def family_cap(spark, d):
 
 
 @query("""
-SELECT line_no, min(line_no) OVER (PARTITION BY canonical_content_hash) AS retained, line_no <> min(line_no) OVER (PARTITION BY canonical_content_hash) AS is_duplicate FROM training_rows""")
+SELECT line_no, retained, line_no <> retained AS is_duplicate
+FROM (SELECT line_no, CASE WHEN canonical_content_hash IS NOT NULL THEN first_value(line_no) OVER (PARTITION BY canonical_content_hash ORDER BY created_at NULLS LAST, line_no DESC) END AS retained FROM training_rows)""")
 def retained_rows(spark, d):
-    rows = selection.representatives(table(spark, d, "training_rows"), ["canonical_content_hash"], "line_no", [F.col("line_no")])
+    """Of rows with one content the earliest, of equal times the last line."""
+    rows = selection.representatives(table(spark, d, "training_rows"), ["canonical_content_hash"], "line_no", [F.col("created_at").asc_nulls_last(), F.col("line_no").desc()])
     return rows.select("line_no", "retained", "is_duplicate")
 
 
@@ -640,7 +607,9 @@ def stratified_review(spark, d):
     return selection.stratified_sample(table(spark, d, "inventory"), ["source_id", "grade_band"], "record_no", 0.1).select("record_no")
 
 
-@query()
+@query("""
+WITH u AS (SELECT family_id, CAST('0x' || left(sha256('0:' || family_id), 8) AS BIGINT) / 4294967296.0 AS u FROM training_rows)
+SELECT CASE WHEN family_id IS NULL THEN NULL WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'validation' ELSE 'test' END AS split, count(*) AS row_count, count(DISTINCT family_id) AS families FROM u GROUP BY 1""")
 def family_splits(spark, d):
     rows = table(spark, d, "training_rows").select("family_id", selection.hash_split(F.col("family_id")).alias("split"))
     return rows.groupBy("split").agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("family_id").alias("families"))
@@ -677,9 +646,9 @@ def combined_builds(spark, d):
 
 @query("""
 SELECT source_id, round(sum(CASE WHEN grade_band = 'tertiary' THEN 0.1 / r ELSE 0.9 / f END), 6) AS weight FROM inventory,
- (SELECT count(*) FILTER (WHERE grade_band = 'tertiary') AS r, count(*) FILTER (WHERE grade_band <> 'tertiary') AS f FROM inventory) GROUP BY source_id""")
+ (SELECT count(*) FILTER (WHERE grade_band = 'tertiary') AS r, count(*) FILTER (WHERE grade_band IS DISTINCT FROM 'tertiary') AS f FROM inventory) GROUP BY source_id""")
 def replay_weights(spark, d):
-    w = selection.replay_weights(table(spark, d, "inventory").where("grade_band is not null"), F.col("grade_band") == "tertiary")
+    w = selection.replay_weights(table(spark, d, "inventory"), F.col("grade_band") == "tertiary")
     return w.groupBy("source_id").agg(F.round(F.sum("weight"), 6).alias("weight"))
 
 
@@ -688,33 +657,70 @@ def budget_rollup(spark, d):
     return selection.budget(table(spark, d, "events"), "event_type", "user_id", "value").withColumnRenamed("event_type", "stage").withColumn("cost", F.round("cost", 2))
 
 
-@query("SELECT export_profile, count(*) AS row_count FROM inventory i JOIN sources s ON s.id = i.source_id GROUP BY export_profile")
+@query("SELECT export_profile, count(*) AS row_count, count(DISTINCT record_no) AS records FROM inventory i JOIN sources s ON s.id = i.source_id GROUP BY export_profile")
 def license_segments(spark, d):
+    """The inventory written in one folder a license profile, and what is in each."""
     s = table(spark, d, "sources").select(F.col("id").alias("source_id"), "export_profile")
-    return table(spark, d, "inventory").join(small(s), "source_id").groupBy("export_profile").agg(F.count(F.lit(1)).alias("row_count"))
+    to = f"{scratch.root(spark)}/by-license-{uuid.uuid4().hex}"
+    sinks.write_by_license(table(spark, d, "inventory").join(small(s), "source_id").select("record_no", "export_profile"), to)
+    return spark.read.parquet(to).groupBy("export_profile").agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("record_no").alias("records"))
 
 
 # Events
 
 
 def _runs(spark, d) -> DataFrame:
-    """The events table as run logs: a run a user, clicks and views opening and closing items."""
+    """The events table as run logs: a run a user, clicks and views opening and closing items of three keys, errors and
+    purchases closing them, and sign-ups of values above 95 finishing the run, some with a status of their own."""
     e = table(spark, d, "events")
-    name = F.when(F.col("event_type") == "click", "item_start").when(F.col("event_type") == "view", "item_ok").when(F.col("event_type") == "error", "item_error").when(F.col("event_type") == "purchase", "item_skip").otherwise("info")
-    return e.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), name.alias("event"), F.lit("k").alias("key"), F.lit(None).cast("string").alias("status"))
-
-
-@query("""
-WITH e AS (SELECT CAST(user_id AS VARCHAR) AS run_id, event_id AS seq, CASE event_type WHEN 'click' THEN 'start' WHEN 'view' THEN 'ok' WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'skip' END AS e FROM events),
-n AS (SELECT run_id, e, lead(e) OVER (PARTITION BY run_id ORDER BY seq) AS nx FROM e WHERE e IS NOT NULL),
-r AS (SELECT DISTINCT run_id FROM e),
-a AS (SELECT run_id, count(*) FILTER (WHERE e = 'ok') AS ok, count(*) FILTER (WHERE e = 'error') AS error, count(*) FILTER (WHERE e = 'skip') AS skipped, count(*) FILTER (WHERE e = 'start' AND nx = 'start') AS interrupted FROM n GROUP BY run_id)
-SELECT run_id, coalesce(ok, 0) AS ok, coalesce(error, 0) AS error, coalesce(skipped, 0) AS skipped, coalesce(interrupted, 0) AS interrupted,
- coalesce(ok + error + skipped + interrupted, 0) AS total, 'running' AS status, true AS partial FROM r LEFT JOIN a USING (run_id)""")
+    kinds = {"click": "item_start", "view": "item_ok", "error": "item_error", "purchase": "item_skip"}
+    name = F.when((F.col("event_type") == "signup") & (F.col("value") > 95), "run_finish")
+    for k, v in kinds.items():
+        name = name.when(F.col("event_type") == k, v)
+    key, given = F.concat(F.lit("k"), (F.col("event_id") % 3).cast("string")), F.when(F.col("value") > 150, "stopped")
+    return e.select(F.col("user_id").cast("string").alias("run_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"), name.otherwise("info").alias("event"), key.alias("key"), F.when(name == "run_finish", given).alias("status"))
+
+
+_RUNS = """
+e AS (SELECT CAST(user_id AS VARCHAR) AS run_id, event_id AS seq, 'k' || (event_id % 3) AS key, value,
+  CASE WHEN event_type = 'signup' AND value > 95 THEN 'finish' WHEN event_type = 'click' THEN 'start' WHEN event_type = 'view' THEN 'ok' WHEN event_type = 'error' THEN 'error' WHEN event_type = 'purchase' THEN 'skip' END AS e FROM events),
+fin AS (SELECT run_id, min(seq) AS at, (SELECT CASE WHEN x.value > 150 THEN 'stopped' END FROM e x WHERE x.run_id = e.run_id AND x.e = 'finish' ORDER BY x.seq LIMIT 1) AS given FROM e WHERE e = 'finish' GROUP BY run_id),
+live AS (SELECT e.* FROM e LEFT JOIN fin USING (run_id) WHERE e.e IS NOT NULL AND (fin.at IS NULL OR e.seq <= fin.at)),
+s AS (SELECT run_id, seq, key, lead(seq) OVER (PARTITION BY run_id ORDER BY seq) AS nx FROM live WHERE e = 'start'),
+o AS (SELECT s.run_id, s.seq, s.nx, (SELECT count(*) FROM live c WHERE c.run_id = s.run_id AND c.e IN ('ok', 'error', 'skip') AND c.key = s.key AND c.seq > s.seq AND (s.nx IS NULL OR c.seq < s.nx)) AS closed FROM s),
+i AS (SELECT run_id, count(*) AS interrupted FROM o WHERE closed = 0 AND (nx IS NOT NULL OR run_id IN (SELECT run_id FROM fin)) GROUP BY run_id),
+a AS (SELECT run_id, count(*) FILTER (WHERE e = 'ok') AS ok, count(*) FILTER (WHERE e = 'error') AS error, count(*) FILTER (WHERE e = 'skip') AS skipped FROM live GROUP BY run_id),
+n AS (SELECT r.run_id, coalesce(ok, 0) AS ok, coalesce(error, 0) AS error, coalesce(skipped, 0) AS skipped, coalesce(interrupted, 0) AS interrupted, fin.at IS NOT NULL AS over, fin.given
+  FROM (SELECT DISTINCT run_id FROM e) r LEFT JOIN a USING (run_id) LEFT JOIN i USING (run_id) LEFT JOIN fin USING (run_id))"""
+_ROLLUP = f"""WITH {_RUNS} SELECT run_id, ok, error, skipped, interrupted, ok + error + skipped + interrupted AS total,
+ CASE WHEN NOT over THEN 'running' WHEN given IS NOT NULL THEN given WHEN error > 0 AND ok > 0 THEN 'partial' WHEN error > 0 THEN 'error' WHEN interrupted > 0 THEN 'interrupted' ELSE 'ok' END AS status, NOT over AS partial FROM n"""
+
+
+@query(_ROLLUP)
 def runlog_rollup(spark, d):
     return runlog.rollup(_runs(spark, d))
 
 
+@query(_ROLLUP)
+def runlog_stream(spark, d):
+    """The same from a stream: events appended to files in two batches, rolled up with state, the last row of each run."""
+    base = f"{scratch.root(spark)}/stream-{uuid.uuid4().hex}"
+    log = _runs(spark, d)
+    middle = log.agg(F.avg("seq")).first()[0] or 0
+
+    def keep(batch, number):
+        batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{base}/out/part={number}")
+
+    spark.createDataFrame([], runlog.EVENTS).write.json(f"{base}/events")
+    for part in (F.col("seq") <= middle, F.col("seq") > middle):
+        runlog.append_events(log.where(part), f"{base}/events")
+        rolled = runlog.rollup_stream(runlog.read_events(spark, f"{base}/events"), late="3650 days")
+        rolled.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    columns = ["run_id", *runlog.STATUSES[:4], "total", "status", "partial"]
+    out = spark.read.schema("run_id string, ok bigint, error bigint, skipped bigint, interrupted bigint, total bigint, status string, partial boolean, batch int").parquet(f"{base}/out")
+    return out.groupBy("run_id").agg(F.max_by(F.struct(*columns[1:]), "batch").alias("r")).select("run_id", "r.*")
+
+
 @query("""
 SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
 def events_tumbling(spark, d):
@@ -722,7 +728,9 @@ def events_tumbling(spark, d):
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query()
+@query("""
+SELECT event_id AS seq, '[events] ' || CASE WHEN event_type = 'signup' AND value > 95 THEN 'DONE' || CASE WHEN value > 150 THEN ' stopped' ELSE '' END
+  ELSE CASE event_type WHEN 'click' THEN 'START k' || (event_id % 3) WHEN 'view' THEN 'OK k' || (event_id % 3) WHEN 'error' THEN 'FAIL k' || (event_id % 3) WHEN 'purchase' THEN 'SKIP k' || (event_id % 3) ELSE 'INFO' END END || ' (seq=' || event_id || ')' AS line FROM events""")
 def log_lines(spark, d):
     e = _runs(spark, d)
     line = runlog.log_line(F.lit("events"), F.col("event"), F.col("key"), F.col("status"), F.lit(None).cast("string"), F.create_map(F.lit("seq"), F.col("seq").cast("string")))
@@ -740,3 +748,6 @@ def semantic_neighbors(spark, d):
     """The five nearest rows (a top-k) of every query, the rows with an id divisible by 50, among all rows."""
     e = table(spark, d, "embeddings")
     return neighbors.cosine_neighbors(e.where("vec_id % 50 = 0"), e).withColumn("cosine", F.round("cosine", 5))
+
+
+from sedgeline.plans import files, records  # noqa: E402, F401  the rest of the catalogue

@@ -2,8 +2,9 @@
 
 Lineage is cut by writing Parquet into ``spark.checkpoint.dir`` and reading it
 again: the files outlive any executor, are columnar, and later reads prune
-columns. Only where that setting is absent (tests on one machine) a temporary
-folder takes its place.
+columns. Only where that setting is absent and all of Spark runs on this machine (tests) a
+temporary folder takes its place; on a cluster its absence is an error, as executors would
+each write to a disk of their own.
 """
 
 from __future__ import annotations
@@ -31,7 +32,11 @@ def root(spark: SparkSession) -> str:
     """The session's own folder below the shared one."""
     app = spark.sparkContext.applicationId
     if app not in _roots:
-        base = spark.conf.get(_SETTING, None) or f"file://{tempfile.mkdtemp(prefix='sedgeline-')}"
+        base = spark.conf.get(_SETTING, None)
+        if not base:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
+            base = f"file://{tempfile.mkdtemp(prefix='sedgeline-')}"
         _roots[app] = f"{base.rstrip('/')}/sedgeline-{app}"
         atexit.register(_delete, spark, _roots[app])
     return _roots[app]

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import sqlite3
+from collections.abc import Iterable
+from contextlib import closing
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StringType, StructField, StructType
+
+from sedgeline.operators import rules
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -51,9 +58,30 @@ def json_collecting(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return lines.where(is_object).drop("kind"), issues
 
 
-def typed_or_fail(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Typed rows; the first line that doesn't fit fails the read."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+def typed_or_fail(spark: SparkSession, path: str, schema: str, checks: Iterable[rules.Rule] = ()) -> DataFrame:
+    """Typed rows of JSON lines, strings trimmed; a line that is no JSON object of this schema, has a key
+    the schema lacks at any level, or breaks a rule is an error that begins with ``path:line:``.
+
+    Blank lines are skipped. Missing keys are null, for the rules to judge.
+    """
+    kind = spark.createDataFrame([], schema).schema
+    lines = _kept(numbered_lines(spark, path))
+    corrupt = StructType([*kind.fields, StructField("_corrupt", StringType())])
+    parsed = lines.withColumn("_r", F.from_json("value", corrupt, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("value")).startswith("OBJECT"), F.lit(False))
+    extra = rules.unknown_paths(F.col("value"), kind)
+    fields = [rules.stripped(F.col("_r")[f.name], f.dataType).alias(f.name) for f in kind.fields]
+    flat = parsed.select("path", "line", (~is_object).alias("_bad"), F.col("_r")["_corrupt"].isNotNull().alias("_off"), F.when(is_object, extra).alias("_extra"), *fields)
+    broken = rules.compile_issues(checks)
+    why = F.coalesce(
+        F.when(F.col("_bad"), F.lit("expected a JSON object")),
+        F.when(F.col("_off"), F.lit("a value of another type than the schema's")),
+        F.when(F.size("_extra") > 0, F.concat(F.lit("unknown keys "), F.array_join("_extra", ", "))),
+        F.when(F.size(broken) > 0, F.concat(broken[0]["location"], F.lit(": "), broken[0]["message"])),
+    )
+    place = F.concat(F.col("path"), F.lit(":"), F.col("line").cast("string"), F.lit(": "), why)
+    # the check is part of the rows' own filter, so that no later plan can leave it out
+    return flat.where(F.when(why.isNotNull(), F.raise_error(place).cast("boolean")).otherwise(True)).select(*kind.fieldNames())
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -85,8 +113,11 @@ def json_entries(spark: SparkSession, path: str, field: str, schema: str) -> Dat
     return whole.select(F.explode(F.from_json(F.get_json_object("value", f"$.{field}"), f"map<string,struct<{schema}>>")).alias("name", "v")).select("name", "v.*")
 
 
-def manifest(spark: SparkSession, path: str, field: str, schema: str) -> DataFrame:
-    """Rows of a list in a YAML or JSON mapping, a small file read by the driver. YAML needs its library."""
+def manifest(spark: SparkSession, path: str, field: str, schema: str, strict: bool = True) -> DataFrame:
+    """Rows of a list in a YAML or JSON mapping, a small file read by the driver. YAML needs its library.
+
+    Strings are trimmed. strict: an entry with a key that the schema lacks is an error, else the key is ignored.
+    """
     raw = Path(path).read_text(encoding="utf-8")
     if path.endswith((".yaml", ".yml")):
         try:
@@ -98,7 +129,16 @@ def manifest(spark: SparkSession, path: str, field: str, schema: str) -> DataFra
         value = json.loads(raw)
     if not isinstance(value, dict):
         raise ValueError(f"{path}: expected a mapping")
-    return spark.createDataFrame(value.get(field) or [], schema)
+    entries = value.get(field) or []
+    kind = spark.createDataFrame([], schema).schema
+    for k, entry in enumerate(entries):
+        if not isinstance(entry, dict):
+            raise ValueError(f"{path}: {field}[{k}]: expected a mapping")
+        extra = sorted(set(entry) - set(kind.fieldNames()))
+        if strict and extra:
+            raise ValueError(f"{path}: {field}[{k}]: unknown keys {', '.join(extra)}")
+    clean = [tuple(v.strip() if isinstance(v := e.get(n), str) else v for n in kind.fieldNames()) for e in entries]
+    return spark.createDataFrame(clean, kind)
 
 
 def tables(spark: SparkSession, path: str) -> DataFrame:
@@ -106,27 +146,79 @@ def tables(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, sha256, n_lines) of files, sorted by path."""
-    f = spark.read.format("binaryFile").load(path)
-    lines = F.regexp_count(F.decode("content", "UTF-8"), F.lit("\n"))
-    return f.select("path", F.col("length").alias("bytes"), F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("sha256"), lines.cast("long").alias("n_lines")).orderBy("path")
-
-
-def sqlite_table(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
-    """A table of a SQLite file, read by the driver in chunks: meant for a registry of moderate
-    size to be brought into Parquet."""
-    import pyarrow as pa
-
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        cursor = db.execute(f'SELECT * FROM "{name}"')
-        names = [c[0] for c in cursor.description]
-        out = None
-        while rows := cursor.fetchmany(50_000):
-            part = spark.createDataFrame(pa.table({n: pa.array([r[i] for r in rows]) for i, n in enumerate(names)}), schema)
-            out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
-
-
-def download_plan(wanted: DataFrame, known: DataFrame, key: str = "key") -> DataFrame:
-    """(key, status): each wanted entry, pending or unknown."""
-    return wanted.join(known.select(key).distinct().withColumn("_k", F.lit(True)), key, "left").select(key, F.when(F.col("_k"), "pending").otherwise("unknown").alias("status"))
+    """(path, bytes, sha256, n_lines) of files, sorted by path; a last line without an end counts.
+
+    path may be a file, a folder or a pattern. Tasks stream a file in pieces of 1 MiB, so that its size doesn't matter.
+    """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = []  # names and sizes only, as Spark lists files too; empty ones are files as well
+    for entry in system.globStatus(at) or []:
+        files = system.listFiles(entry.getPath(), True)
+        while files.hasNext():
+            f = files.next()
+            if not f.getPath().getName().startswith((".", "_")):
+                uri = f.getPath().toUri().toString()
+                found.append((uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri, f.getLen()))
+    listed = spark.createDataFrame(found, "path string, length long")
+
+    def run(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            paths, digests, lines = batch.column(0).to_pylist(), [], []
+            for p in paths:
+                system, at = fs.FileSystem.from_uri(p)
+                sha, n, last = hashlib.sha256(), 0, b"\n"
+                with system.open_input_stream(at) as f:
+                    while piece := f.read(1 << 20):
+                        sha.update(piece)
+                        n += piece.count(b"\n")
+                        last = piece[-1:]
+                digests.append(f"sha256:{sha.hexdigest()}")
+                lines.append(n + (last != b"\n"))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests), pa.array(lines, type=pa.int64())], names=["path", "bytes", "sha256", "n_lines"])
+
+    return listed.repartition("path").mapInArrow(run, "path string, bytes bigint, sha256 string, n_lines bigint").orderBy("path")
+
+
+def sqlite_table(spark: SparkSession, path: str, name: str, schema: str, rows_a_task: int = 1_000_000) -> DataFrame:
+    """A table of a SQLite file that all executors can open, read by tasks in ranges of rowid.
+
+    The driver asks for the smallest and greatest rowid only. A table without rowids is streamed by one task.
+    """
+    kind = spark.createDataFrame([], schema).schema
+    wanted = ", ".join(f'"{f.name}"' for f in kind.fields)
+    with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
+        try:
+            low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{name}"').fetchone()
+            ranges = [] if low is None else [(a, a + rows_a_task) for a in range(low, high + 1, rows_a_task)]
+        except sqlite3.OperationalError as e:
+            if "rowid" not in str(e):
+                raise
+            ranges = [(None, None)]
+    arrow = to_arrow_schema(kind)
+
+    def run(batches):
+        for batch in batches:
+            for low, high in zip(*(c.to_pylist() for c in batch.columns)):
+                with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
+                    part = "" if low is None else f" WHERE rowid >= {low} AND rowid < {high}"
+                    cursor = db.execute(f'SELECT {wanted} FROM "{name}"{part}')
+                    while rows := cursor.fetchmany(20_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
+
+    if not ranges:
+        return spark.createDataFrame([], kind)
+    return spark.createDataFrame(ranges, "low long, high long").repartition(len(ranges)).mapInArrow(run, kind)
+
+
+def download_plan(wanted: DataFrame, known: DataFrame, results: DataFrame | None = None, key: str = "key") -> DataFrame:
+    """(key, status, error): each wanted entry: unknown, or by its last result (key, position, error) ok or
+    error, or pending without one."""
+    named = wanted.join(known.select(key).distinct().withColumn("_k", F.lit(True)), key, "left")
+    if results is None:
+        return named.select(key, F.when(F.col("_k"), "pending").otherwise("unknown").alias("status"), F.lit(None).cast("string").alias("error"))
+    last = results.groupBy(key).agg(F.max(F.struct("position", "error")).alias("_l"))
+    status = F.when(F.col("_k").isNull(), "unknown").when(F.col("_l").isNull(), "pending").when(F.col("_l.error").isNull(), "ok").otherwise("error")
+    return named.join(last, key, "left").select(key, status.alias("status"), F.when(F.col("_k"), F.col("_l.error")).alias("error"))

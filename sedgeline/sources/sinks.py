@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 
@@ -24,18 +25,20 @@ def write_report(report: DataFrame, path: str, rows: int = 100_000) -> None:
 
 
 def markdown(report: DataFrame, *order: str, rows: int = 10_000) -> str:
-    """A small table as a Markdown table, sorted."""
-    got = report.orderBy(*order).limit(rows).collect()
+    """A small table as a Markdown table, sorted; more than ``rows`` rows are an error."""
+    got = report.orderBy(*order).limit(rows + 1).collect()
+    if len(got) > rows:
+        raise ValueError(f"a report of more than {rows} rows")
     cells = lambda xs: "| " + " | ".join("" if x is None else str(x) for x in xs) + " |"
     return "\n".join([cells(report.columns), cells("---" for _ in report.columns), *map(cells, got)]) + "\n"
 
 
-def filter_on_write(df: DataFrame, survivors: DataFrame, path: str) -> dict[str, int]:
-    """Write the survivors of a table and count both sides in the same job."""
-    seen, kept = Observation("seen"), Observation("kept")
-    survivors.observe(kept, F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(path)
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.format("noop").mode("overwrite").save()
-    return {"kept": kept.get["n"], "dropped": seen.get["n"] - kept.get["n"]}
+def filter_on_write(df: DataFrame, keep: Column, path: str) -> dict[str, int]:
+    """Write the rows that meet a condition and count both sides, in one job; null doesn't meet it."""
+    sides, kept = Observation("sides"), F.coalesce(keep, F.lit(False))
+    counted = df.withColumn("_kept", kept).observe(sides, F.count_if("_kept").alias("kept"), F.count_if(~F.col("_kept")).alias("dropped"))
+    counted.where("_kept").drop("_kept").write.mode("overwrite").parquet(path)
+    return {"kept": sides.get["kept"], "dropped": sides.get["dropped"]}
 
 
 def write_by_license(df: DataFrame, path: str, profile: str = "export_profile") -> None:
@@ -43,8 +46,9 @@ def write_by_license(df: DataFrame, path: str, profile: str = "export_profile")
     df.write.mode("overwrite").partitionBy(profile).parquet(path)
 
 
-def json_schema(df: DataFrame, name: str, identifier: str) -> dict:
-    """The JSON Schema of a table's rows."""
+def json_schema(df: DataFrame, name: str, identifier: str, rules: Iterable = ()) -> dict:
+    """The JSON Schema of a table's rows; rules: validation rules whose ``schema`` keywords (enum, bounds,
+    pattern, lengths) are put at their location, and whose kind ``missing`` makes a field required."""
 
     def form(t) -> dict:
         kind = t.typeName()
@@ -57,4 +61,15 @@ def json_schema(df: DataFrame, name: str, identifier: str) -> dict:
         names = {"string": "string", "boolean": "boolean", "double": "number", "float": "number"}
         return {"type": names.get(kind, "integer" if kind in ("long", "integer", "short", "byte") else "string")}
 
-    return {"$id": identifier, "title": name, **form(df.schema)}
+    whole = {"$id": identifier, "title": name, **form(df.schema)}
+    for r in rules:
+        *path, last = r.location.split(".") if r.location else [""]
+        at = whole
+        for p in path:
+            at = at.get("properties", {}).get(p, {})
+        if last in at.get("properties", {}):
+            if r.kind == "missing":
+                at["required"] = sorted({*at.get("required", []), last})
+            else:
+                at["properties"][last] |= r.schema or {}
+    return whole

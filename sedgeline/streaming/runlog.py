@@ -70,11 +70,18 @@ _OUT = "run_id string, ok bigint, error bigint, skipped bigint, interrupted bigi
 
 
 def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:  # kept for the state's interface; no time-out is set
+    if state.hasTimedOut:  # finished, and too long ago for events that may still come
+        state.remove()
         return
     open_key, is_open, ok, error, skipped, interrupted, finished, status = state.get if state.exists else (None, False, 0, 0, 0, 0, False, None)
     n = {"ok": ok, "error": error, "skipped": skipped, "interrupted": interrupted}
-    for e in pd.concat(list(batches)).sort_values("seq").itertuples():
+    watermark = state.getCurrentWatermarkMs()
+    events = pd.concat(list(batches))
+    events = events[events.ts.astype("datetime64[ms]").astype("int64") >= watermark]
+    if not state.exists and events.empty:
+        return  # nothing but late events, of a run whose state may be gone
+    events = events[events.event.isin(["item_start", "run_finish", *CLOSING])]
+    for e in events.sort_values("seq").itertuples():
         if finished:
             break
         if e.event == "item_start":
@@ -89,16 +96,30 @@ def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) ->
             open_key, is_open, finished = None, False, True
             status = e.status if isinstance(e.status, str) else "partial" if n["error"] and n["ok"] else "error" if n["error"] else "interrupted" if n["interrupted"] else "ok"
     state.update((open_key, is_open, n["ok"], n["error"], n["skipped"], n["interrupted"], finished, status))
+    if finished:
+        newest = 0 if events.empty else int(events.ts.astype("datetime64[ms]").astype("int64").max())
+        state.setTimeoutTimestamp(max(watermark, newest) + 1)
     yield pd.DataFrame([[key[0], n["ok"], n["error"], n["skipped"], n["interrupted"], sum(n.values()), status if finished else "running", not finished]], columns=[f.split()[0] for f in _OUT.split(", ")])
 
 
-def rollup_stream(events: DataFrame) -> DataFrame:
+def rollup_stream(events: DataFrame, late: str = "1 hour") -> DataFrame:
     """As ``rollup``, of a stream of events, in update mode: a row for each run that a batch touches.
 
     Events of a run are taken in the order of seq within a batch; a batch holds
-    no event older than those of the batches before. State is a few numbers a run.
+    no event older than those of the batches before. State is a few numbers a run; a finished run's is removed
+    once the watermark, ``late`` behind the newest event, has passed its last event, and events older than the
+    watermark are left out, so that they can't open it again.
     """
-    return events.groupBy("run_id").applyInPandasWithState(_advance, _OUT, _STATE, "update", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", late).groupBy("run_id").applyInPandasWithState(_advance, _OUT, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
+
+
+def append_events(events: DataFrame, path: str, checkpoint: str | None = None):
+    """Append events to JSON files: a batch at once; a stream through a query that is given back, which ends once all
+    that is there was written."""
+    if not events.isStreaming:
+        events.write.mode("append").json(path)
+        return None
+    return events.writeStream.format("json").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 def windowed_counts(events: DataFrame, ts: str = "ts", by: str = "event_type", value: str = "value", window: str = "5 minutes", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
@@ -110,9 +131,13 @@ def windowed_counts(events: DataFrame, ts: str = "ts", by: str = "event_type", v
     return marked.groupBy(w.alias("w"), by).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("window_start"), by, "n", "total")
 
 
+# How log lines name events.
+LABELS = {"item_start": "START", "item_ok": "OK", "item_error": "FAIL", "item_skip": "SKIP", "item_interrupted": "INTERRUPTED", "run_start": "RUN", "run_finish": "DONE"}
+
+
 def log_line(stage: Column, event: Column, key: Column, status: Column, message: Column, extras: Column) -> Column:
     """A log line: stage, label, key or status, message, and other fields in brackets, long ones left out."""
-    label = F.coalesce(*(F.when(event == e, v) for e, v in {"item_start": "START", "item_ok": "OK", "item_error": "FAIL", "item_skip": "SKIP", "item_interrupted": "INTERRUPTED", "run_start": "RUN", "run_finish": "DONE"}.items()), F.upper(event))
+    label = F.coalesce(*(F.when(event == e, v) for e, v in LABELS.items()), F.upper(event))
     shown = F.map_filter(extras, lambda k, v: ~k.isin("key", "status", "traceback", "meta") & v.isNotNull())
     listed = F.array_join(F.transform(F.map_entries(shown), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ", ")
     who = F.when(event.startswith("item_"), key).when(event == "run_finish", status)

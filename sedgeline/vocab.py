@@ -32,6 +32,20 @@ ERROR_TYPES = (
     "scale_error", "conservation_error", "equilibrium_error", "representation_error",
 )
 ERROR_CLASSES = ("conceptual", "procedural")
+ASSURANCE_TIERS = ("standard", "high")
+SELECTION_DECISIONS = ("accept", "reject", "pending")
+DEDUP_DECISIONS = ("keep", "reject", "adjudicate")
+CURATOR_REVIEWS = ("accepted", "rejected", "pending")
+MODEL_INDEPENDENCE = ("same-provider-reduced-independence", "cross-provider", "not-applicable")
+SUBJECT_METHODS = ("source_metadata", "deterministic_mapping", "ontology_rule", "jev_choice", "adjudicator")
+# The class that an error type has without a verifier; the others are decided case by case.
+DEFAULT_ERROR_CLASSES = {
+    "procedural": ("arithmetic_error", "transcription_error"),
+    "conceptual": (
+        "concept_confusion", "wrong_assumption", "causal_reversal", "category_error", "conservation_error", "equilibrium_error",
+        "formula_selection_error", "sign_convention_error", "coordinate_choice_error",
+    ),
+}
 CELL_TARGET, CELL_MINIMUM = 500, 400
 # How a behavior's or a subject's fitness was decided: with a probability, by rule, by choice.
 METHOD_PROBABILITY, METHOD_RULE, METHOD_CHOICE = "jev_noul", "deterministic_source", "jev_choice"

@@ -61,22 +61,20 @@ def test_firewall_decisions_knows_all_spellings(spark, tmp_path):
     assert got == {True: 1, False: 3}
 
 
-def test_firewalled_census_rejects_frozen_prompts(spark, data):
-    counts = {r[0]: r[1] for r in catalogue.QUERIES["firewalled_reason_counts"](spark, data).collect()}
-    before = {r[0]: r[1] for r in catalogue.QUERIES["reason_counts"](spark, data).collect()}
+def test_census_rejects_frozen_prompts(spark, data):
+    counts = {r[0]: r[1] for r in catalogue.QUERIES["reason_counts"](spark, data).collect()}
     assert counts["exact_eval_overlap"] > 0 and counts["template_eval_overlap"] > 0
-    assert all(counts[k] == n for k, n in before.items())
 
 
 def test_answers_and_hints_of_full_width_digits(spark, tmp_path):
     spark.createDataFrame([(1, "Add ３ and ４"), (2, "Add 5 and 6"), (3, "No number")], "record_no long, canonical_prompt string").write.parquet(f"{tmp_path}/inventory.parquet")
-    got = {r.record_no: r.answer for r in catalogue.QUERIES["answer_extract_all"](spark, str(tmp_path)).collect()}
-    assert set(got) == {1, 2} and got[2] == "6" and got[1] in ("4", "４")
-    got = {r.record_no: r.hint for r in catalogue.QUERIES["hints_all"](spark, str(tmp_path)).collect()}
+    got = {r.record_no: r.answer for r in catalogue.QUERIES["answer_extract"](spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3} and got[2] == "6" and got[1] in ("4", "４") and got[3] == "number"
+    got = {r.record_no: r.hint for r in catalogue.QUERIES["hints"](spark, str(tmp_path)).collect()}
     assert set(got) == {1, 2, 3} and got[1].startswith("Combine ") and got[3].startswith("Name ")
 
 
 def test_wrong_answers_of_decimals(spark, tmp_path):
     spark.createDataFrame([(1, "so #### 2.5"), (2, "so #### 7"), (3, "so #### 0")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r.doc_id: r.wrong for r in catalogue.QUERIES["wrong_answers_all"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r.wrong for r in catalogue.QUERIES["wrong_answers"](spark, str(tmp_path)).collect()}
     assert got == {1: "3.5", 2: "8", 3: "-1"}

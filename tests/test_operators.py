@@ -45,42 +45,30 @@ def canonical():
     """A valid canonical record as a dictionary, made to be broken."""
     h = "sha256:" + "0" * 64
     return {
-        "id": "r1", "split": "train",
+        "schema_version": "v1", "id": "r1", "split": "train",
         "source": dict(dataset="d", revision="r", config="c", source_split="train", original_id="1", url="u", license="l", license_class="permissive", export_profile="permissive", transformation="t"),
         "curriculum": dict(subject="math", secondary_subjects=["physics"], topic="t", grade_band="secondary_9_12", difficulty="easy", learning_objective="o"),
         "pedagogy": dict(behavior="diagnose", teacher_move="focus", intent="guide_focus", answer_policy="withhold_final", question_count=1, interaction_mode="single_turn"),
         "grounding": dict(problem="p", canonical_answer="4", supporting_facts=[], reference_explanation=None),
-        "student_state": dict(attempt="a", first_error_step=1, error_type="sign_error", error_class="procedural"),
-        "constraints": dict(items=[dict(id="c1"), dict(id="c2")], constraint_results={"c1": dict(passed=True), "c2": dict(passed=True)}, all_constraints_pass=True),
+        "student_state": dict(attempt="a", first_error_step=1, error_type="sign_error", error_class="procedural", error_class_rationale="r", misconception="m"),
+        "constraints": dict(items=[dict(id="c1", check="k"), dict(id="c2", check="k")], constraint_results={"c1": dict(passed=True), "c2": dict(passed=True)}, all_constraints_pass=True),
         "messages": [dict(role="user", content="q"), dict(role="assistant", content="a")],
-        "quality": dict(verifiers=["v"], factual_score=1.0, pedagogy_score=0.5, constraint_pass=True, review_passes=0, selection=dict(
-            selected_behavior="diagnose", subject_method="source_metadata", subject_distribution=None, subject_choice_confidence=None,
+        "quality": dict(generator="g", curator_review="accepted", model_independence="cross-provider", assurance_tier="standard", verifiers=["v"], factual_score=1.0, pedagogy_score=0.5, constraint_pass=True, review_passes=0, selection=dict(
+            decision="accept", behavior_classifier="b", selected_behavior="diagnose", subject_method="source_metadata", subject_distribution=None, subject_choice_confidence=None,
             behavior_eligibility={b: dict(eligible=True, p_yes=None, method="deterministic_source") for b in vocab.BEHAVIORS},
             scores=dict(grounding=2, answer_verifiability=2, curriculum_fit=2, behavior_affordance=1, clarity=1, diversity_value=1), total=9)),
         "identity": dict(source_key="k", family_id=h, row_id=h, record_version=1),
-        "dedup": dict(normalization_version="norm-v1", canonical_content_hash=h, prompt_hash=h, assistant_hash=h, constraint_signature=h, template_fingerprint=h, nearest_eval_similarity=None),
+        "dedup": dict(normalization_version="norm-v1", canonical_content_hash=h, prompt_hash=h, assistant_hash=h, constraint_signature=h, template_fingerprint=h, nearest_eval_similarity=None, decision="keep"),
     }
 
 
-SCHEMA = """id string, split string,
-source struct<dataset:string,revision:string,config:string,source_split:string,original_id:string,url:string,license:string,license_class:string,export_profile:string,transformation:string>,
-curriculum struct<subject:string,secondary_subjects:array<string>,topic:string,grade_band:string,difficulty:string,learning_objective:string>,
-pedagogy struct<behavior:string,teacher_move:string,intent:string,answer_policy:string,question_count:int,interaction_mode:string>,
-grounding struct<problem:string,canonical_answer:string,supporting_facts:array<string>,reference_explanation:string>,
-student_state struct<attempt:string,first_error_step:int,error_type:string,error_class:string>,
-constraints struct<items:array<struct<id:string>>,constraint_results:map<string,struct<passed:boolean>>,all_constraints_pass:boolean>,
-messages array<struct<role:string,content:string>>,
-quality struct<verifiers:array<string>,factual_score:double,pedagogy_score:double,constraint_pass:boolean,review_passes:int,selection:struct<selected_behavior:string,subject_method:string,subject_distribution:map<string,double>,subject_choice_confidence:double,behavior_eligibility:map<string,struct<eligible:boolean,p_yes:double,method:string>>,scores:struct<grounding:int,answer_verifiability:int,curriculum_fit:int,behavior_affordance:int,clarity:int,diversity_value:int>,total:int>>,
-identity struct<source_key:string,family_id:string,row_id:string,record_version:int>,
-dedup struct<normalization_version:string,canonical_content_hash:string,prompt_hash:string,assistant_hash:string,constraint_signature:string,template_fingerprint:string,nearest_eval_similarity:double>"""
-
 #: path, new value, part of the message or kind of the only issue to be found
 MUTANTS = [
     ("split", "no", "literal_error"), ("id", "", "string_too_short"), ("source.license_class", "unknown", "literal_error"), ("source.url", None, "missing"),
     ("curriculum.secondary_subjects", ["math"], "cannot also be secondary"), ("curriculum.secondary_subjects", ["physics", "physics"], "must be unique"),
     ("pedagogy.intent", "encourage", "not one of its move's"), ("pedagogy.question_count", -1, "greater_than_equal"),
     ("student_state.error_type", "none", "correct attempt"), ("student_state.error_class", None, "wrong attempt"),
-    ("constraints.items", [], "too_short"), ("constraints.items", [{"id": "c1"}], "results must be"), ("constraints.all_constraints_pass", False, "disagrees with the results"),
+    ("constraints.items", [], "too_short"), ("constraints.items", [{"id": "c1", "check": "k"}], "results must be"), ("constraints.all_constraints_pass", False, "disagrees with the results"),
     ("quality.selection.total", 8, "sum of the scores"), ("quality.selection.scores.clarity", 3, "less_than_equal"), ("quality.selection.subject_method", "jev_choice", "six probabilities"),
     ("identity.row_id", "sha256:x", "pattern"), ("dedup.nearest_eval_similarity", 1.5, "less_than_equal"),
     ("messages", [{"role": "assistant", "content": "a"}, {"role": "user", "content": "b"}], "message order"), ("student_state", None, "needs a student state"),
@@ -102,7 +90,7 @@ def test_each_rule_finds_its_mutant(spark):
     import json
 
     rows = [json.dumps(canonical())] + [json.dumps(mutant(p, v)) for p, v, _ in MUTANTS]
-    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, r string").select("i", F.from_json("r", SCHEMA).alias("r")).select("i", "r.*")
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, r string").select("i", F.from_json("r", rules.CANONICAL).alias("r")).select("i", "r.*")
     got = {r.i: r.issues for r in df.select("i", rules.compile_issues(rules.canonical_rules()).alias("issues")).collect()}
     assert got[0] == []
     for i, (path, _, want) in enumerate(MUTANTS, 1):
@@ -145,22 +133,22 @@ def test_census(spark):
 
 def test_registry(spark, tmp_path):
     src = spark.createDataFrame([("k1", "d", "r", "train", "1")], "source_key string, dataset string, revision string, source_split string, original_id string")
-    row = "row_id string, family_id string, source_key string, selected_behavior string, constraint_signature string, renderer_version string, duplicate_of string"
-    rows = spark.createDataFrame([("r1", "f", "k1", "solve", "c", "v", None)], row)
+    row = "row_id string, family_id string, source_key string, selected_behavior string, constraint_signature string, renderer_version string, duplicate_of string, canonical_content_hash string, template_fingerprint string, status string"
+    rows = spark.createDataFrame([("r1", "f", "k1", "solve", "c", "v", None, "h", "t", "accepted")], row)
     member = spark.createDataFrame([("b", "r1", "full")], "build_name string, row_id string, membership string")
     root = str(tmp_path / "registry")
     assert registry.append(spark, root, {"source_records": src, "training_rows": rows, "build_membership": member}) == {"source_records": 1, "training_rows": 1, "build_membership": 1}
     for batch in (
         {"source_records": src},
-        {"training_rows": spark.createDataFrame([("r2", "f", "k1", "solve", "c", "v", None)], row)},
-        {"training_rows": spark.createDataFrame([("r3", "g", "none", "solve", "c", "v", None)], row)},
+        {"training_rows": spark.createDataFrame([("r2", "f", "k1", "solve", "c", "v", None, "h", "t", "accepted")], row)},
+        {"training_rows": spark.createDataFrame([("r3", "g", "none", "solve", "c", "v", None, "h", "t", "accepted")], row)},
         {"build_membership": spark.createDataFrame([("b", "r1", "other")], member.schema)},
         {"build_membership": spark.createDataFrame([("b2", "r1", "full", -1)], "build_name string, row_id string, membership string, exposure_count int")},
     ):
         with pytest.raises(ValueError, match="violated"):
             registry.append(spark, root, batch)
-    assert spark.read.parquet(f"{root}/training_rows").count() == 1
-    assert spark.read.parquet(f"{root}/source_records").first().status == "candidate"
+    assert registry.read(spark, root, "training_rows").count() == 1
+    assert registry.read(spark, root, "source_records").first().status == "candidate"
 
 
 def test_mix_counts(spark):

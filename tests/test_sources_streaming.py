@@ -4,6 +4,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from sedgeline.operators import rules
 from sedgeline.sources import readers, sinks
 from sedgeline.streaming import runlog
 
@@ -27,6 +28,35 @@ def test_lines_and_issues(spark, tmp_path):
         readers.typed_or_fail(spark, write(tmp_path / "c.jsonl", '{"a": "x"}\n'), "a int").collect()
 
 
+def test_typed_lines_fail_with_their_place(spark, tmp_path):
+    kind = "a int, b struct<c:string>, d array<struct<e:int>>"
+    read = lambda name, line, checks=(): readers.typed_or_fail(spark, write(tmp_path / name, '{"a": 1, "b": {"c": " x "}}\n\n' + line), kind, checks).collect()
+    assert [(r.a, r.b) for r in read("ok", '{"a": 2}\n')] == [(1, ("x",)), (2, None)]
+    for name, line, why in (("t", '{"a": "x"}', "another type"), ("k", '{"z": 1}', "unknown keys z"), ("n", '{"b": {"y": 1}}', "unknown keys b.y"), ("l", '{"d": [{"e": 1}, {"f": 1}]}', r"unknown keys d\\[\\].f"), ("o", "[]", "JSON object"), ("j", "{", "JSON object")):
+        with pytest.raises(Exception, match=f"/{name}:3: .*{why}"):
+            read(name, line)
+    with pytest.raises(Exception, match="/r:3: a: Field required"):
+        read("r", '{"b": null}', [rules.missing("a")])
+    assert readers.typed_or_fail(spark, write(tmp_path / "empty", ""), kind).count() == 0
+
+
+def test_manifests_are_strict(spark, tmp_path):
+    p = write(tmp_path / "m.json", json.dumps({"sources": [{"id": " s ", "x": 1}]}))
+    with pytest.raises(ValueError, match="unknown keys x"):
+        readers.manifest(spark, p, "sources", "id string")
+    assert readers.manifest(spark, p, "sources", "id string", strict=False).first().id == "s"
+
+
+def test_digests_of_files_of_any_size(spark, tmp_path):
+    import hashlib
+
+    big = b"x" * (3 << 20) + b"\nlast"
+    for name, content in (("big", big), ("empty", b""), ("ended", b"a\nb\n")):
+        (tmp_path / name).write_bytes(content)
+    got = {r.path.rsplit("/", 1)[1]: (r.bytes, r.sha256, r.n_lines) for r in readers.file_digests(spark, str(tmp_path)).collect()}
+    assert got == {n: (len(c), "sha256:" + hashlib.sha256(c).hexdigest(), k) for n, c, k in (("big", big, 2), ("empty", b"", 0), ("ended", b"a\nb\n", 2))}
+
+
 def test_small_files(spark, tmp_path):
     assert readers.optional_json(spark, str(tmp_path / "none.jsonl"), "a int").count() == 0
     assert readers.inventory_status(spark, None)[0] == "not_configured"
@@ -50,6 +80,14 @@ def test_sqlite(spark, tmp_path):
         db.execute("create table t (a text, b integer)")
         db.executemany("insert into t values (?, ?)", [("x", 1), (None, 2)])
     assert readers.sqlite_table(spark, path, "t", "a string, b long").count() == 2
+    with sqlite3.connect(path) as db:
+        db.executemany("insert into t values (?, ?)", [(str(i), i) for i in range(25)])
+        db.execute("create table w (k text primary key, n integer) without rowid")
+        db.execute("insert into w values ('a', 1)")
+        db.execute("create table e (a text)")
+    assert readers.sqlite_table(spark, path, "t", "b long", rows_a_task=4).agg(F.sum("b")).first()[0] == 303
+    assert [tuple(r) for r in readers.sqlite_table(spark, path, "w", "k string, n long").collect()] == [("a", 1)]
+    assert readers.sqlite_table(spark, path, "e", "a string").count() == 0
 
 
 def test_sinks(spark, tmp_path):
@@ -59,10 +97,17 @@ def test_sinks(spark, tmp_path):
     sinks.write_report(df, str(tmp_path / "x" / "r.json"))
     assert json.loads((tmp_path / "x" / "r.json").read_text())[0]["b"] == "é"
     assert sinks.markdown(df, "a").splitlines()[2] == "| 1 | é | p |"
-    assert sinks.filter_on_write(df, df.where("a > 1"), str(tmp_path / "f")) == {"kept": 1, "dropped": 1}
+    assert sinks.filter_on_write(df, F.col("a") > 1, str(tmp_path / "f")) == {"kept": 1, "dropped": 1}
+    with pytest.raises(ValueError, match="more than 1 rows"):
+        sinks.markdown(df, "a", rows=1)
     sinks.write_by_license(df, str(tmp_path / "l"))
     assert {p.name for p in (tmp_path / "l").glob("export_profile=*")} == {"export_profile=p", "export_profile=q"}
     assert sinks.json_schema(df, "t", "urn:t")["properties"]["a"] == {"type": "integer"}
+    schema = sinks.json_schema(spark.createDataFrame([], rules.CANONICAL), "record", "urn:r", rules.canonical_rules("v1"))
+    assert schema["properties"]["split"]["enum"] == ["train", "validation", "test", "external_eval"] and "id" in schema["required"]
+    assert schema["properties"]["quality"]["properties"]["factual_score"] == {"type": "number", "minimum": 0, "maximum": 1}
+    assert schema["properties"]["identity"]["properties"]["row_id"]["pattern"].startswith("^sha256")
+    assert schema["properties"]["messages"]["minItems"] == 2 and schema["properties"]["schema_version"]["enum"] == ["v1"]
 
 
 EVENTS = [
@@ -110,6 +155,23 @@ def test_stream_gives_the_same(spark, tmp_path):
         q.stop()
 
 
+def test_finished_runs_leave_the_state(spark, tmp_path):
+    folder = str(tmp_path / "events")
+    at = lambda *rows: spark.createDataFrame(list(rows), "run_id string, seq long, t long, event string, key string, status string").select("run_id", "seq", F.timestamp_seconds("t").alias("ts"), "event", "key", "status")
+    runlog.append_events(at(("a", 1, 100, "item_ok", "k", None), ("a", 2, 101, "run_finish", None, None)), folder)
+    q = runlog.rollup_stream(runlog.read_events(spark, folder), late="10 seconds").writeStream.outputMode("update").format("memory").queryName("expiring").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        q.processAllAvailable()
+        runlog.append_events(at(("b", 3, 500, "item_start", "k", None)), folder)
+        q.processAllAvailable()
+        runlog.append_events(at(("b", 4, 501, "item_ok", "k", None), ("a", 5, 102, "item_error", "k", None)), folder)
+        q.processAllAvailable()
+        assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 1
+        assert [(r.ok, r.error, r.status) for r in spark.table("expiring").where("run_id = 'a'").collect()] == [(1, 0, "ok")]
+    finally:
+        q.stop()
+
+
 def test_windows_stream(spark, data, tmp_path):
     events = spark.read.parquet(f"{data}/events.parquet")
     want = {(r.window_start, r.event_type): r.n for r in runlog.windowed_counts(events, window="1 hour").collect()}
