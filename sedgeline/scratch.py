@@ -12,7 +12,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
@@ -51,12 +53,29 @@ class Stored:
     def drop(self) -> None:
         _delete(self.df.sparkSession, self.path)
 
+    def uri(self) -> str:
+        """The path as Python workers know it."""
+        spark = self.df.sparkSession
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        whole = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString()
+        return whole.replace("file:/", "file:///", 1) if whole.startswith("file:/") and not whole.startswith("file://") else whole.replace("s3a://", "s3://", 1)
 
-def store(df: DataFrame, name: str) -> Stored:
-    """Write a DataFrame to the shared folder and read it back, lineage cut."""
+
+def read_part(uri: str, column: str, value, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """In a Python worker: the batches of one part of a table stored ``by`` a column; none if there is no such part."""
+    from pyarrow import dataset, fs
+
+    system, path = fs.FileSystem.from_uri(f"{uri}/{column}={value}")
+    if system.get_file_info(path).type != fs.FileType.NotFound:
+        yield from dataset.dataset(path, filesystem=system, format="parquet").to_batches(columns=columns)
+
+
+def store(df: DataFrame, name: str, by: str | None = None) -> Stored:
+    """Write a DataFrame to the shared folder and read it back, lineage cut. by: a column by whose values
+    the files are divided, so that rows of one value lie together."""
     spark = df.sparkSession
     path = f"{root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return Stored(spark.read.schema(df.schema).parquet(path), path)
 
 
