@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedgeline.functions.text import spelled, split_name  # noqa: F401
+from sedgeline.joins import HOT_GROUPS, HOT_ROWS, attach  # noqa: F401
 
 # Spellings of subjects.
 SUBJECTS = {
@@ -106,24 +107,6 @@ def member_pairs(nodes: DataFrame, members: DataFrame, left: str, right: str, no
     return spread
 
 
-#: Rows from which a group is joined by broadcast, and the most such groups.
-HOT_ROWS, HOT_GROUPS = 5000, 10_000
-
-
-def attach(rows: DataFrame, groups: DataFrame, by: list[str], size: str) -> DataFrame:
-    """rows joined with their group, one row of ``groups`` a group, of ``size`` rows.
-
-    Groups of more than ``HOT_ROWS`` rows (or total / ``HOT_GROUPS``, if that is more:
-    so there are at most 10,000) are broadcast, and their rows stay where they
-    are; the others share a shuffle join without hot keys. groups should be stored.
-    """
-    total = groups.agg(F.sum(size)).first()[0] or 0
-    least = max(HOT_ROWS, total // HOT_GROUPS)
-    hot = F.broadcast(groups.where(F.col(size) > least))
-    rest = rows.join(hot.select(*by), by, "left_anti").join(groups.where(F.col(size) <= least), by)
-    return rows.join(hot, by).unionByName(rest)
-
-
 #: Characters, or list items, of a column that are worked on at once in a Python worker.
 AT_ONCE = 4_000_000
 
@@ -145,15 +128,21 @@ def bounded(batches: Iterable[pa.RecordBatch], column: int, most: int = AT_ONCE)
             a, done = b, int(total[b - 1])
 
 
-_TOKEN = re.compile(r"(?<![^\W_])\d+(?:[.,]\d+)*(?![^\W_])|[^\W_]+")
+#: A number by itself, else a run of letters and digits. A search goes on where the last match ended, never inside a run.
+_TOKEN = re.compile(r"\d+(?:[.,]\d+)*(?![^\W_])|[^\W_]+")
 _WORD = re.compile(r"[^\W_]+")
 
 
+def folded(text: str) -> str:
+    """A text after NFKC and case folding."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFKC", text).casefold()
+
+
 def words(text: str) -> list[str]:
     """Runs of letters and digits after NFKC and case folding."""
-    return _WORD.findall(unicodedata.normalize("NFKC", text).casefold())
+    return _WORD.findall(folded(text))
 
 
 def masked_words(text: str) -> list[str]:
     """As ``words``, every number (with its inner points and commas) as ``0``."""
-    return ["0" if t[0].isdigit() and not any(ch.isalpha() for ch in t) else t for t in _TOKEN.findall(unicodedata.normalize("NFKC", text).casefold())]
+    return ["0" if t[0].isdigit() and not any(map(str.isalpha, t)) else t for t in _TOKEN.findall(folded(text))]

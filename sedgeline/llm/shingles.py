@@ -9,11 +9,21 @@ import xxhash
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-_cache: dict[str, int] = {}
 #: Words whose hashes a worker keeps.
 _CACHED = 500_000
 
 
+class _Hashes(dict):
+    """The hash of each word met so far."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
+
+
+_cache = _Hashes()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective mixing of 64-bit integers."""
     x = (x ^ (x >> np.uint64(30))) * _M1
@@ -24,13 +34,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def word_hashes(words: list[str]) -> np.ndarray:
     if len(_cache) > _CACHED:
         _cache.clear()
-    out = np.empty(len(words), np.uint64)
-    for i, w in enumerate(words):
-        h = _cache.get(w)
-        if h is None:
-            h = _cache[w] = xxhash.xxh64_intdigest(w)
-        out[i] = h
-    return out
+    return np.fromiter(map(_cache.__getitem__, words), np.uint64, len(words))
 
 
 def batch_words(texts: list[str | None], split: Callable[[str], list[str]]) -> tuple[np.ndarray, np.ndarray]:

@@ -46,18 +46,32 @@ def test_edge_cases(inventory, training):
     assert copies.found(inv.limit(0), rows.limit(0)).count() == 0
 
 
-def test_full_filter_loses_nothing(spark, monkeypatch):
-    """Even a filter far too small only lets more records through to the exact grouping."""
-    monkeypatch.setattr(copies, "LEAST_BITS", 64)
-    monkeypatch.setattr(copies, "MOST_BITS", 64)
+def test_many_and_full_filters_lose_nothing(spark, monkeypatch):
+    """Small filters grow in number; even those far too small only let more records through to the exact grouping."""
     df = spark.range(500).select(F.lit("s").alias("record_set"), "id", F.encode((F.col("id") % 400).cast("string"), "UTF-8").alias("digest")).repartition(5)
+    monkeypatch.setattr(copies, "LEAST_BITS", 64)
+    monkeypatch.setattr(copies, "MOST_BITS", 2048)
+    assert copies.filter_size(500) == (4, 2048)
     assert copies.copies(df).count() == 100
+    repeats, _, singles = copies.groups(df)
+    assert repeats.count() + singles.count() == 500 and singles.count() > 200
+    assert copies.groups(df, most=10)[0].count() > repeats.count()
+    assert copies.copies(df, most=10).count() == 100
+
+
+def test_filters_grow_with_the_records():
+    assert copies.filter_size(0) == (1, copies.LEAST_BITS)
+    for n in (10**6, 10**8, 10**10):
+        filters, bits = copies.filter_size(n)
+        assert filters * bits >= n * copies.BITS_A_RECORD and bits <= copies.MOST_BITS
 
 
 def test_filter_is_the_union_of_partitions(spark):
-    df = spark.range(2000).select(F.encode((F.col("id") % 1500).cast("string"), "UTF-8").alias("digest"))
+    df = spark.range(2000).select(F.encode((F.col("id") % 1500).cast("string"), "UTF-8").alias("digest"), F.lit(0).alias("rng"))
     bits = 1 << 16
-    assert np.array_equal(copies.seen_again(df.repartition(1), bits), copies.seen_again(df.repartition(7), bits))
+    one, seven = (copies.seen_again(df.repartition(n), bits).uri() for n in (1, 7))
+    assert np.array_equal(copies._bitmap(one, 0, bits), copies._bitmap(seven, 0, bits))
+    assert copies._bitmap(one, 0, bits).any() and not copies._bitmap(one, 5, bits).any()
 
 
 def test_hot_group(spark):
