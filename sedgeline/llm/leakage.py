@@ -3,9 +3,10 @@
 Latent semantic retrieval: passages of the corpus and of the items become TF-IDF
 rows, a distributed randomised SVD gives a space of few dimensions, and passages
 whose cosine in it reaches a threshold make their document and item a
-candidate. Candidates are then compared word by word: for twelve
-successive words of the item, or, as paraphrases, by longest common subsequence
-and the item's numbers.
+candidate. Successive passages of an item share a cell, a corpus passage is compared with the
+cells' middles first and with the passages of those that come near. Candidates are
+then compared word by word: for twelve successive words of the item, or, as paraphrases, by
+longest common subsequence and the answer's words.
 """
 
 from __future__ import annotations
@@ -18,19 +19,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedgeline.llm import common, folds, shingles
-from sedgeline.scratch import stored
+from sedgeline.operators import ordinal
+from sedgeline.scratch import read_part, store, stored
 
 #: Hashed words (columns), dimensions kept, dimensions beyond these while fitting.
 COLUMNS, RANK, EXTRA = 1 << 15, 128, 10
-#: Words of a corpus passage and from one to the next: every run of STEP + 1 words or fewer
-#: lies in one passage. Words of an item's passage and from one to the next.
+#: Words of a corpus passage, two stretches of STEP words of which the first is the second of the passage
+#: before: every run of STEP + 1 words or fewer lies in one passage. The space is fitted on passages
+#: of PASSAGE words end to end, each word once. Words of an item's passage and from one to the next.
 PASSAGE, STEP, ITEM_PASSAGE, ITEM_STEP = 24, 12, 12, 4
+#: Successive passages of an item in a cell, and the least cosine with a cell's middle for a look into it.
+CELL, CELL_COSINE = 3, 0.4
 #: Least cosine of a candidate, and the successive words that make a leak.
 COSINE, RUN = 0.45, 12
-#: A paraphrase: cosine, part of the item's words in a common subsequence, part of its numbers.
-PARAPHRASE_COSINE, PARAPHRASE_LCS, PARAPHRASE_NUMBERS = 0.6, 0.6, 0.5
+#: A paraphrase: cosine, words that the stretch of matching item passages has at least, part of that stretch in a
+#: common subsequence, part of the answer's words: the stretch's numbers, else its rarest quarter.
+PARAPHRASE_COSINE, PARAPHRASE_WORDS, PARAPHRASE_LCS, PARAPHRASE_KEYS = 0.5, 24, 0.6, 0.5
 #: Words of the items held at once; a larger set of items is searched in blocks.
 BLOCK_WORDS = 500_000
+#: Words of the corpus worked on at once in a worker.
+AT_ONCE = 1_000_000
 SEED = 20260101
 
 
@@ -58,24 +66,59 @@ class Passages:
         first = np.cumsum(counts) - counts
         # the last passage ends with its text
         inside = np.minimum(k * step, np.maximum(counts[self.text] - size, 0))
-        self.start, self.length = first[self.text] + inside, np.minimum(size, counts[self.text])
-        self.columns = (words.astype(np.int64) & (COLUMNS - 1)).astype(np.int32)
+        self.start, self.length, self.size = first[self.text] + inside, np.minimum(size, counts[self.text]), size
+        self.columns = _columns(words)
 
     def __len__(self) -> int:
         return len(self.start)
 
-    def parts(self, most: int = 2000) -> Iterator[tuple[np.ndarray, np.ndarray, slice]]:
-        """(columns end to end, place of each passage's first, which passages)."""
+    def parts(self, most: int = 256) -> Iterator[tuple[np.ndarray, slice]]:
+        """(columns of each passage, COLUMNS for none; which passages), few at a time, which stays in a core's cache."""
         for a in range(0, len(self), most):
-            n = self.length[a : a + most]
-            at = np.cumsum(n) - n
-            index = np.repeat(self.start[a : a + most] - at, n) + np.arange(n.sum())
-            yield self.columns[index], at, slice(a, a + len(n))
+            yield _matrix(self.columns, self.start[a : a + most], self.length[a : a + most], self.size), slice(a, min(a + most, len(self)))
+
+
+def _columns(words: np.ndarray) -> np.ndarray:
+    return (words.astype(np.int64) & (COLUMNS - 1)).astype(np.int32)
+
+
+def _matrix(columns: np.ndarray, start: np.ndarray, length: np.ndarray, size: int) -> np.ndarray:
+    """The columns of stretches of words, one row a stretch, short ones filled up with COLUMNS."""
+    k = np.arange(size)
+    return np.where(k < length[:, None], columns[np.minimum(start[:, None] + k, len(columns) - 1)], COLUMNS)
+
+
+def _padded(matrix: np.ndarray) -> np.ndarray:
+    """A matrix of COLUMNS rows, and a row of zeros for no word."""
+    return np.vstack([matrix, np.zeros((1, matrix.shape[1]), matrix.dtype)])
+
+
+def _sums(columns: np.ndarray, padded: np.ndarray) -> np.ndarray:
+    """The sum of a matrix' rows over each row of columns, one place after the other."""
+    places = np.ascontiguousarray(columns.T)
+    y = padded[places[0]]
+    for at in places[1:]:
+        y += padded[at]
+    return y
+
+
+def _tfidf(columns: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, weight): the TF-IDF rows of length 1 of passages given by their columns."""
+    c = np.sort(columns, axis=1)
+    new = np.ones(c.shape, bool)
+    new[:, 1:] = c[:, 1:] != c[:, :-1]
+    at = np.flatnonzero(new.ravel())
+    count, column, row = np.diff(np.append(at, c.size)), c.ravel()[at], at // c.shape[1]
+    own = column < COLUMNS
+    count, column, row = count[own], column[own], row[own]
+    weight = count * idf[column]
+    length = np.sqrt(np.maximum(np.bincount(row, weights=weight * weight, minlength=len(c)), 1e-12))
+    return row, column, (weight / length[row]).astype(np.float32)
 
 
 def _batches(batches, size: int, step: int):
     """(batch, words, counts, passages) of batches of (id, words) with any words."""
-    for batch in common.bounded(batches, 1):
+    for batch in common.bounded(batches, 1, AT_ONCE):
         column = batch.column(1)
         words = column.flatten().to_numpy(zero_copy_only=False)
         counts = np.asarray(column.value_lengths().to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -90,30 +133,16 @@ def document_frequency(table: DataFrame, size: int, step: int) -> np.ndarray:
         out = np.zeros((COLUMNS + 1, 1))
         for _, _, _, passages in _batches(batches, size, step):
             out[COLUMNS] += len(passages)
-            for columns, at, _ in passages.parts():
-                doc = np.zeros(len(columns), np.int64)
-                doc[at[1:]] = 1
-                pairs = np.unique(np.cumsum(doc) * COLUMNS + columns)
-                out[:COLUMNS, 0] += np.bincount(pairs % COLUMNS, minlength=COLUMNS)
+            for columns, _ in passages.parts():
+                c = np.sort(columns, axis=1)
+                new = c < COLUMNS
+                new[:, 1:] &= c[:, 1:] != c[:, :-1]
+                out[:COLUMNS, 0] += np.bincount(c[new], minlength=COLUMNS)
         return out
 
     return folds.total(table, partial, (COLUMNS + 1, 1))[:, 0]
 
 
-def _rows(columns: np.ndarray, at: np.ndarray, idf: np.ndarray, weighted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(TF-IDF rows of length 1 times a matrix, 1 / their lengths); weighted: idf x the matrix."""
-    order = np.argsort(np.repeat(np.arange(len(at)), np.diff([*at, len(columns)])) * np.int64(COLUMNS) + columns, kind="stable")
-    c = columns[order]
-    doc = np.repeat(np.arange(len(at)), np.diff([*at, len(columns)]))
-    new = np.ones(len(c), bool)
-    new[1:] = (c[1:] != c[:-1]) | (doc[1:] != doc[:-1])
-    first = np.flatnonzero(new)
-    count = np.diff([*first, len(c)])
-    square = np.bincount(doc[first], weights=(count * idf[c[first]]) ** 2, minlength=len(at))
-    scale = (1 / np.sqrt(np.maximum(square, 1e-12))).astype(np.float32)
-    return np.add.reduceat(weighted[columns], at, axis=0) * scale[:, None], scale
-
-
 def fit(corpus: DataFrame, items: DataFrame, rank: int = RANK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(idf, V, singular values): the right singular vectors (columns x rank) of all TF-IDF passages.
 
@@ -121,9 +150,10 @@ def fit(corpus: DataFrame, items: DataFrame, rank: int = RANK) -> tuple[np.ndarr
     say in the space in which they are sought. Randomised: a random matrix goes through
     the rows' Gram matrix, its orthonormal basis Q through the rows again, and the small
     Gram matrix of that gives the rotation. Each pass covers all passages; what
-    comes to the driver has a fixed size (COLUMNS x (rank + extra) numbers).
+    comes to the driver has a fixed size (COLUMNS x (rank + extra) numbers). The space is the same for any
+    order and partitioning of the rows, but for rounding.
     """
-    sides = [(corpus, PASSAGE, STEP), (items, ITEM_PASSAGE, ITEM_STEP)]
+    sides = [(corpus, PASSAGE, PASSAGE), (items, ITEM_PASSAGE, ITEM_STEP)]
     counts = [document_frequency(*s) for s in sides]
     n = sum(c[COLUMNS] for c in counts)
     idf = (np.log((n + 1) / (counts[0][:COLUMNS] + counts[1][:COLUMNS] + 1)) + 0.1).astype(np.float32)
@@ -140,20 +170,18 @@ def fit(corpus: DataFrame, items: DataFrame, rank: int = RANK) -> tuple[np.ndarr
             def partial(batches, size=size, step=step):
                 idf = shared.value
                 m = held.value if held.value is not None else np.random.default_rng(SEED).standard_normal((COLUMNS, width), dtype=np.float32)
-                weighted = m * idf[:, None]
                 out = np.zeros((COLUMNS if rows else width, width))
                 for _, _, _, passages in _batches(batches, size, step):
-                    for columns, at, _ in passages.parts():
-                        y, scale = _rows(columns, at, idf, weighted)
-                        if not rows:
+                    for columns, _ in passages.parts():
+                        row, column, weight = _tfidf(columns, idf)
+                        own, place = np.unique(column, return_inverse=True)
+                        a = np.zeros((columns.shape[0], len(own)), np.float32)
+                        a[row, place] = weight
+                        y = a @ m[own]
+                        if rows:
+                            out[own] += a.T @ y
+                        else:
                             out += y.T @ y
-                            continue
-                        y *= scale[:, None]
-                        order = np.argsort(columns, kind="stable")
-                        of = np.repeat(np.arange(len(at)), np.diff([*at, len(columns)]))[order]
-                        c = columns[order]
-                        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-                        out[c[first]] += np.add.reduceat(y[of], first, axis=0) * idf[c[first], None]
                 return out
 
             if c[COLUMNS]:
@@ -168,12 +196,39 @@ def fit(corpus: DataFrame, items: DataFrame, rank: int = RANK) -> tuple[np.ndarr
     return idf, (q @ rotation[:, ::-1][:, :rank]).astype(np.float32), np.sqrt(np.maximum(values[::-1][:rank], 0))
 
 
-def _project(passages: Passages, idf: np.ndarray, weighted: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
-    """Unit vectors of passages in the latent space, some at a time; 0 for those outside it."""
-    for columns, at, which in passages.parts():
-        y, _ = _rows(columns, at, idf, weighted)
-        norm = np.linalg.norm(y, axis=1)
-        yield which, np.divide(y, norm[:, None], out=np.zeros_like(y), where=norm[:, None] > 1e-6)
+def _unit(y: np.ndarray) -> np.ndarray:
+    """Rows of length 1; 0 for those outside the space."""
+    norm = np.linalg.norm(y, axis=1)
+    return np.divide(y, norm[:, None], out=np.zeros_like(y), where=norm[:, None] > 1e-6)
+
+
+def _project(passages: Passages, padded: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Unit vectors of passages in the latent space, some at a time; as only directions matter, the lengths
+    of TF-IDF rows do not. padded: idf x the space's vectors, with a row of zeros."""
+    for columns, which in passages.parts():
+        yield which, _unit(_sums(columns, padded))
+
+
+def _windows(words: np.ndarray, counts: np.ndarray, padded: np.ndarray, most: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, unit vectors) of the corpus passages of texts, some at a time.
+
+    A passage is two successive stretches of STEP words (a short text has one, a text's last may be shorter);
+    each stretch is summed up once.
+    """
+    per = -(-counts // STEP)
+    text = np.repeat(np.arange(len(counts)), per)
+    place = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    start, length = (np.cumsum(counts) - counts)[text] + STEP * place, np.minimum(STEP, counts[text] - STEP * place)
+    columns = _columns(words)
+    follows = place + 1 < per[text]
+    kept = follows | (per[text] == 1)  # the last stretch of a longer text is in the passage before
+    for a in range(0, len(start), most):
+        b = min(len(start), a + most)
+        # one stretch more than passages, for the last one's second half
+        sums = _sums(_matrix(columns, start[a : b + 1], length[a : b + 1], STEP), padded)
+        y = sums[: b - a].copy()
+        y[follows[a:b]] += sums[1:][follows[a:b][: len(sums) - 1]]
+        yield text[a:b][kept[a:b]], _unit(y[kept[a:b]])
 
 
 def _runs(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,52 +237,87 @@ def _runs(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 class Items:
-    """A block of items: vectors of their passages, their runs, and their words."""
+    """A block of items: vectors of their passages in cells, their runs, and their words."""
 
-    def __init__(self, ids: list[int], words: list[np.ndarray], numbers: list[set[int]], idf: np.ndarray, weighted: np.ndarray):
-        self.ids, self.words, self.numbers = np.array(ids, np.int64), words, numbers
-        counts = np.array([len(w) for w in words], np.int64)
-        flat = np.concatenate(words) if words else np.empty(0, np.int32)
+    def __init__(self, ids: np.ndarray, flat: np.ndarray, counts: np.ndarray, numbers: np.ndarray, idf: np.ndarray, padded: np.ndarray):
+        self.ids, self.flat, self.counts, self.numbers, self.idf = ids, flat, counts, numbers, idf
+        self.first = np.cumsum(counts) - counts
         passages = Passages(flat, counts, ITEM_PASSAGE, ITEM_STEP)
-        self.item = passages.text
-        self.vectors = np.concatenate([y for _, y in _project(passages, idf, weighted)] or [np.empty((0, weighted.shape[1]), np.float32)])
+        self.item, self.start = passages.text, passages.start
+        self.vectors = np.concatenate([y for _, y in _project(passages, padded)] or [np.empty((0, padded.shape[1]), np.float32)])
+        # the place of each passage in its item, and cells of CELL successive ones
+        place = np.arange(len(self.item)) - np.searchsorted(self.item, self.item)
+        self.cell_start = np.flatnonzero(place % CELL == 0)
+        self.cell_size = np.diff([*self.cell_start, len(self.item)])
+        self.middles = _unit(np.add.reduceat(self.vectors, self.cell_start, axis=0)) if len(self.cell_start) else self.vectors
         runs, of = _runs(flat, counts)
         self.any_runs = np.unique(runs)
         self.runs = np.unique(shingles.mix(runs ^ shingles.mix(of.astype(np.uint64) + np.uint64(1))))
 
-    def candidates(self, passages: Passages, idf: np.ndarray, weighted: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, item, greatest cosine) of all pairs with passages at or above a cosine."""
-        found, best = [], []
-        rows, width = max(1, 1_000_000 // max(1, len(self.vectors))), max(1, len(self.vectors))  # stays in a core's cache
-        for which, y in _project(passages, idf, weighted):
-            text = passages.text[which]
+    def candidates(self, windows: Iterator[tuple[np.ndarray, np.ndarray]], cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, greatest cosine, first and last item passage) of all pairs with passages at or above a cosine."""
+        found, best, which = [], [], []
+        rows, reach = max(1, 1_000_000 // max(1, len(self.middles))), min(cosine, CELL_COSINE)  # rows at once stay in a core's cache
+        for text, y in windows:
             for a in range(0, len(y), rows):
-                s = (y[a : a + rows] @ self.vectors.T).ravel()
-                at = np.flatnonzero(s >= cosine)
-                found.append(text[a + at // width] * np.int64(len(self.ids)) + self.item[at % width])
-                best.append(s[at])
+                part = y[a : a + rows]
+                s = part @ self.middles.T
+                near = np.flatnonzero(s.max(axis=1) >= reach) if s.size else np.empty(0, np.int64)
+                r, c = np.nonzero(s[near] >= reach)
+                for k in range(CELL):
+                    has = self.cell_size[c] > k
+                    place = self.cell_start[c[has]] + k
+                    own = near[r[has]]
+                    for b in range(0, len(place), 50_000):
+                        p, q = place[b : b + 50_000], own[b : b + 50_000]
+                        exact = np.einsum("ij,ij->i", part[q], self.vectors[p])
+                        hit = np.flatnonzero(exact >= cosine)
+                        found.append(text[a + q[hit]] * np.int64(max(1, len(self.ids))) + self.item[p[hit]])
+                        best.append(exact[hit])
+                        which.append(p[hit])
         key = np.concatenate(found) if found else np.empty(0, np.int64)
-        score = np.concatenate(best) if best else np.empty(0, np.float32)
-        order = np.lexsort((-score, key))
-        key, score = key[order], score[order]
-        first = np.ones(len(key), bool)
-        first[1:] = key[1:] != key[:-1]
-        return key[first] // max(1, len(self.ids)), key[first] % max(1, len(self.ids)), score[first]
+        score, which = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((best, np.float32), (which, np.int64)))
+        order = np.argsort(key, kind="stable")
+        key, score, which = key[order], score[order], which[order]
+        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+        n = max(1, len(self.ids))
+        if not len(at):
+            return key, key, score, which, which
+        return key[at] // n, key[at] % n, np.maximum.reduceat(score, at), np.minimum.reduceat(which, at), np.maximum.reduceat(which, at)
+
+    def stretch(self, item: int, first: int, last: int) -> np.ndarray:
+        """The item's words from its first to its last matching passage, PARAPHRASE_WORDS at least where it has them."""
+        a, b = int(self.start[first] - self.first[item]), int(self.start[last] - self.first[item]) + ITEM_PASSAGE
+        lack = max(0, PARAPHRASE_WORDS - (b - a))
+        a = max(0, a - lack // 2)
+        b = min(int(self.counts[item]), max(b, a + PARAPHRASE_WORDS))
+        a = max(0, min(a, b - PARAPHRASE_WORDS))
+        return self.flat[self.first[item] + a : self.first[item] + b]
+
+    def keys(self, words: np.ndarray) -> set[int]:
+        """The words an answer hangs on: the numbers, else the rarest quarter by inverse frequency."""
+        own = np.unique(words)
+        numbers = own[np.isin(own, self.numbers)]
+        if len(numbers):
+            return set(numbers.tolist())
+        order = np.lexsort((own, -self.idf[own.astype(np.int64) & (COLUMNS - 1)]))
+        return set(own[order[: -(-len(own) // 4)]].tolist())
 
     def verbatim(self, text: np.ndarray, item: np.ndarray, runs: np.ndarray, per_text: np.ndarray) -> np.ndarray:
         """Whether each candidate text holds RUN successive words of its item; runs: those of
         all texts end to end, per_text: how many each has."""
         out = np.zeros(len(text), bool)
-        first = np.cumsum(per_text) - per_text
-        if not len(self.runs) or not len(runs):
+        if not len(self.runs) or not len(runs) or not len(text):
             return out
-        # texts that share no run with any item are done
-        near = self.any_runs[np.minimum(np.searchsorted(self.any_runs, runs), len(self.any_runs) - 1)] == runs
-        open_ = np.flatnonzero((np.bincount(np.repeat(np.arange(len(per_text)), per_text)[near], minlength=len(per_text)) > 0)[text])
+        # only runs that some item holds matter, and texts with such
+        near = np.flatnonzero(self.any_runs[np.minimum(np.searchsorted(self.any_runs, runs), len(self.any_runs) - 1)] == runs)
+        of_text = np.bincount(np.repeat(np.arange(len(per_text)), per_text)[near], minlength=len(per_text))
+        first, runs = np.cumsum(of_text) - of_text, runs[near]
+        open_ = np.flatnonzero(of_text[text] > 0)
         for a in range(0, len(open_), 20_000):
             part = open_[a : a + 20_000]
             t, i = text[part], item[part]
-            n = per_text[t]
+            n = of_text[t]
             at = np.cumsum(n) - n
             index = np.repeat(first[t] - at, n) + np.arange(n.sum())
             key = shingles.mix(runs[index] ^ shingles.mix(np.repeat(i, n).astype(np.uint64) + np.uint64(1)))
@@ -250,63 +340,89 @@ def lcs(a: list[int], b: list[int]) -> int:
     return len(a) - row.bit_count()
 
 
-def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[tuple[list[int], list[np.ndarray], list[set[int]]]]:
-    """The items, at most BLOCK_WORDS words (and one item) at a time."""
-    ids, words, numbers, held = [], [], [], 0
-    for r in items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).dropna().sort("id", "text").toLocalIterator():
-        w = common.words(r.text)
-        h = (shingles.word_hashes(w) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        if ids and held + len(w) > BLOCK_WORDS:
-            yield ids, words, numbers
-            ids, words, numbers, held = [], [], [], 0
-        ids.append(r.id)
-        words.append(h)
-        numbers.append({int(x) for x, t in zip(h, w) if t.isdigit()})
-        held += len(w)
-    if ids:
-        yield ids, words, numbers
+def _item_table(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, words, numbers): as ``worded``, with the hashes of those of the words that are numbers."""
+
+    def run(batches):
+        for batch in common.bounded(batches, 1):
+            words, numbers = [], []
+            for t in batch.column(1).to_pylist():
+                w = common.words(t) if t else []
+                h = (shingles.word_hashes(w) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                words.append(h)
+                numbers.append(np.unique(h[[x.isdigit() for x in w]]) if w else h)
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int32)), pa.array(np.concatenate([*xs, np.empty(0, np.int32)]).astype(np.int32))) for xs in (words, numbers)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["id", "words", "numbers"])
+
+    rows = items.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).where(F.col("id").isNotNull())
+    return rows.mapInArrow(run, "id bigint, words array<int>, numbers array<int>")
+
+
+_held: dict = {}
+
+
+def _block(uri: str, block: int, idf: np.ndarray, padded: np.ndarray) -> Items:
+    """A block of items, read from the shared folder and projected by the worker that searches it; the last one is kept."""
+    if (uri, block) not in _held:
+        _held.clear()
+        ids, words, numbers = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.int32)]
+        counts = [np.empty(0, np.int64)]
+        for batch in read_part(uri, "block", block, ["id", "words", "numbers"]):
+            ids.append(batch.column(0).to_numpy())
+            words.append(batch.column(1).flatten().to_numpy(zero_copy_only=False))
+            counts.append(np.asarray(batch.column(1).value_lengths().to_numpy(zero_copy_only=False), np.int64))
+            numbers.append(batch.column(2).flatten().to_numpy(zero_copy_only=False))
+        _held[uri, block] = Items(np.concatenate(ids), np.concatenate(words), np.concatenate(counts), np.unique(np.concatenate(numbers)), idf, padded)
+    return _held[uri, block]
 
 
 def search(documents: DataFrame, items: DataFrame, paraphrases: bool, doc_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text", rank: int = RANK, cosine: float = COSINE) -> DataFrame:
-    """(doc_id, item_id, kind, cosine, common_part, number_part) of leaks.
+    """(doc_id, item_id, kind, cosine, common_part, key_part) of leaks.
 
     kind is verbatim (RUN successive words) or, where asked for, paraphrase. Every document
-    is searched for every item. Null and empty texts, and items of fewer than RUN words,
+    is searched for every item: blocks of items are files of the shared folder, and a worker projects its documents
+    once for all of them. Null and empty texts, and items of fewer than RUN words,
     have no verbatim leaks. Repeated (id, text) rows give a pair once a row.
     """
     spark = documents.sparkSession
-    table, asked = stored(worded(documents, doc_col, text_col), "doc-words"), stored(worded(items, item_col, text_col), "item-words")
-    idf, v, _ = fit(table, asked, rank)
-    weighted = v * idf[:, None]
-    space = spark.sparkContext.broadcast((idf, weighted))  # COLUMNS x rank numbers
-    schema = "doc_id bigint, item_id bigint, kind string, cosine double, common_part double, number_part double"
-    out = None
-    for block in _blocks(items, item_col, text_col):
-        shared = spark.sparkContext.broadcast(Items(*block, idf, weighted))
-
-        def run(batches, shared=shared):
-            of, (idf, weighted) = shared.value, space.value
-            for batch, words, counts, passages in _batches(batches, PASSAGE, STEP):
-                text, item, score = of.candidates(passages, idf, weighted, cosine)
-                runs, run_text = _runs(words, counts)
-                exact = of.verbatim(text, item, runs, np.bincount(run_text, minlength=len(counts)))
-                rest = np.flatnonzero(~exact & (score >= PARAPHRASE_COSINE)) if paraphrases else []
-                ids, first = batch.column(0).to_numpy(), np.cumsum(counts) - counts
-                rows = [(ids[t], of.ids[i], "verbatim", float(s), None, None) for t, i, s in zip(text[exact], item[exact], score[exact])]
-                for k in rest:
-                    asked, own = of.words[item[k]].tolist(), words[first[text[k]] : first[text[k]] + counts[text[k]]].tolist()
-                    part = lcs(asked, own) / len(asked)
-                    numbers = of.numbers[item[k]]
-                    known = len(numbers.intersection(own)) / len(numbers) if numbers else 1.0
-                    if part >= PARAPHRASE_LCS and known >= PARAPHRASE_NUMBERS:
+    table, asked = stored(worded(documents, doc_col, text_col), "doc-words"), stored(_item_table(items, item_col, text_col), "item-words")
+    schema = "doc_id bigint, item_id bigint, kind string, cosine double, common_part double, key_part double"
+    placed = ordinal.with_running(asked.where("size(words) > 0").withColumn("n", F.size("words")), ["id", "words"], upto="n")
+    blocks = store(placed.withColumn("block", F.floor((F.col("upto") - F.col("n")) / BLOCK_WORDS).cast("int")).drop("n", "upto"), "item-blocks", by="block")
+    numbers = sorted(r.block for r in blocks.df.select("block").distinct().collect())  # one for each BLOCK_WORDS words of the items
+    if not numbers:
+        return spark.createDataFrame([], schema)
+    idf, v, _ = fit(table, asked.select("id", "words"), rank)
+    space = spark.sparkContext.broadcast((idf, _padded(v * idf[:, None])))  # COLUMNS x rank numbers
+    uri = blocks.uri()
+
+    def run(batches):
+        idf, padded = space.value
+        for batch, words, counts, _ in _batches(batches, PASSAGE, PASSAGE):
+            ids, first = batch.column(0).to_numpy(), np.cumsum(counts) - counts
+            windows = list(_windows(words, counts, padded))
+            runs, run_text = _runs(words, counts)
+            per_text = np.bincount(run_text, minlength=len(counts))
+            rows = []
+            for number in numbers:
+                of = _block(uri, number, idf, padded)
+                text, item, score, low, high = of.candidates(windows, cosine)
+                exact = of.verbatim(text, item, runs, per_text)
+                rows += [(ids[t], of.ids[i], "verbatim", float(s), None, None) for t, i, s in zip(text[exact], item[exact], score[exact])]
+                for k in np.flatnonzero(~exact & (score >= PARAPHRASE_COSINE)) if paraphrases else []:
+                    stretch, own = of.stretch(item[k], low[k], high[k]), words[first[text[k]] : first[text[k]] + counts[text[k]]]
+                    if np.isin(stretch, own).sum() < PARAPHRASE_LCS * len(stretch):
+                        continue  # no subsequence can be as long
+                    part = lcs(stretch.tolist(), own.tolist()) / len(stretch)
+                    keys = of.keys(stretch)
+                    known = len(keys.intersection(own.tolist())) / len(keys)
+                    if part >= PARAPHRASE_LCS and known >= PARAPHRASE_KEYS:
                         rows.append((ids[text[k]], of.ids[item[k]], "paraphrase", float(score[k]), round(part, 6), round(known, 6)))
-                columns = list(zip(*rows)) if rows else [[]] * 6
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds)], names=["doc_id", "item_id", "kind", "cosine", "common_part", "number_part"])
+            columns = list(zip(*rows)) if rows else [[]] * 6
+            kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds)], names=["doc_id", "item_id", "kind", "cosine", "common_part", "key_part"])
 
-        part = table.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
+    return table.mapInArrow(run, schema)
 
 
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:

@@ -80,18 +80,24 @@ def chunked(df: DataFrame, id_col: str, text_col: str, train: Column) -> DataFra
     return rows.mapInArrow(run, "id bigint, train boolean, content binary, same binary, size int, seqs array<bigint>, chunks array<bigint>, lengths array<int>")
 
 
+def two_sided(rows: DataFrame, by: list[str]) -> DataFrame:
+    """(by, nt, ne): the keys with training and evaluation rows, and how many of each; stored."""
+    n = rows.groupBy(*by).agg(F.count_if("train").alias("nt"), F.count_if(~F.col("train")).alias("ne"))
+    return stored(n.where("nt > 0 and ne > 0"), "two-sided")
+
+
 def across(rows: DataFrame, by: list[str], values: list[str], condition: Column | None = None, block: int = common.BLOCK) -> DataFrame:
     """Pairs of a training row and an evaluation row with the same key.
 
-    rows: by, train, values; out: t_* and e_* for each of values. Keys on one side
-    only are dropped first (the largest of them, at most rows / block, by broadcast), then
-    every key is cut into blocks of rows by block, so that no task gets a whole large key.
+    rows: by, train, values; out: t_* and e_* for each of values. Only keys with both sides go on; of the others
+    large ones are dropped before any shuffle (``common.attach`` bounds what is broadcast, however much data there is).
+    Every key is cut into blocks of rows by block, so that no task gets a whole large key.
     """
     n = rows.groupBy(*by).agg(F.count_if("train").alias("nt"), F.count_if(~F.col("train")).alias("ne"))
-    sizes = stored(n.where("(nt > 0 and ne > 0) or nt + ne > 100000"), "key-sizes")  # two sides, or too large to shuffle for nothing
-    one_sided = F.broadcast(sizes.where("nt = 0 or ne = 0").select(*by))
-    both = sizes.where("nt > 0 and ne > 0").select(*by, F.ceil(F.col("nt") / block).cast("int").alias("bt"), F.ceil(F.col("ne") / block).cast("int").alias("be"))
-    kept = rows.join(one_sided, by, "left_anti").join(both, by)
+    sizes = stored(n.where(f"(nt > 0 and ne > 0) or nt + ne > {common.HOT_ROWS}"), "key-sizes").withColumn("n", F.col("nt") + F.col("ne"))
+    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
+    # a large key with one side only is met by broadcast as well, and has no blocks of the other side
+    kept = common.attach(rows, sizes.select(*by, "n", blocks("nt").alias("bt"), blocks("ne").alias("be")), by, "n").where("bt > 0 and be > 0")
     mine = F.pmod(F.xxhash64(*values), F.when(F.col("train"), F.col("bt")).otherwise(F.col("be"))).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.when(F.col("train"), F.col("be")).otherwise(F.col("bt")) - 1))
     cells = kept.withColumn("mine", mine).withColumn("other", other)
@@ -102,9 +108,10 @@ def across(rows: DataFrame, by: list[str], values: list[str], condition: Column
 
 
 def _postings(records: DataFrame, table: np.ndarray) -> DataFrame:
-    """(chunk, train, id, size, b0..b3) of the chunks that can decide a pair: of a
+    """(chunk, train, id, size, words, length, left, b0..b3) of the chunks that can decide a pair: of a
     record's distinct chunks from rare to frequent, those before which no more than the
-    rest, less than ``LEAST_OVERLAP`` of its words, remains."""
+    rest, less than ``LEAST_OVERLAP`` of its words, remains. words: the record's, length: the chunk's (of all its
+    occurrences), left: the words of the chunks after it in this order."""
     counts = records.sparkSession.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
     mask = np.uint64(len(table) - 1)
 
@@ -123,30 +130,32 @@ def _postings(records: DataFrame, table: np.ndarray) -> DataFrame:
             f = freq[(c & mask).astype(np.int64)]
             order = np.lexsort((c, f, doc))
             c, f, length, doc = c[order], f[order], length[order], doc[order]
-            # words from a chunk to the record's last
-            total = np.cumsum(length)
+            # equal chunks of a record are one, with the words of all
+            first = np.ones(len(c), bool)
+            first[1:] = (c[1:] != c[:-1]) | (doc[1:] != doc[:-1])
+            at = np.flatnonzero(first)
+            c, f, doc, length = c[at], f[at], doc[at], np.add.reduceat(length, at)
             whole = np.bincount(doc, weights=length, minlength=len(n)).astype(np.int64)
-            before = total - length - np.repeat(np.cumsum(whole) - whole, n)
+            before = np.cumsum(length) - length - (np.cumsum(whole) - whole)[doc]
             keep = (whole[doc] - before >= LEAST_OVERLAP * whole[doc]) & (f > 1)
-            keep[1:] &= (c[1:] != c[:-1]) | (doc[1:] != doc[:-1])
             d = doc[keep]
             ids, train, held = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 4, 5))
-            columns = [pa.array(c[keep].view(np.int64)), pa.array(ids[d]), pa.array(size[d].astype(np.int32)), *(pa.array(np.ascontiguousarray(bits[d, k])) for k in range(4)), pa.array(train[d].astype(bool)), pa.array(held[d].astype(bool))]
-            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "id", "size", "b0", "b1", "b2", "b3", "in_train", "in_eval"])
+            numbers = [pa.array(v.astype(np.int32)) for v in (size[d], whole[d], length[keep], (whole[doc] - before - length)[keep])]
+            columns = [pa.array(c[keep].view(np.int64)), pa.array(ids[d]), *numbers, *(pa.array(np.ascontiguousarray(bits[d, k])) for k in range(4)), pa.array(train[d].astype(bool)), pa.array(held[d].astype(bool))]
+            yield pa.RecordBatch.from_arrays(columns, names=["chunk", "id", "size", "words", "length", "left", "b0", "b1", "b2", "b3", "in_train", "in_eval"])
 
-    schema = "chunk bigint, id bigint, size int, b0 bigint, b1 bigint, b2 bigint, b3 bigint, in_train boolean, in_eval boolean"
+    schema = "chunk bigint, id bigint, size int, words int, length int, left int, b0 bigint, b1 bigint, b2 bigint, b3 bigint, in_train boolean, in_eval boolean"
     posts = stored(records.select("id", "seqs", "chunks", "lengths", "in_train", "in_eval").mapInArrow(run, schema), "chunk-postings")
     return posts.where("in_train").withColumn("train", F.lit(True)).unionByName(posts.where("in_eval").withColumn("train", F.lit(False))).drop("in_train", "in_eval")
 
 
-def similar_across(table: DataFrame, similarity: float = neardup.SIMILARITY) -> DataFrame:
-    """(t, e): a training and an evaluation record, similar at or above the threshold.
+def _proposed(records: DataFrame, similarity: float) -> DataFrame:
+    """(t_id, e_id), once each: records whose shared chunks can cover ``LEAST_OVERLAP`` of the words of the one with fewer,
+    and whose sizes and signatures allow the similarity.
 
-    Works on one record of each distinct set of sequences; pairs share a deciding chunk,
-    pass the bounds that size and signature give, and are then counted exactly.
+    The lengths of shared chunks are summed over the deciding ones; what the records hold behind the last of these
+    bounds the rest.
     """
-    reps = stored(table.groupBy("same").agg(F.min("id").alias("id"), F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_eval")), "reps")
-    records = stored(table.where("size > 0").join(reps.drop("same"), "id").select("id", "size", "seqs", "chunks", "lengths", "in_train", "in_eval"), "records")
     total, counters = records.agg(F.sum(F.size("chunks"))).first()[0] or 0, neardup.LEAST_COUNTERS
     while counters < neardup.MOST_COUNTERS and counters < 2 * total:
         counters *= 2
@@ -154,30 +163,113 @@ def similar_across(table: DataFrame, similarity: float = neardup.SIMILARITY) ->
     t, both = F.lit(similarity), F.col("t_size") + F.col("e_size")
     differ = sum((F.bit_count(F.col(f"t_b{k}").bitwiseXOR(F.col(f"e_b{k}"))) for k in range(4)), F.lit(0))
     near = (F.col("t_id") != F.col("e_id")) & (F.least("t_size", "e_size") >= t * F.greatest("t_size", "e_size") - 1e-6) & ((both - differ) / 2 >= t / (1 + t) * both - 1e-6)
-    pairs = stored(across(posts, ["chunk"], ["id", "size", "b0", "b1", "b2", "b3"], near).select("t_id", "e_id").distinct(), "proposed")
-    of = lambda s: records.select(F.col("id").alias(f"{s}_id"), F.col("size").alias(f"{s}_size"), F.col("seqs").alias(f"{s}_seqs"))
-    counted = pairs.join(of("t"), "t_id").join(of("e"), "e_id").withColumn("overlap", F.size(F.array_intersect("t_seqs", "e_seqs")))
-    near = counted.where(F.col("overlap") / (F.col("t_size") + F.col("e_size") - F.col("overlap")) >= similarity).select("t_id", "e_id")
-    own = reps.where("in_train and in_eval").join(records.select("id"), "id", "left_semi").select(F.col("id").alias("t_id"), F.col("id").alias("e_id"))
-    named = stored(reps.select("same", F.col("id").alias("rep")).join(table.groupBy("same").agg(F.count(F.lit(1)).alias("n")), "same"), "rep-names")
-    members = stored(common.attach(table.select("same", "id", "train"), named, ["same"], "n").select("rep", "id", "train"), "rep-members")
+    cells = across(posts, ["chunk"], ["id", "size", "words", "length", "left", "b0", "b1", "b2", "b3"], near)
+    shared = cells.groupBy("t_id", "e_id").agg(
+        F.sum(F.least("t_length", "e_length")).alias("shared"), F.min(F.least("t_left", "e_left")).alias("left"), F.first(F.least("t_words", "e_words")).alias("words")
+    )
+    return shared.where(F.col("shared") + F.col("left") >= LEAST_OVERLAP * F.col("words")).select("t_id", "e_id")
+
+
+def similar_reps(table: DataFrame, similarity: float = neardup.SIMILARITY, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(pairs, reps): pairs (t_id, e_id) of representatives, a training and an evaluation one, similar at or above the
+    threshold, one with both kinds of members paired with itself; reps (same, id, in_train, in_eval) of all records.
+
+    A representative is the first record of each distinct set of sequences; records without sequences are similar to
+    none. Pairs are proposed by their shared chunks and then counted exactly. exact: proposed by shared
+    sequences instead (``neardup.similar``), which loses no pair, also of records without a common chunk.
+    """
+    reps = stored(table.groupBy("same").agg(F.min("id").alias("id"), F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_eval")), "reps")
+    records = stored(table.where("size > 0").join(reps.drop("same"), "id").select("id", "size", "seqs", "chunks", "lengths", "in_train", "in_eval"), "records")
+    if exact:
+        xy = neardup.similar(records.select("id", "size", "seqs"), similarity).select("x", "y")
+        kinds = records.select("id", "in_train", "in_eval")
+        ends = xy.union(xy.select("y", "x")).toDF("t_id", "e_id")
+        near = ends.join(kinds.where("in_train").select(F.col("id").alias("t_id")), "t_id").join(kinds.where("in_eval").select(F.col("id").alias("e_id")), "e_id").select("t_id", "e_id")
+    else:
+        pairs = stored(_proposed(records, similarity), "proposed")
+        ends = stored(pairs.select("t_id").union(pairs.select("e_id")).distinct().toDF("id"), "proposed-ends")
+        few = records.join(ends, "id", "left_semi")  # most records are in no pair
+        of = lambda s: few.select(F.col("id").alias(f"{s}_id"), F.col("size").alias(f"{s}_size"), F.col("seqs").alias(f"{s}_seqs"))
+        counted = pairs.join(of("t"), "t_id").join(of("e"), "e_id").withColumn("overlap", F.size(F.array_intersect("t_seqs", "e_seqs")))
+        near = counted.where(F.col("overlap") / (F.col("t_size") + F.col("e_size") - F.col("overlap")) >= similarity).select("t_id", "e_id")
+    own = records.where("in_train and in_eval").select(F.col("id").alias("t_id"), F.col("id").alias("e_id"))
+    return stored(near.unionByName(own), "rep-pairs"), reps
+
+
+def _members(table: DataFrame, reps: DataFrame) -> DataFrame:
+    """(rep, id, train) of all records; sets that many records share are met by broadcast."""
+    n = table.groupBy("same").agg(F.count(F.lit(1)).alias("n"))
+    named = stored(reps.select("same", F.col("id").alias("rep")).join(n, "same"), "rep-names")
+    return stored(common.attach(table.select("same", "id", "train"), named, ["same"], "n").select("rep", "id", "train"), "rep-members")
+
+
+def similar_across(table: DataFrame, similarity: float = neardup.SIMILARITY, exact: bool = False) -> DataFrame:
+    """(t, e): a training and an evaluation record, similar at or above the threshold; see ``similar_reps``."""
+    keys, reps = similar_reps(table, similarity, exact)
+    members = _members(table, reps)
     # the pair of reps is the key on which their records meet
-    keys = stored(near.unionByName(own), "rep-pairs")
     out = common.member_pairs(keys, members.where("train"), "t_id", "e_id", "rep", "id", right_members=members.where("not train"))
     return out.select(F.col("a").alias("t"), F.col("b").alias("e"))
 
 
+def _chunked_inventory(inventory: DataFrame) -> DataFrame:
+    return stored(chunked(inventory, "record_no", "canonical_prompt", common.is_training(F.col("source_split"))), "chunked")
+
+
+def _original_ids(inventory: DataFrame) -> DataFrame:
+    """(id, train, source, original) of the records with a split, a source and an original id."""
+    train = common.is_training(F.col("source_split"))
+    return inventory.select(F.col("record_no").cast("long").alias("id"), train.alias("train"), F.trim("source_id").alias("source"), common.id_key(F.col("original_id")).alias("original")).dropna()
+
+
+def overlapping(inventory: DataFrame, table: DataFrame, exact: bool = False) -> DataFrame:
+    """(id), once each: the evaluation records that have a training record of the same content, of a
+    similarity of 0.6 or more, or of the same source and original id.
+
+    Groups are flagged by their counts and joined back to their rows; no pairs of records are made.
+    """
+    pairs, reps = similar_reps(table, exact=exact)
+    hit = pairs.select(F.col("e_id").alias("rep")).distinct()
+    similar = _members(table, reps).where("not train").join(hit, "rep", "left_semi").select("id")
+
+    def flagged(rows: DataFrame, by: list[str]) -> DataFrame:
+        rows = rows.select(*by, "id", "train")
+        sizes = two_sided(rows, by).select(*by, F.col("ne").alias("n"))
+        return common.attach(rows.where("not train"), sizes, by, "n").select("id")
+
+    return similar.unionByName(flagged(table, ["content"])).unionByName(flagged(_original_ids(inventory), ["source", "original"])).distinct()
+
+
+def classes(inventory: DataFrame, exact: bool = False) -> DataFrame:
+    """(record_no, class_no, links): of each inventory record with a split the first record with the same set of sequences (of
+    those too short for a sequence, each text content has a class), and how many classes on the other side of
+    the split are similar to its class, its own counting if it has members there.
+
+    The form for large groups: rows grow with the records, not with their pairs.
+    """
+    table = _chunked_inventory(inventory)
+    short = F.when(F.col("size") == 0, F.concat("same", "content")).otherwise(F.col("same"))
+    pairs, _ = similar_reps(table, exact=exact)
+    links = pairs.groupBy(F.col("t_id").alias("rep")).agg(F.count(F.lit(1)).alias("links")).withColumn("train", F.lit(True))
+    links = links.unionByName(pairs.groupBy(F.col("e_id").alias("rep")).agg(F.count(F.lit(1)).alias("links")).withColumn("train", F.lit(False)))
+    sized = table.withColumn("same", short)
+    keyed = stored(sized.groupBy("same").agg(F.min("id").alias("class_no"), F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.bool_or("train").alias("in_train"), F.bool_or(~F.col("train")).alias("in_eval")), "classes")
+    by_side = links.groupBy("rep").agg(F.max(F.when(F.col("train"), F.col("links"))).alias("lt"), F.max(F.when(~F.col("train"), F.col("links"))).alias("le"))
+    named = stored(keyed.join(by_side, keyed["class_no"] == by_side["rep"], "left").select("same", "class_no", "n", "lt", "le", ((F.col("size") == 0) & F.col("in_train") & F.col("in_eval")).cast("long").alias("own")), "class-names")
+    met = common.attach(sized.select("same", "id", "train"), named, ["same"], "n")
+    of = F.coalesce(F.when(F.col("train"), F.col("lt")).otherwise(F.col("le")), "own")
+    return met.select(F.col("id").alias("record_no"), "class_no", of.alias("links"))
+
+
 def _ordered(t: str, e: str, record_set: str) -> list[Column]:
     return [F.lit(record_set).alias("record_set"), F.least(t, e).alias("a_no"), F.greatest(t, e).alias("b_no")]
 
 
-def inventory_pairs(inventory: DataFrame) -> DataFrame:
+def inventory_pairs(inventory: DataFrame, exact: bool = False) -> DataFrame:
     """(record_set, a_no, b_no): inventory records of a training and an evaluation split
     with the same content, a similarity of 0.6 or more, or the same source and original id."""
-    train = common.is_training(F.col("source_split"))
-    table = stored(chunked(inventory, "record_no", "canonical_prompt", train), "chunked")
-    ids = inventory.select(F.col("record_no").cast("long").alias("id"), train.alias("train"), F.trim("source_id").alias("source"), common.id_key(F.col("original_id")).alias("original")).dropna()
-    same = [across(table, ["content"], ["id"]), across(ids, ["source", "original"], ["id"]), similar_across(table).select(F.col("t").alias("t_id"), F.col("e").alias("e_id"))]
+    table = _chunked_inventory(inventory)
+    same = [across(table, ["content"], ["id"]), across(_original_ids(inventory), ["source", "original"], ["id"]), similar_across(table, exact=exact).select(F.col("t").alias("t_id"), F.col("e").alias("e_id"))]
     return same[0].unionByName(same[1]).unionByName(same[2]).distinct().select(*_ordered("t_id", "e_id", "inventory"))
 
 
@@ -206,10 +298,10 @@ def found(inventory: DataFrame, rows: DataFrame, sources: DataFrame) -> DataFram
     return inventory_pairs(inventory).unionByName(row_pairs(rows, sources))
 
 
-def overlap_fractions(inventory: DataFrame) -> DataFrame:
+def overlap_fractions(inventory: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """(record_no, fraction): of each evaluation record the part of its words in chunks
-    that also occur in a training record; 0 for a text without words."""
-    table = stored(chunked(inventory, "record_no", "canonical_prompt", common.is_training(F.col("source_split"))), "chunked")
+    that also occur in a training record; 0 for a text without words. table: as ``chunked``, if there already."""
+    table = _chunked_inventory(inventory) if table is None else table
     each = table.select("id", "train", F.explode(F.arrays_zip("chunks", "lengths")).alias("c")).select("id", "train", "c.chunks", "c.lengths")
     trained = each.where("train").select("chunks").distinct().withColumn("seen", F.lit(1))
     mine = each.where("not train").groupBy("id", "chunks").agg(F.sum("lengths").alias("w"))
@@ -217,12 +309,13 @@ def overlap_fractions(inventory: DataFrame) -> DataFrame:
     return table.where("not train").select("id").join(hit, "id", "left").select(F.col("id").alias("record_no"), F.round(F.coalesce("fraction", F.lit(0.0)), 6).alias("fraction"))
 
 
-def inventory_report(inventory: DataFrame) -> DataFrame:
+def inventory_report(inventory: DataFrame, exact: bool = False) -> DataFrame:
     """(record_set, source, split, record_count, overlapping, mean_fraction) of the inventory by source_id, as in ``report``."""
-    pairs = inventory_pairs(inventory).select(F.explode(F.array("a_no", "b_no")).alias("record_no")).distinct().withColumn("hit", F.lit(1))
+    table = _chunked_inventory(inventory)
+    found = overlapping(inventory, table, exact).select(F.col("id").alias("record_no")).withColumn("hit", F.lit(1))
     split = common.split_name(F.col("source_split"))
     records = inventory.select(F.col("record_no").cast("long").alias("record_no"), F.col("source_id").alias("source"), split.alias("split")).where("split <> 'train'")
-    of = records.join(pairs, "record_no", "left").join(overlap_fractions(inventory), "record_no", "left")
+    of = records.join(found, "record_no", "left").join(overlap_fractions(inventory, table), "record_no", "left")
     counts = of.groupBy("source", "split").agg(F.count(F.lit(1)).alias("record_count"), F.count("hit").alias("overlapping"), F.round(F.avg(F.coalesce("fraction", F.lit(0.0))), 6).alias("mean_fraction"))
     return counts.select(F.lit("inventory").alias("record_set"), "source", "split", "record_count", "overlapping", "mean_fraction")
 

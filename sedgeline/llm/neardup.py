@@ -3,10 +3,11 @@
 The product of the record x sequence incidence matrix with itself is taken block by
 block over the sequences that can decide a pair. Each record's sequences are
 ordered from rare to frequent by a frequency table; two similar records must then
-share one of the first few (how many follows from the size and the threshold). Of
-the pairs so met, those whose size, position, or 256-bit signature bounds the
-overlap below what the threshold needs are discarded inside the join; the rest is
-counted exactly. No pair above the threshold is lost.
+share one of the first few (how many follows from the size and the threshold). Cells
+whose size, position, or 256-bit signature bounds the overlap below what the threshold
+needs are discarded inside the join; the others accumulate the overlap of the
+deciding sequences for their pair. Pairs for which that and all that may follow is too
+little are discarded, the rest is counted to the end. No pair above the threshold is lost.
 """
 
 from __future__ import annotations
@@ -131,7 +132,12 @@ def postings(records: DataFrame, table: np.ndarray, similarity: float) -> DataFr
 
 
 def _candidates(posts: DataFrame, similarity: float) -> DataFrame:
-    """(x, y) distinct: pairs that meet in a block and that no bound discards."""
+    """(x, y), once each: pairs that meet in a block, with the overlap accumulated over the
+    deciding sequences they share, and that no bound discards.
+
+    Both records hold their sequences in one order, so all that they share up to their last
+    common deciding one is in the sum; the shorter of what follows in the two bounds the rest.
+    """
     hot = common.blocks_of(posts.where("warm"), ["seq"])
     nb = F.coalesce("nb", F.lit(1))
     warm = posts.where("warm").join(hot, "seq", "left").withColumn("blk", F.pmod(F.xxhash64("id"), nb).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), nb - 1)))
@@ -145,7 +151,10 @@ def _candidates(posts: DataFrame, similarity: float) -> DataFrame:
     differ = sum((F.bit_count(F.col(f"x_b{k}").bitwiseXOR(F.col(f"y_b{k}"))) for k in range(4)), F.lit(0))
     smaller = (F.col("x_size") < F.col("y_size")) | ((F.col("x_size") == F.col("y_size")) & (F.col("x_id") < F.col("y_id")))
     bound = smaller & (F.col("x_size") >= t * F.col("y_size") - 1e-6) & (after >= need) & ((both - differ) / 2 >= need)
-    return met.where(bound).select(F.col("x_id").alias("x"), F.col("y_id").alias("y")).distinct()
+    left = F.least(F.col("x_size") - F.col("x_pos"), F.col("y_size") - F.col("y_pos")) - 1
+    cells = met.where(bound).select(F.col("x_id").alias("x"), F.col("y_id").alias("y"), "x_size", "y_size", left.alias("left"))
+    sums = cells.groupBy("x", "y").agg(F.count(F.lit(1)).alias("shared"), F.min("left").alias("left"), F.first("x_size").alias("x_size"), F.first("y_size").alias("y_size"))
+    return sums.where(F.col("shared") + F.col("left") >= t / (1 + t) * (F.col("x_size") + F.col("y_size")) - 1e-6).select("x", "y")
 
 
 def similar(records: DataFrame, similarity: float = SIMILARITY, counters: int | None = None) -> DataFrame:
@@ -161,6 +170,8 @@ def similar(records: DataFrame, similarity: float = SIMILARITY, counters: int |
             counters *= 2
     posts = stored(postings(records, frequencies(records.select("seqs"), counters), similarity), "postings")
     pairs = stored(_candidates(posts, similarity), "candidates")
+    ends = stored(pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "id"), "candidate-ends")
+    records = records.join(ends, "id", "left_semi")  # most records are in no pair
     of = lambda s: records.select(F.col("id").alias(s), F.col("size").alias(f"{s}_size"), F.col("seqs").alias(f"{s}_seqs"))
     counted = pairs.join(of("x"), "x").join(of("y"), "y").withColumn("overlap", F.size(F.array_intersect("x_seqs", "y_seqs")))
     ratio = F.col("overlap") / (F.col("x_size") + F.col("y_size") - F.col("overlap"))
