@@ -277,7 +277,7 @@ def _sourced(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, key, source, split) of training rows with a source record: their family, the dataset of the record and
     its split or, if that is null, the one inside source_key. Family, dataset and split may be null."""
     of_key = sources.where("source_key is not null").groupBy("source_key")
-    record = of_key.agg(F.max(common.split_name(F.col("source_split"))).alias("split"), F.max(common.dataset_key(F.col("dataset"))).alias("source"))
+    record = of_key.agg(F.max(common.split_name(F.col("source_split"))).alias("split"), F.max(common.dataset_key(F.col("dataset") if "dataset" in sources.columns else F.lit(None).cast("string"))).alias("source"))
     inside = common.split_name(F.try_element_at(F.split(F.substring_index("source_key", "@", -1), "/"), F.lit(2)))
     of = rows.select(F.col("line_no").cast("long").alias("id"), common.hash_key(F.col("family_id")).alias("key"), "source_key").join(record, "source_key")
     return of.select("id", "key", "source", F.coalesce("split", inside).alias("split"))
