@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from sedgeline.llm import copies, languages, leakage, leaks, mixing, neardup, sampling, splits, tokens
+from sedgeline import scratch
+from sedgeline.llm import common, copies, languages, leakage, leaks, mixing, neardup, sampling, splits, tokens
 from sedgeline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,20 +56,57 @@ def p7_decoded(spark, d):
 # Problem 1
 
 
+def _components(spark, rows, parts: int = 1):
+    """(family, component): the component table below the shared folder, kept by loading the rows in so many batches."""
+    kept = splits.SplitTable(spark, f"{scratch.root(spark)}/components-{uuid.uuid4().hex}")
+    for k in range(parts):
+        kept.update(rows if parts == 1 else rows.where(F.pmod(F.xxhash64("line_no"), F.lit(parts)) == k), None)
+    return kept.read().select("family", "component")
+
+
 @query
 def p1_found(spark, d):
-    return splits.torn(table(spark, d, "training_rows"), table(spark, d, "build_membership"))
+    rows = table(spark, d, "training_rows")
+    return splits.torn(rows, table(spark, d, "build_membership"), _components(spark, rows))
 
 
 @query
 def p1_splits(spark, d):
-    return splits.assign(table(spark, d, "training_rows"), table(spark, d, "build_membership"), table(spark, d, "split_plan"))
+    rows = table(spark, d, "training_rows")
+    return splits.assign(rows, table(spark, d, "build_membership"), table(spark, d, "split_plan"), _components(spark, rows))
 
 
 @query
 def p1_shares(spark, d):
     rows, plan = table(spark, d, "training_rows"), table(spark, d, "split_plan")
-    return splits.shares(rows, splits.assign(rows, table(spark, d, "build_membership"), plan), plan)
+    return splits.shares(rows, splits.assign(rows, table(spark, d, "build_membership"), plan, _components(spark, rows)), plan)
+
+
+def _named(components):
+    return components.select(common.hash_text(F.col("family")).alias("family_id"), common.hash_text(F.col("component")).alias("component_id"))
+
+
+@query
+def p1_components(spark, d):
+    """The component of every family, its smallest family, from one load."""
+    return _named(_components(spark, table(spark, d, "training_rows")))
+
+
+@query
+def p1_incremental(spark, d):
+    """The same from three batches by a hash of the line, so that most ties cross batches."""
+    return _named(_components(spark, table(spark, d, "training_rows"), 3))
+
+
+ORACLE_SQL["p1_components"] = ORACLE_SQL["p1_incremental"] = """
+WITH RECURSIVE
+rows_ AS (SELECT DISTINCT regexp_extract(lower(row_id), '[0-9a-f]{64}') AS row_id, regexp_extract(lower(family_id), '[0-9a-f]{64}') AS family, regexp_extract(lower(duplicate_of), '[0-9a-f]{64}') AS dup FROM training_rows),
+edge AS (SELECT DISTINCT a.family AS a, b.family AS b FROM rows_ a JOIN rows_ b ON a.dup = b.row_id WHERE a.family <> b.family),
+both_ AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+reach(a, b) AS (SELECT a, b FROM both_ UNION SELECT r.a, e.b FROM reach r JOIN both_ e ON r.b = e.a),
+tied AS (SELECT family AS a, family AS b FROM rows_ WHERE family <> '' UNION SELECT a, b FROM reach)
+SELECT 'sha256:' || a AS family_id, 'sha256:' || min(b) AS component_id FROM tied GROUP BY a
+"""
 
 
 ORACLE_SQL["p1_found"] = """
@@ -112,6 +152,11 @@ def p3_fractions(spark, d):
     return leaks.overlap_fractions(table(spark, d, "inventory"))
 
 
+@query
+def p3_classes(spark, d):
+    return leaks.classes(table(spark, d, "inventory"))
+
+
 @query
 def p3_report(spark, d):
     return leaks.report(table(spark, d, "inventory"), table(spark, d, "training_rows"), table(spark, d, "source_records"))

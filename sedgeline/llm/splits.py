@@ -63,14 +63,17 @@ def merge_components(existing: DataFrame | None, edges: DataFrame) -> DataFrame:
     while not edges.df.isEmpty():
         around = edges.df.union(edges.df.select("b", "a")).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("b"))
         roots = store(around.select("node", F.least("node", "b").alias("root")), "roots")
+        most = _largest(roots.df, "root")[0]
         while True:
             up = roots.df.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            jumped = store(roots.df.join(up, "root").select("node", F.col("above").alias("root"), (F.col("root") != F.col("above")).alias("moved")), "roots")
+            jumped = store(_looked_up(roots.df, up, "root", most).select("node", F.col("above").alias("root"), (F.col("root") != F.col("above")).alias("moved")), "roots")
             roots.drop()
             roots = jumped
-            if roots.df.where("moved").isEmpty():
+            most, moved = _largest(roots.df, "root", F.bool_or("moved"))
+            if not moved:
                 break
-        merged = table.df.join(roots.df.select(F.col("node").alias("component"), "root"), "component", "left")
+        renamed = roots.df.select(F.col("node").alias("component"), "root")
+        merged = _looked_up(table.df, renamed, "component", _largest(table.df, "component")[0], "left")
         table_next = store(merged.select("family", F.coalesce("root", "component").alias("component")), "components")
         edges = _relabel(edges, roots.df)
         roots.drop()
@@ -79,6 +82,23 @@ def merge_components(existing: DataFrame | None, edges: DataFrame) -> DataFrame:
     return table.df
 
 
+def _largest(df: DataFrame, by: str, *more) -> tuple:
+    """(rows of the largest group, more): found with one partial aggregate."""
+    n = df.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), *(m.alias(f"_m{i}") for i, m in enumerate(more)))
+    row = n.agg(F.coalesce(F.max("_n"), F.lit(0)), *(F.bool_or(f"_m{i}") for i in range(len(more)))).first()
+    return tuple(row)
+
+
+def _looked_up(rows: DataFrame, unique: DataFrame, by: str, most: int, how: str = "inner") -> DataFrame:
+    """rows joined with a table of unique keys. Where a key has more than ``common.HOT_ROWS`` rows (most: the
+    largest group), as the name of a giant component may, such keys are broadcast, at most 10,000 of them."""
+    if most <= common.HOT_ROWS:
+        return rows.join(unique, by, how)
+    n = stored(rows.groupBy(by).agg(F.count(F.lit(1)).alias("_n")), "key-counts")
+    sized = stored(n.join(unique, by, how), "sized-keys")
+    return common.attach(rows, sized, [by], "_n").drop("_n")
+
+
 def _relabel(edges, roots: DataFrame):
     """The edges between roots; edges within a root are gone."""
     a = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"))
@@ -115,6 +135,8 @@ def torn(rows: DataFrame, membership: DataFrame, components: DataFrame | None =
     the few, are brought together by component.
     """
     components = merge_components(None, ties(rows)) if components is None else components
+    led = components.where("family <> component").select("family", "component")
+    components = stored(led.union(led.select(F.col("component").alias("family"), "component").distinct()), "tied-families")
     families = stored(build_families(rows, membership).join(components, "family", "left"), "build-families")
     alone = families.where("component is null and evaluation and other").select("build_name", "family")
     tied = families.where("component is not null").select("build_name", "component", "family", "evaluation", "other")
@@ -198,8 +220,11 @@ def assign(rows: DataFrame, membership: DataFrame, plan: DataFrame, components:
     value = F.when(F.col("e") & F.col("o"), F.array(F.lit("test"), F.lit("train"))).when(F.col("e"), F.array(evaluation)).when(F.col("o"), F.array(F.lit("train")))
     fixed = held.select("grp", "component", F.explode(value).alias("split"))
     placed = place(sizes, fixed, plan.withColumnRenamed("build_name", "grp"))
-    spread = families.select("family", "component").join(placed.select("grp", "component", "split"), "component")
-    return spread.select(F.col("grp").alias("build_name"), common.hash_text(F.col("family")).alias("family_id"), "split")
+    # one row a component with its split in every build, which families of a giant component meet by broadcast
+    of = placed.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("grp", "split"))).alias("splits"))  # builds of the plan
+    sized = stored(of.join(families.groupBy("component").agg(F.count(F.lit(1)).alias("size")), "component"), "component-splits")
+    spread = common.attach(families.select("family", "component"), sized, ["component"], "size")
+    return spread.select(common.hash_text(F.col("family")).alias("family_id"), F.explode("splits").alias("build_name", "split")).select("build_name", "family_id", "split")
 
 
 def shares(rows: DataFrame, assigned: DataFrame, plan: DataFrame) -> DataFrame:
@@ -212,14 +237,18 @@ def shares(rows: DataFrame, assigned: DataFrame, plan: DataFrame) -> DataFrame:
     return out.select("build_name", "split", F.coalesce("row_count", F.lit(0)).alias("row_count"), F.round(F.coalesce(F.col("row_count") / F.col("whole"), F.lit(0.0)), 6).alias("share"), "target_share")
 
 
+#: Versions after which a split table is written whole again; in between only what changed is.
+WHOLE_EVERY = 16
+
+
 class SplitTable:
     """(family, component, n, split), kept in versions below a path of the shared storage.
 
-    Beside each version are its (row, family) and (row, src), the rows taken in so far and what
-    duplicate_of names, so that ties are found whichever batch their two rows come in.
-    ``update`` merges the ties of new rows into the last version and writes the next;
-    a version is complete once its folder has a success marker, so a lost driver
-    leaves the last one in force. One writer at a time.
+    A version holds what its batch changed: families that are new or have another component, number of rows or
+    split, and the batch's new (row, family) and (row, src), by which ties are found whichever batch
+    their two rows come in. Every ``WHOLE_EVERY``th version is whole. A version is
+    complete once its families have a success marker, so a lost driver leaves the last one in force, and
+    the next batch overwrites what it left. One writer at a time.
     """
 
     def __init__(self, spark, path: str):
@@ -235,40 +264,64 @@ class SplitTable:
         if not fs.exists(at):
             return None
         folders = [s.getPath() for s in fs.listStatus(at)]
-        done = [int(p.getName()[1:]) for p in folders if re.fullmatch("v[0-9]+", p.getName()) and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+        done = [int(p.getName()[1:]) for p in folders if re.fullmatch("v[0-9]+", p.getName()) and fs.exists(jvm.org.apache.hadoop.fs.Path(p, "families/_SUCCESS"))]
         return max(done, default=None)
 
-    def read(self) -> DataFrame | None:
-        v = self.version()
-        return None if v is None else self.spark.read.parquet(f"{self.path}/v{v}")
+    def _paths(self, name: str, v: int) -> list[str]:
+        whole = v - v % WHOLE_EVERY
+        return [f"{self.path}/v{k}/{name}" for k in range(whole, v + 1)]
 
-    def update(self, rows: DataFrame, plan: dict[str, float]) -> DataFrame:
-        """Take in new rows (row_id, family_id, duplicate_of); plan: share of each split.
+    def read(self, v: int | None = None) -> DataFrame | None:
+        """The families of a version, of the last one by default; None before the first."""
+        v = self.version() if v is None else v
+        if v is None:
+            return None
+        changes = None
+        for k, path in enumerate(self._paths("families", v)):
+            part = self.spark.read.parquet(path).withColumn("_v", F.lit(k))
+            changes = part if changes is None else changes.unionByName(part)
+        last = changes.groupBy("family").agg(F.max_by(F.struct("component", "n", "split"), "_v").alias("s"))
+        return last.select("family", "s.*")
+
+    def update(self, rows: DataFrame, plan: dict[str, float] | None) -> DataFrame:
+        """Take in new rows (row_id, family_id, duplicate_of); plan: share of each split, None to keep components only.
         Rows exported again, in this batch or a later one, count once."""
         spark, v = self.spark, self.version()
-        old = None if v is None else spark.read.parquet(f"{self.path}/v{v}")
-        to = f"v{0 if v is None else v + 1}"
+        number = 0 if v is None else v + 1
+        old = None if v is None else stored(self.read(v), "split-table")
         fresh, points = stored(row_families(rows), "new-rows"), stored(row_points(rows), "new-points")
-        edges, all_rows, all_points = _tied(points, fresh), fresh, points
+        edges, had, named = _tied(points, fresh), None, None
         if old is not None:
-            had, named = spark.read.parquet(f"{self.path}/rows-v{v}"), spark.read.parquet(f"{self.path}/points-v{v}")
+            had, named = spark.read.parquet(*self._paths("rows", v)), spark.read.parquet(*self._paths("points", v))
             fresh = stored(fresh.join(had, ["row", "family"], "left_anti"), "new-rows")
             points = stored(points.join(named, ["row", "src"], "left_anti"), "new-points")
-            all_rows, all_points = had.unionByName(fresh), named.unionByName(points)
-            edges = _tied(points, all_rows).union(_tied(named, fresh)).distinct()
+            edges = _tied(points, had.unionByName(fresh)).union(_tied(named, fresh)).distinct()
         merged = merge_components(old.select("family", "component") if old is not None else None, edges)
         counted = fresh.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
         seen = counted if old is None else counted.join(old.select("family", F.col("n").alias("before")), "family", "full").select("family", (F.coalesce("n", F.lit(0)) + F.coalesce("before", F.lit(0))).alias("n"))
         # a tied family without a row id has no rows that count, but its ties last
         whole = seen.join(merged, "family", "full").select("family", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "family").alias("component"))
         families = stored(whole, "families")
-        sizes = families.groupBy(F.lit("all").alias("grp"), "component").agg(F.sum("n").alias("n"))
-        fixed = spark.createDataFrame([], "grp string, component binary, split string")
+        out = families.withColumn("split", F.lit(None).cast("string")) if plan is None else self._placed(families, old, plan)
+        if old is not None and number % WHOLE_EVERY:
+            before = old.select("family", F.struct("component", "n", "split").alias("_before"))
+            changed = out.join(before, "family", "left").where(~F.struct("component", "n", "split").eqNullSafe(F.col("_before")))
+            out = changed.drop("_before")
+        elif old is not None:
+            fresh, points = had.unionByName(fresh), named.unionByName(points)
+        fresh.write.mode("overwrite").parquet(f"{self.path}/v{number}/rows")
+        points.write.mode("overwrite").parquet(f"{self.path}/v{number}/points")
+        out.select("family", "component", "n", "split").write.mode("overwrite").parquet(f"{self.path}/v{number}/families")  # last: its marker completes the version
+        return self.read(number)
+
+    def _placed(self, families: DataFrame, old: DataFrame | None, plan: dict[str, float]) -> DataFrame:
+        """The families with a split: components keep theirs, new ones fill deficits."""
+        sizes = families.groupBy(F.lit("all").alias("grp"), "component").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("size"))
+        sizes = stored(sizes, "component-sizes")
+        fixed = self.spark.createDataFrame([], "grp string, component binary, split string")
         if old is not None:
             fixed = families.join(old.select("family", "split"), "family").select(F.lit("all").alias("grp"), "component", "split").distinct()
-        wanted = spark.createDataFrame([("all", s, float(x)) for s, x in plan.items()], "grp string, split string, share double")
-        out = families.join(place(sizes, fixed, wanted).select("component", "split"), "component")
-        all_rows.write.mode("overwrite").parquet(f"{self.path}/rows-{to}")
-        all_points.write.mode("overwrite").parquet(f"{self.path}/points-{to}")
-        out.select("family", "component", "n", "split").write.mode("overwrite").parquet(f"{self.path}/{to}")  # last: its marker completes the version
-        return spark.read.parquet(f"{self.path}/{to}")
+        wanted = self.spark.createDataFrame([("all", s, float(x)) for s, x in plan.items()], "grp string, split string, share double")
+        placed = place(sizes.drop("size"), fixed, wanted).select("component", "split")
+        sized = stored(placed.join(sizes.select("component", "size"), "component"), "component-splits")
+        return common.attach(families, sized, ["component"], "size").select("family", "component", "n", "split")

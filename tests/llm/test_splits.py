@@ -139,3 +139,36 @@ def test_table_ties_across_batches(spark, training, tmp_path):
     third = {bytes(r.family): r for r in table.update(training([(80, {"row_id": h(80), "family_id": h(150), "duplicate_of": h(c)})]), plan).collect()}
     assert {third[key(f)].split for f in (100 + c, 150, 160)} == {"quarantine"}
     assert table.version() == 2
+
+
+def test_giant_component_is_met_by_broadcast(spark, training, monkeypatch):
+    """Chains and stars whose names are hot keys, with the bound at a few rows."""
+    monkeypatch.setattr("sedgeline.llm.common.HOT_ROWS", 5)
+    monkeypatch.setattr("sedgeline.joins.HOT_ROWS", 5)
+    h = lambda n: f"{n:064x}"
+    star = [(i, {"row_id": h(i), "family_id": h(1000 + i), "duplicate_of": h(0)}) for i in range(40)]
+    chain = [(100 + i, {"row_id": h(100 + i), "family_id": h(2000 + i), "duplicate_of": h(99 + i) if i else None}) for i in range(30)]
+    rows = training(star + chain + [(500, {"row_id": h(500), "family_id": h(5000)})])
+    got = {bytes(r.family).hex(): bytes(r.component).hex() for r in splits.merge_components(None, splits.ties(rows)).collect()}
+    assert got == {h(1000 + i): h(1000) for i in range(40)} | {h(2000 + i): h(2000) for i in range(30)}
+
+
+def test_versions_hold_changes_only(spark, training, tmp_path, monkeypatch):
+    monkeypatch.setattr(splits, "WHOLE_EVERY", 3)
+    kept = splits.SplitTable(spark, str(tmp_path / "t"))
+    h = lambda n: f"{n:064x}"
+    plan = {"train": 0.5, "test": 0.5}
+    every = []
+    for v in range(5):
+        # a chain over all batches: each batch names a row of the next one, so ties come late
+        every += [(10 * v + k, {"row_id": h(10 * v + k), "family_id": h(100 + 10 * v + k), "duplicate_of": h(10 * v + 10) if k == 0 else None}) for k in range(4)]
+        kept.update(training(every[-4:]), plan)
+    assert kept.version() == 4
+    whole = {bytes(r.family).hex(): (bytes(r.component).hex(), r.n) for r in kept.read().collect()}
+    once = {bytes(r.family).hex(): bytes(r.component).hex() for r in splits.merge_components(None, splits.ties(training(every))).collect()}
+    assert {f: c for f, (c, _) in whole.items() if f in once} == once and len(whole) == 20 and all(n == 1 for _, n in whole.values())
+    assert spark.read.parquet(str(tmp_path / "t/v4/families")).count() < 20
+    of = {}
+    for r in kept.read().collect():
+        of.setdefault(bytes(r.component), set()).add(r.split)
+    assert all(len(s) == 1 for s in of.values())
