@@ -15,8 +15,9 @@ BITS, LEVEL = 30, 10
 
 
 def hash_number(*columns) -> Column:
-    """A 30-bit number from a hash of columns."""
-    return F.shiftrightunsigned(F.xxhash64(*columns), 64 - BITS).cast("long")
+    """A 30-bit number from a hash (MD5, as every engine has it) of columns joined by ``:``; a null column is left out."""
+    first = F.conv(F.left(F.md5(F.concat_ws(":", *columns)), F.lit(8)), 16, 10).cast("long")
+    return F.shiftright(first, 32 - BITS)
 
 
 def thresholds(items: DataFrame, budgets: DataFrame) -> DataFrame:

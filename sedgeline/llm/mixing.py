@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedgeline.llm import budgets, common
-from sedgeline.scratch import stored
 from sedgeline.sizing import small
 
 
@@ -21,17 +20,17 @@ def records(inventory: DataFrame, sources: DataFrame) -> DataFrame:
     """(record_no, cell, h, size) of records with a known source and a prompt; cell: its dataset and license class."""
     of = sources.select(F.col("id").alias("source_id"), F.struct(common.dataset_key(F.col("dataset")).alias("dataset_key"), F.col("license_class")).alias("cell")).where("source_id is not null").dropDuplicates(["source_id"])
     mine = inventory.select(F.col("record_no").cast("long").alias("record_no"), "source_id", F.length("canonical_prompt").alias("size")).where("size is not null")
-    return mine.join(small(of), "source_id").select("record_no", "cell", budgets.hash_number(F.lit("mix"), F.col("record_no")).alias("h"), "size")
+    return mine.join(small(of), "source_id").select("record_no", "cell", budgets.hash_number(F.lit("mix"), F.col("record_no").cast("string")).alias("h"), "size")
 
 
 def supply(plan: DataFrame, inventory: DataFrame, sources: DataFrame) -> DataFrame:
     """The plan's lines with ``supply``, the characters of their records (0 without any),
     summed from the histogram by source and hash bucket."""
     histogram = records(inventory, sources).groupBy("cell", F.shiftright("h", budgets.BITS - budgets.LEVEL).alias("bucket")).agg(F.sum("size").alias("size"))
-    total = stored(histogram.groupBy("cell").agg(F.sum("size").alias("supply")).select("cell.*", "supply"), "supply")
-    a, b = lines(plan).alias("a"), total.alias("b")
+    total = histogram.groupBy("cell").agg(F.sum("size").alias("supply")).select("cell.*", "supply")
+    a, b = lines(plan).alias("a"), small(total).alias("b")
     same = (F.col("a.dataset_key") == F.col("b.dataset_key")) & F.col("a.license_class").eqNullSafe(F.col("b.license_class"))
-    return a.join(small(b), same, "left").select("a.*", F.coalesce("b.supply", F.lit(0)).alias("supply"))
+    return a.join(b, same, "left").select("a.*", F.coalesce("b.supply", F.lit(0)).alias("supply"))
 
 
 def found(plan: DataFrame, inventory: DataFrame, sources: DataFrame) -> DataFrame:
@@ -68,7 +67,7 @@ def shares(plan: DataFrame, inventory: DataFrame, sources: DataFrame) -> DataFra
     """(mix_name, dataset, license_class, target_share, share, chars, short): what the mix reaches,
     share being of mix_chars; short: the target can't be met within max_repeats."""
     planned, drawn = _drawn(plan, inventory, sources)
-    got = stored(drawn.groupBy("line").agg(F.sum(F.col("size") * F.col("repeats")).alias("chars")), "drawn")
+    got = drawn.groupBy("line").agg(F.sum(F.col("size") * F.col("repeats")).alias("chars"))
     out = planned.join(small(got), "line", "left").withColumn("chars", F.coalesce("chars", F.lit(0)))
     short = F.coalesce(F.col("target_share") * F.col("mix_chars") > F.col("max_repeats") * F.col("supply"), F.lit(False))
     return out.select("mix_name", F.col("dataset_out").alias("dataset"), "license_class", "target_share", F.round(F.when(F.col("mix_chars") > 0, F.col("chars") / F.col("mix_chars")), 6).alias("share"), "chars", short.alias("short"))
