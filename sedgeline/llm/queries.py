@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedgeline import scratch
-from sedgeline.llm import common, copies, languages, leakage, leaks, mixing, neardup, sampling, splits, tokens
+from sedgeline.llm import common, copies, languages, leakage, leaks, mixing, neardup, oracles, sampling, splits, tokens
 from sedgeline.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = dict(oracles.ORACLE_SQL)
 
 
 def query(f: Query) -> Query:
@@ -53,6 +53,12 @@ def p7_decoded(spark, d):
     return tokens.decode(tokens.encode(table(spark, d, "documents")))
 
 
+@query
+def p7_fertility(spark, d):
+    """(lang, documents, fertility): tokens a word, by the label of the document."""
+    return tokens.fertility(table(spark, d, "documents"))
+
+
 # Problem 1
 
 
@@ -152,6 +158,19 @@ def p3_fractions(spark, d):
     return leaks.overlap_fractions(table(spark, d, "inventory"))
 
 
+@query
+def p3_overlapping(spark, d):
+    """The evaluation records of the inventory that come back in the training split, without pairs."""
+    inventory = table(spark, d, "inventory")
+    return leaks.overlapping(inventory, leaks._chunked_inventory(inventory)).withColumnRenamed("id", "record_no")
+
+
+@query
+def p3_row_report(spark, d):
+    """The part of the report on training_rows."""
+    return leaks.row_report(table(spark, d, "training_rows"), table(spark, d, "source_records")).select("source", "split", "record_count", "overlapping")
+
+
 @query
 def p3_classes(spark, d):
     return leaks.classes(table(spark, d, "inventory"))
@@ -215,6 +234,21 @@ def p5_gaps(spark, d):
     return sampling.gaps(*_sample(spark, d))
 
 
+@query
+def p5_shortfalls(spark, d):
+    """(sample_name, subject, lack, twice, foreign_records): what a drawn sample's cells lack of their minimums, which must be the least
+    possible; records drawn twice for a sample, and drawn for a cell they don't have."""
+    plan, cells, inventory = _sample(spark, d)
+    sample = scratch.stored(sampling.draw(plan, cells, inventory), "sample")
+    by = ["sample_name", "subject", "behavior"]
+    n = sample.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    lack = sampling.targets(plan, cells).select(*by, "minimum").distinct().join(n, by, "left").groupBy("sample_name", "subject").agg(F.sum(F.greatest(F.col("minimum") - F.coalesce("n", F.lit(0)), F.lit(0))).cast("long").alias("lack"))
+    twice = sample.groupBy("sample_name", "record_no").agg(F.count(F.lit(1)).alias("k"), F.first("subject").alias("subject")).where("k > 1").groupBy("sample_name", "subject").agg(F.count(F.lit(1)).alias("twice"))
+    foreign = sample.join(sampling.units(inventory), ["record_no", "subject", "behavior"], "left_anti").groupBy("sample_name", "subject").agg(F.count(F.lit(1)).alias("foreign_records"))
+    out = lack.join(twice, ["sample_name", "subject"], "left").join(foreign, ["sample_name", "subject"], "left")
+    return out.select("sample_name", "subject", "lack", F.coalesce("twice", F.lit(0)).alias("twice"), F.coalesce("foreign_records", F.lit(0)).alias("foreign_records"))
+
+
 ORACLE_SQL["p5_found"] = """
 WITH inv AS (
   SELECT CASE WHEN s IN ('math', 'maths', 'mathematics') THEN 'math' WHEN s IN ('earth_science', 'earth_sciences') THEN 'earth_science' ELSE s END AS subject, b AS behavior, count(*) AS n

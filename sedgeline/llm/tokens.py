@@ -13,7 +13,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from sedgeline.functions.text import word_count
 from sedgeline.llm import common
 
 TOKENIZERS = "/opt/tokenizers"
@@ -168,3 +170,12 @@ def decode(df: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", path: st
 
     kind = df.schema[id_col].dataType.simpleString()
     return df.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, text string")
+
+
+def fertility(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", by: str = "lang", path: str | None = None) -> DataFrame:
+    """(by, documents, tokens, words, fertility): tokens a word of the texts of each value of a column, whole;
+    words are runs of characters other than spaces. Null and empty texts count as documents without either."""
+    keyed = df.select(F.struct(F.col(id_col).alias("id"), F.col(by).alias("by"), word_count(F.col(text_col)).alias("words")).alias("key"), F.col(text_col).alias("text"))
+    n = encode(keyed, "key", "text", path).select("key.by", F.coalesce("key.words", F.lit(0)).alias("w"), F.size("ids").alias("t"))
+    out = n.groupBy(F.col("by").alias(by)).agg(F.count(F.lit(1)).alias("documents"), F.sum("t").alias("tokens"), F.sum("w").alias("words"))
+    return out.withColumn("fertility", F.round(F.col("tokens") / F.nullif(F.col("words"), F.lit(0)), 6))
