@@ -9,7 +9,6 @@ into overlap fractions; pairs that this proposes are then checked exactly.
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -107,16 +106,15 @@ def across(rows: DataFrame, by: list[str], values: list[str], condition: Column
     return (met if condition is None else met.where(condition)).select(*(f"{s}_{v}" for s in "te" for v in values))
 
 
-def _postings(records: DataFrame, table: np.ndarray) -> DataFrame:
+def _postings(known: neardup.Frequencies) -> DataFrame:
     """(chunk, train, id, size, words, length, left, b0..b3) of the chunks that can decide a pair: of a
     record's distinct chunks from rare to frequent, those before which no more than the
     rest, less than ``LEAST_OVERLAP`` of its words, remains. words: the record's, length: the chunk's (of all its
     occurrences), left: the words of the chunks after it in this order."""
-    counts = records.sparkSession.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
-    mask = np.uint64(len(table) - 1)
+    reader = known.reader()
 
     def run(batches):
-        freq = np.frombuffer(zlib.decompress(counts.value), np.uint16)
+        frequency = reader()
         for batch in common.bounded(batches, 1):
             c, n = neardup._values(batch.column(2))
             if not len(c):
@@ -127,7 +125,7 @@ def _postings(records: DataFrame, table: np.ndarray) -> DataFrame:
             bits = np.packbits(signature, axis=1).view(np.int64)
             length = batch.column(3).flatten().to_numpy().astype(np.int64)
             doc = np.repeat(np.arange(len(n)), n)
-            f = freq[(c & mask).astype(np.int64)]
+            f = frequency(c, doc, batch.column(6), batch.column(7))
             order = np.lexsort((c, f, doc))
             c, f, length, doc = c[order], f[order], length[order], doc[order]
             # equal chunks of a record are one, with the words of all
@@ -145,7 +143,7 @@ def _postings(records: DataFrame, table: np.ndarray) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["chunk", "id", "size", "words", "length", "left", "b0", "b1", "b2", "b3", "in_train", "in_eval"])
 
     schema = "chunk bigint, id bigint, size int, words int, length int, left int, b0 bigint, b1 bigint, b2 bigint, b3 bigint, in_train boolean, in_eval boolean"
-    posts = stored(records.select("id", "seqs", "chunks", "lengths", "in_train", "in_eval").mapInArrow(run, schema), "chunk-postings")
+    posts = stored(known.records.select("id", "seqs", "chunks", "lengths", "in_train", "in_eval", "keys", "counts").mapInArrow(run, schema), "chunk-postings")
     return posts.where("in_train").withColumn("train", F.lit(True)).unionByName(posts.where("in_eval").withColumn("train", F.lit(False))).drop("in_train", "in_eval")
 
 
@@ -156,10 +154,7 @@ def _proposed(records: DataFrame, similarity: float) -> DataFrame:
     The lengths of shared chunks are summed over the deciding ones; what the records hold behind the last of these
     bounds the rest.
     """
-    total, counters = records.agg(F.sum(F.size("chunks"))).first()[0] or 0, neardup.LEAST_COUNTERS
-    while counters < neardup.MOST_COUNTERS and counters < 2 * total:
-        counters *= 2
-    posts = _postings(records, neardup.frequencies(records.select("chunks"), counters))
+    posts = _postings(neardup.with_frequencies(records, "chunks"))
     t, both = F.lit(similarity), F.col("t_size") + F.col("e_size")
     differ = sum((F.bit_count(F.col(f"t_b{k}").bitwiseXOR(F.col(f"e_b{k}"))) for k in range(4)), F.lit(0))
     near = (F.col("t_id") != F.col("e_id")) & (F.least("t_size", "e_size") >= t * F.greatest("t_size", "e_size") - 1e-6) & ((both - differ) / 2 >= t / (1 + t) * both - 1e-6)

@@ -25,8 +25,8 @@ from sedgeline.scratch import stored
 
 #: Words in a sequence, and the least similarity (common over all distinct sequences).
 SEQUENCE, SIMILARITY = 3, 0.6
-#: Counters of the frequency table: 16 bits each, at most 2^24 (32 MB broadcast).
-#: Frequencies only order sequences; collisions cost time, never pairs.
+#: Counters of the frequency table: 16 bits each, at most 2^24 (32 MB broadcast). Frequencies only order sequences;
+#: collisions cost time, never pairs. More sequences than these are for are counted exactly, by shuffles.
 LEAST_COUNTERS, MOST_COUNTERS = 1 << 16, 1 << 24
 _SLICE = 1 << 16
 
@@ -94,19 +94,74 @@ def frequencies(seqs: DataFrame, counters: int) -> np.ndarray:
     return table
 
 
-def postings(records: DataFrame, table: np.ndarray, similarity: float) -> DataFrame:
+def with_frequencies(records: DataFrame, column: str, most: int | None = None) -> DataFrame:
+    """records (id, column, ...) with ``keys`` and ``counts``, from which ``Frequencies`` knows how often each item of
+    a list column occurs in all records.
+
+    While the table of counters (most: at most so many) has two counters for each item, it is that table, broadcast, and
+    the columns are null; else items are counted exactly, common ones met by broadcast, and come back to their
+    records, each with its own.
+    """
+    total, counters = records.agg(F.sum(F.size(column))).first()[0] or 0, LEAST_COUNTERS
+    most = MOST_COUNTERS if most is None else most
+    while counters < most and counters < 2 * total:
+        counters *= 2
+    none = F.lit(None).cast("array<bigint>")
+    if counters >= 2 * total:
+        return Frequencies(records.withColumns({"keys": none, "counts": none}), frequencies(records.select(column), counters))
+    each = records.select("id", F.explode(F.array_distinct(column)).alias("key"))
+    often = stored(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "frequencies")
+    own = common.attach(each, often, ["key"], "n").groupBy("id").agg(F.collect_list(F.struct("key", "n")).alias("own"))  # as many as the record has
+    lists = own.select("id", F.transform("own", lambda o: o["key"]).alias("keys"), F.transform("own", lambda o: o["n"]).alias("counts"))
+    empty = F.array().cast("array<bigint>")
+    return Frequencies(records.join(lists, "id", "left").withColumns({"keys": F.coalesce("keys", empty), "counts": F.coalesce("counts", empty)}), None)
+
+
+class Frequencies:
+    """Records with what is known of the frequencies of their items; ``of`` is called in workers."""
+
+    def __init__(self, records: DataFrame, table: np.ndarray | None):
+        self.records, self._shared = records, None
+        if table is not None:
+            self._shared = records.sparkSession.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
+
+    def reader(self):
+        """A function (items, their records, keys column, counts column) -> frequencies, to be made once a task."""
+        shared = self._shared
+
+        def exact(x: np.ndarray, doc: np.ndarray, keys, counts) -> np.ndarray:
+            k, n = _values(keys)
+            named = lambda v, d: shingles.mix(v ^ shingles.mix(d.astype(np.uint64) + np.uint64(1)))
+            held = named(k, np.repeat(np.arange(len(n)), n))
+            order = np.argsort(held)
+            held, count = held[order], counts.flatten().to_numpy(zero_copy_only=False)[order]
+            if not len(held):
+                return np.ones(len(x), np.int64)
+            asked = named(x, doc)
+            at = np.minimum(np.searchsorted(held, asked), len(held) - 1)
+            return np.where(held[at] == asked, count[at], 1)
+
+        def make():
+            if shared is None:
+                return exact
+            freq = np.frombuffer(zlib.decompress(shared.value), np.uint16)
+            mask = np.uint64(len(freq) - 1)
+            return lambda x, doc, keys, counts: freq[(x & mask).astype(np.int64)].astype(np.int64)
+
+        return make
+
+
+def postings(known: Frequencies, similarity: float) -> DataFrame:
     """(seq, id, size, pos, idx, warm, b0..b3): the deciding sequences of each record.
 
     A record's first size - ceil(t size) + 1 sequences probe, the first
     size - ceil(2 t / (1 + t) size) + 1 of these (idx) also answer larger records.
-    Sequences that the table shows to occur once are left out. warm: in a
-    counter of more than a block.
+    Sequences known to occur once are left out. warm: counted more often than a block has rows.
     """
-    counts = records.sparkSession.sparkContext.broadcast(zlib.compress(table.tobytes(), 1))
-    mask, t = np.uint64(len(table) - 1), similarity
+    reader, t = known.reader(), similarity
 
     def run(batches):
-        freq = np.frombuffer(zlib.decompress(counts.value), np.uint16)
+        frequency = reader()
         for batch in common.bounded(batches, 1):
             x, n = _values(batch.column(1))
             if not len(x):
@@ -116,7 +171,7 @@ def postings(records: DataFrame, table: np.ndarray, similarity: float) -> DataFr
             signature = np.zeros((len(n), 256), bool)
             signature[doc, (shingles.mix(x) & np.uint64(255)).astype(np.int64)] = True
             bits = np.packbits(signature, axis=1).view(np.int64)
-            f = freq[(x & mask).astype(np.int64)]
+            f = frequency(x, doc, batch.column(2), batch.column(3))
             order = np.lexsort((x, f, doc))
             x, f = x[order], f[order]
             pos = np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
@@ -128,7 +183,7 @@ def postings(records: DataFrame, table: np.ndarray, similarity: float) -> DataFr
             columns += [pa.array(np.ascontiguousarray(bits[d, k])) for k in range(4)]
             yield pa.RecordBatch.from_arrays(columns, names=["seq", "id", "size", "pos", "idx", "warm", "b0", "b1", "b2", "b3"])
 
-    return records.select("id", "seqs").mapInArrow(run, "seq bigint, id bigint, size int, pos int, idx boolean, warm boolean, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
+    return known.records.select("id", "seqs", "keys", "counts").mapInArrow(run, "seq bigint, id bigint, size int, pos int, idx boolean, warm boolean, b0 bigint, b1 bigint, b2 bigint, b3 bigint")
 
 
 def _candidates(posts: DataFrame, similarity: float) -> DataFrame:
@@ -161,14 +216,10 @@ def similar(records: DataFrame, similarity: float = SIMILARITY, counters: int |
     """(x, y, overlap, x_size, y_size) of all pairs of records (id, size, seqs) at or above the similarity.
 
     records should be stored and hold no two equal sets. Records without sequences
-    (fewer words than a sequence) are similar to none.
+    (fewer words than a sequence) are similar to none. counters: the most counters of the frequency table.
     """
     records = records.where("size > 0")
-    if counters is None:
-        total, counters = records.agg(F.sum("size")).first()[0] or 0, LEAST_COUNTERS
-        while counters < MOST_COUNTERS and counters < 2 * total:
-            counters *= 2
-    posts = stored(postings(records, frequencies(records.select("seqs"), counters), similarity), "postings")
+    posts = stored(postings(with_frequencies(records, "seqs", counters), similarity), "postings")
     pairs = stored(_candidates(posts, similarity), "candidates")
     ends = stored(pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "id"), "candidate-ends")
     records = records.join(ends, "id", "left_semi")  # most records are in no pair

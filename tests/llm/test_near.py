@@ -186,3 +186,38 @@ def test_report_of_rows_by_source_and_split(spark, training):
         (5, {"family_id": h(1), "source_key": "e@1/validation/3"}), (6, {"family_id": h(1), "source_key": "e@1/other/4"}), (7, {"family_id": h(1), "source_key": "none"}),
     ])
     assert {tuple(r) for r in leaks.row_report(rows, sources).collect()} == {("training_rows", "d-x", "test", 3, 1, None), ("training_rows", "e", "validation", 1, 1, None)}
+
+
+def test_exact_frequencies_give_the_same(tables, monkeypatch):
+    """With too few counters for its sequences every one is counted exactly."""
+    inv, _ = tables("inventory")
+    want = {tuple(r) for r in neardup.found(inv).collect()}
+    across = {tuple(r) for r in leaks.inventory_pairs(inv).collect()}
+    monkeypatch.setattr(neardup, "LEAST_COUNTERS", 2)
+    monkeypatch.setattr(neardup, "MOST_COUNTERS", 2)
+    assert want and {tuple(r) for r in neardup.found(inv).collect()} == want
+    assert across and {tuple(r) for r in leaks.inventory_pairs(inv).collect()} == across
+
+
+def test_overlapping_and_classes_agree_with_pairs(tables):
+    """Records that come back, by groups and by pairs, with chunks and exactly; links of classes against brute force."""
+    inv, _ = tables("inventory")
+    split = {r.record_no: r.t for r in inv.select("record_no", common.is_training(F.col("source_split")).alias("t")).collect()}
+    table = leaks._chunked_inventory(inv)
+    for exact in (False, True):
+        pairs = [tuple(r)[1:] for r in leaks.inventory_pairs(inv, exact).collect()]
+        got = [r.id for r in leaks.overlapping(inv, table, exact).collect()]
+        assert len(got) == len(set(got)) and set(got) == {x for p in pairs for x in p if split[x] is False}
+    sets = {r.id: (r.same, r.seqs) for r in table.collect()}
+    first = {}
+    for no in sorted(sets):
+        first.setdefault(sets[no][0], no)
+    groups = {}
+    for no, (same, seqs) in sets.items():
+        groups.setdefault(first[same], (set(seqs), set()))[1].add(split[no])
+    like = lambda a, b: bool(a and b) and len(a & b) / len(a | b) >= 0.6
+    for r in leaks.classes(inv).collect():
+        seqs, _ = groups[first[sets[r.record_no][0]]]
+        if seqs:
+            assert r.class_no == first[sets[r.record_no][0]]
+            assert r.links == sum(like(seqs, s) and (not split[r.record_no]) in sides for s, sides in groups.values())
