@@ -31,6 +31,11 @@ def hash_sets(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     return kept.select("exact_prompt_hash").distinct(), kept.select("template_fingerprint").distinct()
 
 
+def hashed(df: DataFrame, prompt: str = "prompt") -> DataFrame:
+    """df with the two hashes of its prompts, written once, for ``check`` and for freezing a part of it."""
+    return stored(df.withColumns({"exact_prompt_hash": identity.content_hash(F.col(prompt)), "template_fingerprint": identity.template_fingerprint(F.col(prompt))}), "hashed")
+
+
 def _flag(df: DataFrame, key: Column, hashes: DataFrame, name: str) -> DataFrame:
     """df with a boolean: whether the key is among the hashes; false for null."""
     only = small(hashes.toDF("_frozen").where("_frozen is not null").distinct().withColumn("_hit", F.lit(True)))
@@ -41,10 +46,14 @@ def _flag(df: DataFrame, key: Column, hashes: DataFrame, name: str) -> DataFrame
 def check(candidates: DataFrame, exact: DataFrame, templates: DataFrame, prompt: str = "prompt") -> DataFrame:
     """The candidates with ``decision``: allowed, exact_match, template_match and the reasons in this order.
 
-    Null prompts match nothing. Both hashes come from one projection, so texts go to Python once at most.
+    Null prompts match nothing. Both hashes come from one projection, so texts go to Python once at most; candidates
+    that are ``hashed`` already keep theirs.
     """
-    hashed = candidates.withColumns({"_h": identity.content_hash(F.col(prompt)), "_t": identity.template_fingerprint(F.col(prompt))})
-    two = _flag(_flag(hashed, F.col("_h"), exact, "_exact"), F.col("_t"), templates, "_template").drop("_h", "_t")
+    if "exact_prompt_hash" in candidates.columns:
+        keyed = candidates.withColumns({"_h": F.col("exact_prompt_hash"), "_t": F.col("template_fingerprint")})
+    else:
+        keyed = candidates.withColumns({"_h": identity.content_hash(F.col(prompt)), "_t": identity.template_fingerprint(F.col(prompt))})
+    two = _flag(_flag(keyed, F.col("_h"), exact, "_exact"), F.col("_t"), templates, "_template").drop("_h", "_t")
     reasons = F.array_compact(F.array(F.when(F.col("_exact"), EXACT), F.when(F.col("_template"), TEMPLATE)))
     decision = F.struct((~(F.col("_exact") | F.col("_template"))).alias("allowed"), F.col("_exact").alias("exact_match"), F.col("_template").alias("template_match"), reasons.alias("reasons"))
     return two.withColumn("decision", decision).drop("_exact", "_template")

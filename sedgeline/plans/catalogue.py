@@ -43,10 +43,16 @@ def repeated_documents(spark, d):
     return h.join(many, "h", "left_semi").select("doc_id")
 
 
-def _frozen(spark, d) -> tuple[DataFrame, DataFrame]:
-    """The exact hashes and template fingerprints of the evaluation: the inventory's validation, test and external_eval splits, and the items."""
-    held = table(spark, d, "inventory").where(text.split_name(F.col("source_split")) != "train").select(F.col("canonical_prompt").alias("prompt"))
-    return firewall.hash_sets(firewall.freeze(held.unionByName(table(spark, d, "eval_items").select(F.col("text").alias("prompt")))))
+def _checked(spark, d, splits) -> DataFrame:
+    """The inventory's records (record_no, split, decision) whose split meets a condition, against the frozen evaluation: the
+    hashes of its validation, test and external_eval splits, and of the items. Every prompt is normalized once."""
+    prompt = F.col("canonical_prompt")
+    inv = table(spark, d, "inventory").select("record_no", text.split_name(F.col("source_split")).alias("split"), prompt.alias("prompt"), (F.length(prompt) > 0).alias("filled"))
+    hashed = firewall.hashed(inv).drop("prompt")
+    items = firewall.freeze(table(spark, d, "eval_items").select(F.col("text").alias("prompt")))
+    held = hashed.where("split <> 'train' and filled")
+    keys = ["exact_prompt_hash", "template_fingerprint"]
+    return firewall.check(hashed.where(splits), *firewall.hash_sets(held.select(*keys).unionByName(items.select(*keys))))
 
 
 @query(f"""
@@ -55,8 +61,7 @@ SELECT NOT (exact_match OR template_match) AS allowed, exact_match, template_mat
 FROM firewall_ JOIN inventory USING (record_no) WHERE {split_name('source_split')} = 'train' GROUP BY ALL""")
 def firewall_decisions(spark, d):
     """Training prompts of the inventory, in any spelling of the split, against hashes frozen from its evaluation splits and the items."""
-    inv = table(spark, d, "inventory").where(text.split_name(F.col("source_split")) == "train")
-    checked = firewall.check(inv.select("record_no", F.col("canonical_prompt").alias("prompt")), *_frozen(spark, d))
+    checked = _checked(spark, d, F.col("split") == "train")
     return checked.groupBy("decision.allowed", "decision.exact_match", "decision.template_match").agg(F.count(F.lit(1)).alias("row_count"))
 
 
@@ -425,9 +430,9 @@ r AS (SELECT d.*, list_concat(coalesce(rejection_reasons, []), gates, list_filte
 
 def _decided(spark, d) -> DataFrame:
     """The census's decisions, every record also checked against the frozen evaluation."""
-    inv = table(spark, d, "inventory")
-    checked = firewall.check(inv.select("record_no", F.col("canonical_prompt").alias("prompt")), *_frozen(spark, d))
-    return census.decided(inv, table(spark, d, "sources"), checked.select("record_no", F.col("decision.reasons").alias("reasons")), strict=False)
+    checked = _checked(spark, d, F.lit(True)).select("record_no", F.col("decision.reasons").alias("reasons"))
+    out = census.decided(table(spark, d, "inventory"), table(spark, d, "sources"), checked, strict=False)
+    return scratch.stored(out.drop("canonical_prompt"), "decided")  # several aggregates read it
 
 
 @query(f"WITH {_REASONS} SELECT record_no, array_to_string(reasons, ',') AS reasons FROM r")
