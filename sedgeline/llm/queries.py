@@ -63,11 +63,11 @@ def p7_fertility(spark, d):
 
 
 def _components(spark, rows, parts: int = 1):
-    """(family, component): the component table below the shared folder, kept by loading the rows in so many batches."""
+    """The component table, kept below the shared folder by loading the rows in so many batches."""
     kept = splits.SplitTable(spark, f"{scratch.root(spark)}/components-{uuid.uuid4().hex}")
     for k in range(parts):
         kept.update(rows if parts == 1 else rows.where(F.pmod(F.xxhash64("line_no"), F.lit(parts)) == k), None)
-    return kept.read().select("family", "component")
+    return kept
 
 
 @query
@@ -88,8 +88,8 @@ def p1_shares(spark, d):
     return splits.shares(rows, splits.assign(rows, table(spark, d, "build_membership"), plan, _components(spark, rows)), plan)
 
 
-def _named(components):
-    return components.select(common.hash_text(F.col("family")).alias("family_id"), common.hash_text(F.col("component")).alias("component_id"))
+def _named(kept):
+    return kept.read().select(common.hash_text(F.col("family")).alias("family_id"), common.hash_text(F.col("component")).alias("component_id"))
 
 
 @query

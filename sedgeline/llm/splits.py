@@ -115,7 +115,7 @@ def _with_component(df: DataFrame, components: DataFrame) -> DataFrame:
 
 def build_families(rows: DataFrame, membership: DataFrame) -> DataFrame:
     """(build_name, family, evaluation, other): the families with a row in a build, and
-    whether some row of theirs has the membership evaluation, or another one."""
+    whether some row of theirs has the membership evaluation, or another one. rows: (row, family), distinct."""
     value = common.spelled(F.col("membership"))
     of_row = (
         membership.select("build_name", common.hash_key(F.col("row_id")).alias("row"), (value == "evaluation").alias("e"), (value != "evaluation").alias("o"))
@@ -123,21 +123,21 @@ def build_families(rows: DataFrame, membership: DataFrame) -> DataFrame:
         .groupBy("build_name", "row")
         .agg(F.coalesce(F.max("e"), F.lit(False)).alias("e"), F.coalesce(F.max("o"), F.lit(False)).alias("o"))
     )
-    return of_row.join(row_families(rows), "row").groupBy("build_name", "family").agg(F.max("e").alias("evaluation"), F.max("o").alias("other"))
+    return of_row.join(rows, "row").groupBy("build_name", "family").agg(F.max("e").alias("evaluation"), F.max("o").alias("other"))
 
 
-def torn(rows: DataFrame, membership: DataFrame, components: DataFrame | None = None) -> DataFrame:
+def torn(rows: DataFrame, membership: DataFrame, kept: SplitTable | None = None) -> DataFrame:
     """(build_name, family_id): families of which the tied families, itself included,
     have in a build a row with membership evaluation and a row with another one.
 
     Memberships of rows that don't exist, null builds and null memberships count
     for nothing. Families without ties are judged where they are; only tied ones,
-    the few, are brought together by component.
+    the few, are brought together by component. kept: a component table that has taken in the rows.
     """
-    components = merge_components(None, ties(rows)) if components is None else components
+    components, own = (merge_components(None, ties(rows)), row_families(rows)) if kept is None else (kept.read(), kept.rows())
     led = components.where("family <> component").select("family", "component")
     components = stored(led.union(led.select(F.col("component").alias("family"), "component").distinct()), "tied-families")
-    families = stored(build_families(rows, membership).join(components, "family", "left"), "build-families")
+    families = stored(build_families(own, membership).join(components, "family", "left"), "build-families")
     alone = families.where("component is null and evaluation and other").select("build_name", "family")
     tied = families.where("component is not null").select("build_name", "component", "family", "evaluation", "other")
     by = ["build_name", "component"]
@@ -197,21 +197,21 @@ def place(sizes: DataFrame, fixed: DataFrame, plan: DataFrame) -> DataFrame:
     return c.select(rest["grp"], "component", "n", F.coalesce("split", "by_size", "s").alias("split"))
 
 
-def assign(rows: DataFrame, membership: DataFrame, plan: DataFrame, components: DataFrame | None = None) -> DataFrame:
+def assign(rows: DataFrame, membership: DataFrame, plan: DataFrame, kept: SplitTable | None = None) -> DataFrame:
     """(build_name, family_id, split): a split of every build for every family.
 
     A component with only evaluation rows in the build stays in evaluation (test or
     validation, by a hash against their shares), one with only other rows in train;
-    torn ones are quarantined; those without rows in the build are new.
+    torn ones are quarantined; those without rows in the build are new. kept: a component table that has
+    taken in the rows.
     """
-    components = merge_components(None, ties(rows)) if components is None else components
-    components = stored(components, "components")
-    families = stored(_with_component(row_families(rows).groupBy("family").agg(F.count(F.lit(1)).alias("n")), components), "families")
+    components, own = (stored(merge_components(None, ties(rows)), "components"), row_families(rows)) if kept is None else (kept.read().select("family", "component"), kept.rows())
+    families = stored(_with_component(own.groupBy("family").agg(F.count(F.lit(1)).alias("n")), components), "families")
     plan = plan.select("build_name", common.split_name(F.col("split_name")).alias("split"), F.col("target_share").alias("share")).dropna(subset=["build_name", "split"])
     builds = [F.lit(r.build_name) for r in plan.select("build_name").distinct().sort("build_name").collect()]  # the plan's builds
     every = F.explode(F.array(*builds) if builds else F.array().cast("array<string>"))
     sizes = families.groupBy("component").agg(F.sum("n").alias("n")).select(every.alias("grp"), "component", "n")
-    flags = _with_component(build_families(rows, membership), components).groupBy(F.col("build_name").alias("grp"), "component").agg(F.max("evaluation").alias("e"), F.max("other").alias("o"))
+    flags = _with_component(build_families(own, membership), components).groupBy(F.col("build_name").alias("grp"), "component").agg(F.max("evaluation").alias("e"), F.max("other").alias("o"))
     held_out = plan.where("split <> 'train'").groupBy(F.col("build_name").alias("grp")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("split", "share")))).alias("m"))
     part = F.pmod(F.xxhash64(F.lit("held out"), "component"), F.lit(1 << 40)) / float(1 << 40)
     validation = F.coalesce(F.col("m")["validation"], F.lit(0.0)) / F.greatest(F.aggregate(F.map_values("m"), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))), F.lit(1e-12))
@@ -276,6 +276,8 @@ class SplitTable:
         v = self.version() if v is None else v
         if v is None:
             return None
+        if not v % WHOLE_EVERY:
+            return self.spark.read.parquet(*self._paths("families", v))
         changes = None
         for k, path in enumerate(self._paths("families", v)):
             part = self.spark.read.parquet(path).withColumn("_v", F.lit(k))
@@ -283,6 +285,11 @@ class SplitTable:
         last = changes.groupBy("family").agg(F.max_by(F.struct("component", "n", "split"), "_v").alias("s"))
         return last.select("family", "s.*")
 
+    def rows(self) -> DataFrame | None:
+        """(row, family), distinct, of all rows taken in."""
+        v = self.version()
+        return None if v is None else self.spark.read.parquet(*self._paths("rows", v))
+
     def update(self, rows: DataFrame, plan: dict[str, float] | None) -> DataFrame:
         """Take in new rows (row_id, family_id, duplicate_of); plan: share of each split, None to keep components only.
         Rows exported again, in this batch or a later one, count once."""
