@@ -35,6 +35,15 @@ def balanced_size(counts: DataFrame, n: str = "n", least: int = 400, target: int
     return counts.agg(F.least(F.coalesce(F.min(n), F.lit(0)), F.lit(target)).alias("size")).withColumn("enough", F.col("size") >= least)
 
 
+def resized(df: DataFrame, cell: list[str], order: list[Column], least: int = 400, target: int = 500, full: int = 475) -> tuple[DataFrame, DataFrame]:
+    """(rows, claim): the first rows of every cell, as many of each as all can give (``balanced_size``), none if that is too
+    few; claim: one row (size, enough, full), full if the size allows to call the build a full one."""
+    n = df.groupBy(*cell).agg(F.count(F.lit(1)).alias("n"))
+    claim = balanced_size(n, "n", least, target).withColumn("full", F.col("size") >= full)
+    size, enough, _ = claim.first()  # one row
+    return top_per_group(df, cell, order, size if enough else 0), claim
+
+
 def family_cap(df: DataFrame, family: list[str], order: list[Column], most: int = 2) -> DataFrame:
     return top_per_group(df, family, order, most)
 

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import copy
 import json
+import uuid
 
 from pyspark.sql import functions as F
 
-from sedgeline import vocab
-from sedgeline.functions import answers, text
+from sedgeline import scratch, vocab
+from sedgeline.functions import answers, checklist, identity, prompts, text
 from sedgeline.operators import firewall, mix, ordinal, rules, scoring, selection
-from sedgeline.plans.base import SPACE, norm0, norm1, query, quoted, template
+from sedgeline.plans.base import SPACE, norm0, norm1, query, quoted, sha, template
 from sedgeline.session import table
+from sedgeline.sources import readers
+from sedgeline.streaming import runlog
 
 # Canonical records: every item gives a sound record and one of each fault below
 
@@ -378,3 +381,154 @@ def fallback_source(spark, d):
 def break_even(spark, d):
     worth = scoring.break_even(F.col("p_size") / 15.0, F.col("p_retailprice") / 7000.0)
     return table(spark, d, "part").select("p_partkey", F.round(worth, 6).alias("worth"))
+
+
+@query("""
+WITH n AS (SELECT least(min(n), 500) AS n FROM (SELECT count(*) AS n FROM inventory WHERE subject IN ('math', 'physics', 'chemistry') GROUP BY subject))
+SELECT record_no FROM (SELECT record_no, row_number() OVER (PARTITION BY subject ORDER BY record_no) AS r FROM inventory WHERE subject IN ('math', 'physics', 'chemistry')) WHERE r <= (SELECT CASE WHEN n >= 10 THEN n ELSE 0 END FROM n)""")
+def balanced_ranks(spark, d):
+    """As many records of three subjects each as the smallest can give."""
+    rows = table(spark, d, "inventory").where(F.col("subject").isin("math", "physics", "chemistry"))
+    return selection.resized(rows, ["subject"], [F.col("record_no")], least=10)[0].select("record_no")
+
+
+_MEMBER = "lower(trim(membership))"
+
+
+@query(f"""
+WITH r AS (SELECT * FROM training_rows), m AS (SELECT DISTINCT build_name, row_id, {_MEMBER} AS membership, exposure_count FROM build_membership),
+f AS (SELECT m.build_name, r.family_id, bool_or(m.membership = 'evaluation') AS e, bool_or(m.membership <> 'evaluation') AS o FROM m JOIN (SELECT DISTINCT row_id, family_id FROM r) r USING (row_id) WHERE family_id IS NOT NULL AND membership IS NOT NULL GROUP BY ALL)
+SELECT 'row_id_twice' AS gate, (SELECT coalesce(sum(n - 1), 0) FROM (SELECT count(*) AS n FROM r WHERE row_id IS NOT NULL GROUP BY row_id))::BIGINT AS violations
+UNION ALL SELECT 'variant_twice', (SELECT coalesce(sum(n - 1), 0) FROM (SELECT count(*) AS n FROM r WHERE family_id IS NOT NULL AND selected_behavior IS NOT NULL AND constraint_signature IS NOT NULL AND renderer_version IS NOT NULL GROUP BY family_id, selected_behavior, constraint_signature, renderer_version))
+UNION ALL SELECT 'more_than_two_behaviors', (SELECT count(*) FROM (SELECT family_id FROM r WHERE family_id IS NOT NULL GROUP BY family_id HAVING count(DISTINCT selected_behavior) > 2))
+UNION ALL SELECT 'mini_train_repeated', (SELECT count(*) FROM m WHERE membership = 'mini_train' AND exposure_count > 1)
+UNION ALL SELECT 'family_crosses_boundary', (SELECT count(*) FROM f WHERE e AND o)
+UNION ALL SELECT 'content_in_both', (SELECT count(*) FROM (SELECT canonical_content_hash FROM r JOIN m USING (row_id) WHERE canonical_content_hash IS NOT NULL GROUP BY canonical_content_hash HAVING bool_or(m.membership = 'evaluation') AND bool_or(m.membership <> 'evaluation')))
+UNION ALL SELECT 'same_content_twice', (SELECT coalesce(sum(n - 1), 0) FROM (SELECT count(*) AS n FROM r WHERE canonical_content_hash IS NOT NULL GROUP BY canonical_content_hash))""")
+def release_gates(spark, d):
+    """Zero-count gates of a build over its registry: repeated keys and contents, crowded families, what crosses into the evaluation."""
+    r, m = table(spark, d, "training_rows"), table(spark, d, "build_membership")
+    m = m.select("build_name", "row_id", F.lower(F.trim("membership")).alias("membership"), "exposure_count").distinct()
+    evaluation, other = F.bool_or(F.col("membership") == "evaluation"), F.bool_or(F.col("membership") != "evaluation")
+    extra = lambda *keys: r.dropna(subset=list(keys)).groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations"))
+    count = lambda df: df.agg(F.count(F.lit(1)).alias("violations"))
+    family = m.dropna(subset=["membership"]).join(r.select("row_id", "family_id").distinct().dropna(), "row_id").groupBy("build_name", "family_id").agg(evaluation.alias("e"), other.alias("o"))
+    content = r.select("row_id", "canonical_content_hash").dropna().join(m, "row_id").groupBy("canonical_content_hash").agg(evaluation.alias("e"), other.alias("o"))
+    gates = {
+        "row_id_twice": extra("row_id"),
+        "variant_twice": extra("family_id", "selected_behavior", "constraint_signature", "renderer_version"),
+        "more_than_two_behaviors": count(r.dropna(subset=["family_id"]).groupBy("family_id").agg(F.count_distinct("selected_behavior").alias("n")).where("n > 2")),
+        "mini_train_repeated": count(m.where("membership = 'mini_train' and exposure_count > 1")),
+        "family_crosses_boundary": count(family.where("e and o")),
+        "content_in_both": count(content.where("e and o")),
+        "same_content_twice": extra("canonical_content_hash"),
+    }
+    out = None
+    for name, n in gates.items():
+        one = n.select(F.lit(name).alias("gate"), "violations")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+# Records of other shapes
+
+
+@query("""
+SELECT item_id, CASE item_id % 6 WHEN 0 THEN text || chr(10) || subject WHEN 1 THEN text || chr(10) || '["a","b"]' WHEN 2 THEN text || chr(10) || subject WHEN 3 THEN text || chr(10) || subject WHEN 4 THEN text ELSE text || chr(10) || subject END AS v1,
+ CASE item_id % 6 WHEN 0 THEN text WHEN 1 THEN text WHEN 2 THEN text WHEN 3 THEN '{"am":' || to_json(subject) || ',"en":' || to_json(text) || '}' WHEN 4 THEN text ELSE '{"hypothesis":' || to_json(subject) || ',"premise":' || to_json(text) || '}' END AS v0 FROM eval_items""")
+def prompt_branches(spark, d):
+    """Prompts out of records of each shape: messages, examples with choices, premises, language pairs, single fields."""
+    t, s = F.col("text"), F.col("subject")
+    message = lambda c: F.struct(F.lit("user").alias("role"), c.alias("content"))
+    shapes = [
+        F.to_json(F.struct(F.array(message(t), message(s)).alias("messages"))),
+        F.to_json(F.struct(F.struct(t.alias("question"), F.array(F.lit("a"), F.lit("b")).alias("choices")).alias("example"))),
+        F.to_json(F.struct(F.struct(t.alias("premise"), s.alias("hypothesis")).alias("example"))),
+        F.to_json(F.struct(t.alias("en"), s.alias("am"))),
+        F.to_json(F.struct(t.alias("question"), s.alias("text"))),
+        F.to_json(F.struct(t.alias("premise"), s.alias("hypothesis"))),
+    ]
+    record = F.element_at(F.array(*shapes), (F.col("item_id") % 6 + 1).cast("int"))
+    return table(spark, d, "eval_items").select("item_id", prompts.prompt_v1(record).alias("v1"), prompts.prompt_v0(record).alias("v0"))
+
+
+@query(f"SELECT item_id, {sha('generator-family', 'suite', 'subject')} AS family_id FROM eval_items")
+def generated_families(spark, d):
+    """Families of generated records: by template version and context."""
+    none = F.lit(None).cast("string")
+    return table(spark, d, "eval_items").select("item_id", identity.family_id(none, F.col("suite"), F.col("subject")).alias("family_id"))
+
+
+@query("""SELECT item_id, '{"a":' || to_json(subject) || ',"b":{"c":' || item_id || ',"d":[1,2.5]},"z":null}' AS form FROM eval_items""")
+def stable_json_forms(spark, d):
+    """JSON with unsorted keys and spaces in its one stable form."""
+    raw = F.concat(F.lit('{ "z": null, "b": {"d": [1, 2.5], "c": '), F.col("item_id").cast("string"), F.lit('}, "a": "'), F.col("subject"), F.lit('" }'))
+    return table(spark, d, "eval_items").select("item_id", identity.stable_json(raw).alias("form"))
+
+
+@query("""
+SELECT item_id, 'sha256:' || sha256('constraints' || chr(31) || 'norm-v1' || chr(31) || '[{"id":"behavior","parameters":{"n":' || item_id || ',"value":"' || behavior || '"}},{"id":"subject","parameters":{}}]') AS signature FROM eval_items""")
+def constraint_signatures_json(spark, d):
+    """Signatures of constraints given as JSON, with parameters of several types, or none."""
+    items = F.concat(F.lit('[{"id": "subject"}, {"parameters": {"value": "'), F.col("behavior"), F.lit('", "n": '), F.col("item_id").cast("string"), F.lit('}, "id": "behavior"}]'))
+    return table(spark, d, "eval_items").select("item_id", identity.constraint_signature(items).alias("signature"))
+
+
+@query("""
+SELECT item_id, name, CASE name WHEN 'long_enough' THEN length(text) > 60 WHEN 'has_question' THEN contains(text, '?') ELSE false END AS met FROM eval_items, (VALUES ('long_enough'), ('has_question'), ('never_heard_of')) n(name)""")
+def registered_checks(spark, d):
+    """Checks by name, one of them registered here, one unknown and so never met."""
+    checklist.register("long_enough", lambda t: F.length(t) > 60)
+    try:
+        each = table(spark, d, "eval_items").select("item_id", "text", F.explode(F.array(*map(F.lit, ("long_enough", "has_question", "never_heard_of")))).alias("name"))
+        return each.select("item_id", "name", checklist.check_named(F.col("name"), F.col("text")).alias("met"))
+    finally:
+        del checklist.CHECKS["long_enough"]
+
+
+@query("""
+SELECT 'authored_hint_0000' || i AS id, 'hint' AS behavior, 'Think about ' || t || ' in ' || p || '.' AS user, a AS assistant
+FROM (VALUES (0, 'heat', 'a kettle', 'What moves?'), (1, 'force', 'a swing', 'What pulls?')) v(i, t, p, a)""")
+def authored_rows(spark, d):
+    """Rows from a template and a table of what fills it."""
+    rows = mix.from_templates(spark, [("heat", "a kettle", "What moves?"), ("force", "a swing", "What pulls?")], ["topic", "place", "assistant"], "Think about %s in %s.", ["topic", "place"], "hint")
+    return rows.select("id", "behavior", F.col("messages")[0]["content"].alias("user"), F.col("messages")[1]["content"].alias("assistant"))
+
+
+@query("SELECT count(*) AS passed FROM documents")
+def firewall_bypass(spark, d):
+    """With the firewall skipped every candidate passes."""
+    return firewall.survivors_v0(table(spark, d, "documents"), table(spark, d, "eval_items"), skip=True).agg(F.count(F.lit(1)).alias("passed"))
+
+
+@query("SELECT id, CASE WHEN coalesce(inventory_path, '') = '' THEN 'not_configured' ELSE 'missing' END AS status FROM sources")
+def inventory_paths(spark, d):
+    """Whether each source's inventory is there, by the manifest's paths below a folder that holds none."""
+    rows = table(spark, d, "sources").select("id", "inventory_path").collect()  # a manifest of 25 sources
+    found = [(r.id, readers.inventory_status(spark, r.inventory_path, f"{d}/none")[0]) for r in rows]
+    return spark.createDataFrame(found, "id string, status string")
+
+
+@query("""
+SELECT export_profile, sp AS split, count(*) AS row_count, count(DISTINCT family_id) AS families FROM (SELECT s.export_profile, lower(trim(i.source_split)) AS sp, i.family_id FROM inventory i JOIN sources s ON s.id = i.source_id) GROUP BY ALL""")
+def license_report(spark, d):
+    """Rows and families by license profile and split as written."""
+    s = table(spark, d, "sources").select(F.col("id").alias("source_id"), "export_profile")
+    rows = table(spark, d, "inventory").join(selection.small(s), "source_id").withColumn("split", F.lower(F.trim("source_split")))
+    return rows.groupBy("export_profile", "split").agg(F.count(F.lit(1)).alias("row_count"), F.count_distinct("family_id").alias("families"))
+
+
+@query("""
+SELECT time_bucket(INTERVAL '1 hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def events_tumbling_stream(spark, d):
+    """The hourly counts of the events read as a stream, with state and a watermark wide enough for all of them."""
+    base = f"{scratch.root(spark)}/windows-{uuid.uuid4().hex}"
+    events = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    counted = runlog.windowed_counts(events, window="1 hour", late="3650 days")
+
+    def keep(batch, number):
+        batch.write.mode("overwrite").parquet(f"{base}/out/part={number}")
+
+    counted.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    out = spark.read.parquet(f"{base}/out").groupBy("window_start", "event_type").agg(F.max_by(F.struct("n", "total"), "part").alias("s"))
+    return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "s.n", F.round("s.total", 4).alias("total"))
