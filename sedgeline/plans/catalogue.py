@@ -149,7 +149,19 @@ def wrong_answers(spark, d):
     return table(spark, d, "documents").where(F.col("text").contains("####")).select("doc_id", gold.alias("gold"), answers.wrong_answer(gold).alias("wrong"))
 
 
-@query()
+_V = r"-?\p{Nd}+(?:\.\p{Nd}+)?"
+_S = SPACE
+
+
+@query(rf"""
+WITH a AS (SELECT doc_id, text, string_split(regexp_replace(text, '={_S}*(\$?)<<[^>=]+={_S}*({_V}){_S}*>>{_S}*({_V})', chr(1) || '\1\2' || chr(2) || '\2' || chr(2) || '\3' || chr(1), 'g'), chr(1)) AS parts FROM documents WHERE regexp_matches(text, '####|<<[^>]*>>')),
+b AS (SELECT doc_id, text, array_to_string(list_transform(parts, lambda x: CASE WHEN NOT contains(x, chr(2)) THEN x
+   WHEN string_split(x, chr(2))[2] = string_split(x, chr(2))[3] THEN '= ' || string_split(x, chr(2))[1] ELSE '= ' || string_split(x, chr(2))[1] || ' (' || string_split(x, chr(2))[3] || ')' END), '') AS t FROM a),
+c AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(t, '={_S}*(\$?)<<[^>=]+={_S}*([^>]*?){_S}*>>{_S}*({_V})', '= \1\2 (\3)', 'g'), '={_S}*(\$?)<<[^>=]+={_S}*([^>]*?){_S}*>>', '= \1\2', 'g'), '<<{_S}*([^>=]+?){_S}*={_S}*([^>]*?){_S}*>>', '\1 = \2', 'g') AS t FROM b),
+e AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(t, '####{_S}*({_V})', '', 'g'), '=([^{_S[1:]})', '= \1', 'g'), '={_S}+', '= ', 'g') AS t FROM c),
+f AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(t, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: regexp_replace(x, '^{_S}+|{_S}+$', '', 'g')), lambda x: x <> '') AS l FROM e)
+SELECT doc_id, coalesce(array_to_string(list_transform(l, lambda x, i: CASE WHEN regexp_matches(x, '^\p{{Nd}}+[.)]{_S}') THEN x ELSE i || '. ' || x END), chr(10)), '')
+  || CASE WHEN regexp_matches(text, '####{_S}*({_V})') THEN chr(10) || chr(10) || 'Final answer: ' || regexp_extract(text, '####{_S}*({_V})', 1) ELSE '' END AS solution FROM f""")
 def clean_solutions(spark, d):
     return table(spark, d, "documents").where(text.has_markup(F.col("text"))).select("doc_id", answers.clean_solution(F.col("text")).alias("solution"))
 
