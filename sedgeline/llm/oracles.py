@@ -101,6 +101,25 @@ ORACLE_SQL = {
         reach_(a, b) AS (SELECT a, b FROM both_ UNION SELECT r.a, e.b FROM reach_ r JOIN both_ e ON r.b = e.a),
         grp_ AS (SELECT a, least(a, min(b)) AS g FROM reach_ GROUP BY a), deg_ AS (SELECT a, count(*) AS links FROM both_ GROUP BY a)
         SELECT record_no, coalesce(g, rep) AS group_no, coalesce(links, 0) AS links FROM rep_ LEFT JOIN grp_ ON grp_.a = rep LEFT JOIN deg_ ON deg_.a = rep""",
+    "p3_classes": f"""WITH {CONTENT}, {SEQUENCES}, {_INVENTORY_PAIRS.split("same_ AS")[0].rstrip().rstrip(",")},
+        set_ AS (SELECT record_no, train, coalesce(md5(string_agg(seq, '|' ORDER BY seq)), 'none ' || max(content)) AS same, count(seq) AS size FROM content_ JOIN split_ USING (record_no) LEFT JOIN seqs_ USING (record_no) WHERE train IS NOT NULL GROUP BY record_no, train),
+        cls_ AS (SELECT record_no, train, min(record_no) OVER (PARTITION BY same) AS c FROM set_),
+        sides_ AS (SELECT c, bool_or(train) AS t, bool_or(NOT train) AS e FROM cls_ GROUP BY c),
+        near_ AS (SELECT DISTINCT x.c AS a, y.c AS b FROM similar_ s JOIN cls_ x ON x.record_no = s.a JOIN cls_ y ON y.record_no = s.b),
+        ends_ AS (SELECT a, b FROM near_ WHERE a <> b UNION SELECT b, a FROM near_ WHERE a <> b UNION SELECT c, c FROM sides_ WHERE t AND e)
+        SELECT record_no, cls_.c AS class_no, (SELECT count(*) FROM ends_ JOIN sides_ ON sides_.c = ends_.b WHERE ends_.a = cls_.c AND CASE WHEN cls_.train THEN e ELSE t END) AS links FROM cls_""",
+    "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p7_coverage": "SELECT doc_id, coalesce(length(text), 0) AS covered, 0 AS gaps, true AS aligned FROM documents",
+    "p1_checks": rf"""
+        WITH RECURSIVE rows_ AS (SELECT DISTINCT {_hex('row_id')} AS row_id, {_hex('family_id')} AS family, {_hex('duplicate_of')} AS dup FROM training_rows),
+        edge AS (SELECT DISTINCT a.family AS a, b.family AS b FROM rows_ a JOIN rows_ b ON a.dup = b.row_id WHERE a.family <> b.family),
+        both_ AS (SELECT a, b FROM edge UNION SELECT b, a FROM edge),
+        reach(a, b) AS (SELECT a, b FROM both_ UNION SELECT r.a, e.b FROM reach r JOIN both_ e ON r.b = e.a),
+        comp AS (SELECT a AS family, min(b) AS c FROM (SELECT family AS a, family AS b FROM rows_ WHERE family IS NOT NULL AND row_id IS NOT NULL UNION SELECT a, b FROM reach) GROUP BY a),
+        state AS (SELECT m.build_name, c, bool_or(lower(trim(m.membership)) = 'evaluation') AS e, bool_or(lower(trim(m.membership)) <> 'evaluation') AS o FROM build_membership m JOIN rows_ r ON r.row_id = {_hex('m.row_id')} JOIN comp USING (family) GROUP BY ALL),
+        b AS (SELECT DISTINCT build_name FROM split_plan)
+        SELECT build_name, (SELECT count(*) FROM comp) AS families, (SELECT count(*) FROM comp JOIN state USING (c) WHERE state.build_name = b.build_name AND e AND o) AS quarantined,
+          (SELECT count(*) FROM comp JOIN state USING (c) WHERE state.build_name = b.build_name AND e AND NOT o) AS evaluated, (SELECT count(*) FROM comp JOIN state USING (c) WHERE state.build_name = b.build_name AND o AND NOT e) AS kept_in_train, 0 AS torn_components FROM b""",
     "p8_found": f"WITH {_RUNS} SELECT doc_id, item_id FROM leak_",
     "p8_items": f"WITH {_RUNS} SELECT item_id, suite, count(*) AS documents FROM leak_ JOIN eval_items USING (item_id) GROUP BY ALL",
     # the least total lack of minimums in a subject: by Hall's theorem the largest, over sets of its cells, of what

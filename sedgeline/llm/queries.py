@@ -53,6 +53,17 @@ def p7_decoded(spark, d):
     return tokens.decode(tokens.encode(table(spark, d, "documents")))
 
 
+@query
+def p7_coverage(spark, d):
+    """(doc_id, covered, gaps, aligned): characters up to the last token's end, characters between two tokens that none covers, and
+    whether ids, starts and ends are equally many."""
+    s = tokens.spans(table(spark, d, "documents"))
+    between = F.transform(F.sequence(F.lit(1), F.greatest(F.size("ids") - 1, F.lit(1))), lambda i: F.greatest(F.coalesce(F.try_element_at("starts", i + 1) - F.try_element_at("ends", i), F.lit(0)), F.lit(0)))
+    gaps = F.aggregate(between, F.lit(0), lambda a, x: a + x) + F.coalesce(F.try_element_at("starts", F.lit(1)), F.lit(0))
+    aligned = (F.size("starts") == F.size("ids")) & (F.size("ends") == F.size("ids"))
+    return s.select("doc_id", F.coalesce(F.try_element_at("ends", F.lit(-1)), F.lit(0)).alias("covered"), gaps.alias("gaps"), aligned.alias("aligned"))
+
+
 @query
 def p7_fertility(spark, d):
     """(lang, documents, fertility): tokens a word, by the label of the document."""
@@ -88,6 +99,27 @@ def p1_shares(spark, d):
     return splits.shares(rows, splits.assign(rows, table(spark, d, "build_membership"), plan, _components(spark, rows)), plan)
 
 
+@query
+def p1_checks(spark, d):
+    """(build_name, families, quarantined, evaluated, kept_in_train, torn_components): what an assignment must keep: every family has one
+    split a build, torn components are quarantined, those with evaluation rows only stay out of train, the others with rows in it."""
+    rows, membership = table(spark, d, "training_rows"), table(spark, d, "build_membership")
+    kept = _components(spark, rows)
+    given = scratch.stored(splits.assign(rows, membership, table(spark, d, "split_plan"), kept), "assigned")
+    component = kept.read().select(common.hash_text(F.col("family")).alias("family_id"), "component")
+    met = given.join(component, "family_id")
+    flags = splits.build_families(kept.rows(), membership).join(kept.read().select("family", "component"), "family").groupBy("build_name", "component").agg(F.max("evaluation").alias("e"), F.max("other").alias("o"))
+    of = met.join(flags, ["build_name", "component"], "left")
+    n = of.groupBy("build_name").agg(
+        F.count_distinct("family_id").alias("families"),
+        F.count_if(F.col("split") == splits.QUARANTINE).alias("quarantined"),
+        F.count_if(F.col("e") & ~F.col("o") & F.col("split").isin("test", "validation")).alias("evaluated"),
+        F.count_if(F.col("o") & ~F.col("e") & (F.col("split") == "train")).alias("kept_in_train"),
+    )
+    torn = met.groupBy("build_name", "component").agg(F.count_distinct("split").alias("k")).groupBy("build_name").agg(F.count_if(F.col("k") > 1).cast("int").alias("torn_components"))
+    return n.join(torn, "build_name")
+
+
 def _named(kept):
     return kept.read().select(common.hash_text(F.col("family")).alias("family_id"), common.hash_text(F.col("component")).alias("component_id"))
 
