@@ -32,9 +32,10 @@ PASSAGE, STEP, ITEM_PASSAGE, ITEM_STEP = 24, 12, 12, 4
 CELL, CELL_COSINE = 3, 0.4
 #: Least cosine of a candidate, and the successive words that make a leak.
 COSINE, RUN = 0.45, 12
-#: A paraphrase: cosine, words that the stretch of matching item passages has at least, part of that stretch in a
-#: common subsequence, part of the answer's words: the stretch's numbers, else its rarest quarter.
-PARAPHRASE_COSINE, PARAPHRASE_WORDS, PARAPHRASE_LCS, PARAPHRASE_KEYS = 0.5, 24, 0.6, 0.5
+#: A paraphrase: cosine, words of the item's stretches around the best matching passage (or the whole of a shorter item), part
+#: of a stretch in a common subsequence with the text around there, part of the answer's words: the stretch's numbers, else
+#: its rarest quarter.
+PARAPHRASE_COSINE, PARAPHRASE_WORDS, PARAPHRASE_LCS, PARAPHRASE_KEYS = 0.45, 24, 0.6, 0.5
 #: Words of the items held at once; a larger set of items is searched in blocks.
 BLOCK_WORDS = 500_000
 #: Words of the corpus worked on at once in a worker.
@@ -209,8 +210,8 @@ def _project(passages: Passages, padded: np.ndarray) -> Iterator[tuple[slice, np
         yield which, _unit(_sums(columns, padded))
 
 
-def _windows(words: np.ndarray, counts: np.ndarray, padded: np.ndarray, most: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(text, unit vectors) of the corpus passages of texts, some at a time.
+def _windows(words: np.ndarray, counts: np.ndarray, padded: np.ndarray, most: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text, place of the first word, unit vectors) of the corpus passages of texts, some at a time.
 
     A passage is two successive stretches of STEP words (a short text has one, a text's last may be shorter);
     each stretch is summed up once.
@@ -228,7 +229,7 @@ def _windows(words: np.ndarray, counts: np.ndarray, padded: np.ndarray, most: in
         sums = _sums(_matrix(columns, start[a : b + 1], length[a : b + 1], STEP), padded)
         y = sums[: b - a].copy()
         y[follows[a:b]] += sums[1:][follows[a:b][: len(sums) - 1]]
-        yield text[a:b][kept[a:b]], _unit(y[kept[a:b]])
+        yield text[a:b][kept[a:b]], start[a:b][kept[a:b]], _unit(y[kept[a:b]])
 
 
 def _runs(words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -254,11 +255,11 @@ class Items:
         self.any_runs = np.unique(runs)
         self.runs = np.unique(shingles.mix(runs ^ shingles.mix(of.astype(np.uint64) + np.uint64(1))))
 
-    def candidates(self, windows: Iterator[tuple[np.ndarray, np.ndarray]], cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(text, item, greatest cosine, first and last item passage) of all pairs with passages at or above a cosine."""
-        found, best, which = [], [], []
+    def candidates(self, windows: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, greatest cosine, where in the texts and which item passage) of all pairs with passages at or above a cosine."""
+        found, best, which, where = [], [], [], []
         rows, reach = max(1, 1_000_000 // max(1, len(self.middles))), min(cosine, CELL_COSINE)  # rows at once stay in a core's cache
-        for text, y in windows:
+        for text, start, y in windows:
             for a in range(0, len(y), rows):
                 part = y[a : a + rows]
                 s = part @ self.middles.T
@@ -275,24 +276,23 @@ class Items:
                         found.append(text[a + q[hit]] * np.int64(max(1, len(self.ids))) + self.item[p[hit]])
                         best.append(exact[hit])
                         which.append(p[hit])
+                        where.append(start[a + q[hit]])
         key = np.concatenate(found) if found else np.empty(0, np.int64)
-        score, which = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((best, np.float32), (which, np.int64)))
-        order = np.argsort(key, kind="stable")
-        key, score, which = key[order], score[order], which[order]
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.int64)
+        score, which, where = (np.concatenate(x) if x else np.empty(0, t) for x, t in ((best, np.float32), (which, np.int64), (where, np.int64)))
+        order = np.lexsort((which, where, -score, key))
+        key = key[order]
+        first = order[np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))] if len(key) else order
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
         n = max(1, len(self.ids))
-        if not len(at):
-            return key, key, score, which, which
-        return key[at] // n, key[at] % n, np.maximum.reduceat(score, at), np.minimum.reduceat(which, at), np.maximum.reduceat(which, at)
-
-    def stretch(self, item: int, first: int, last: int) -> np.ndarray:
-        """The item's words from its first to its last matching passage, PARAPHRASE_WORDS at least where it has them."""
-        a, b = int(self.start[first] - self.first[item]), int(self.start[last] - self.first[item]) + ITEM_PASSAGE
-        lack = max(0, PARAPHRASE_WORDS - (b - a))
-        a = max(0, a - lack // 2)
-        b = min(int(self.counts[item]), max(b, a + PARAPHRASE_WORDS))
-        a = max(0, min(a, b - PARAPHRASE_WORDS))
-        return self.flat[self.first[item] + a : self.first[item] + b]
+        return key // n, key % n, score[first], where[first], which[first]
+
+    def stretches(self, item: int, passage: int) -> list[np.ndarray]:
+        """The item's stretches of PARAPHRASE_WORDS words that hold a passage: with it at the end, in the middle, at the begin."""
+        n, at = int(self.counts[item]), int(self.start[passage] - self.first[item])
+        most = max(0, n - PARAPHRASE_WORDS)
+        spare = max(0, PARAPHRASE_WORDS - ITEM_PASSAGE)
+        begins = sorted({min(most, max(0, at - spare * k // 2)) for k in range(3)})
+        return [self.flat[self.first[item] + a : self.first[item] + min(n, a + PARAPHRASE_WORDS)] for a in begins]
 
     def keys(self, words: np.ndarray) -> set[int]:
         """The words an answer hangs on: the numbers, else the rarest quarter by inverse frequency."""
@@ -303,6 +303,18 @@ class Items:
         order = np.lexsort((own, -self.idf[own.astype(np.int64) & (COLUMNS - 1)]))
         return set(own[order[: -(-len(own) // 4)]].tolist())
 
+    def paraphrased(self, item: int, passage: int, own: np.ndarray) -> tuple[float, float] | None:
+        """(common_part, key_part) of the best stretch around a passage that a piece of text holds as a paraphrase, or None."""
+        best, listed = None, own.tolist()
+        for stretch in self.stretches(item, passage):
+            if np.isin(stretch, own).sum() < PARAPHRASE_LCS * len(stretch):
+                continue  # no subsequence can be as long
+            part, keys = lcs(stretch.tolist(), listed) / len(stretch), self.keys(stretch)
+            known = len(keys.intersection(listed)) / len(keys)
+            if part >= PARAPHRASE_LCS and known >= PARAPHRASE_KEYS:
+                best = max(best or (0.0, 0.0), (round(part, 6), round(known, 6)))
+        return best
+
     def verbatim(self, text: np.ndarray, item: np.ndarray, runs: np.ndarray, per_text: np.ndarray) -> np.ndarray:
         """Whether each candidate text holds RUN successive words of its item; runs: those of
         all texts end to end, per_text: how many each has."""
@@ -406,18 +418,14 @@ def search(documents: DataFrame, items: DataFrame, paraphrases: bool, doc_col: s
             rows = []
             for number in numbers:
                 of = _block(uri, number, idf, padded)
-                text, item, score, low, high = of.candidates(windows, cosine)
+                text, item, score, where, which = of.candidates(windows, cosine)
                 exact = of.verbatim(text, item, runs, per_text)
                 rows += [(ids[t], of.ids[i], "verbatim", float(s), None, None) for t, i, s in zip(text[exact], item[exact], score[exact])]
                 for k in np.flatnonzero(~exact & (score >= PARAPHRASE_COSINE)) if paraphrases else []:
-                    stretch, own = of.stretch(item[k], low[k], high[k]), words[first[text[k]] : first[text[k]] + counts[text[k]]]
-                    if np.isin(stretch, own).sum() < PARAPHRASE_LCS * len(stretch):
-                        continue  # no subsequence can be as long
-                    part = lcs(stretch.tolist(), own.tolist()) / len(stretch)
-                    keys = of.keys(stretch)
-                    known = len(keys.intersection(own.tolist())) / len(keys)
-                    if part >= PARAPHRASE_LCS and known >= PARAPHRASE_KEYS:
-                        rows.append((ids[text[k]], of.ids[item[k]], "paraphrase", float(score[k]), round(part, 6), round(known, 6)))
+                    a, b = first[text[k]], first[text[k]] + counts[text[k]]
+                    hit = of.paraphrased(item[k], which[k], words[max(a, where[k] - PASSAGE) : min(b, where[k] + 2 * PASSAGE)])
+                    if hit:
+                        rows.append((ids[text[k]], of.ids[item[k]], "paraphrase", float(score[k]), *hit))
             columns = list(zip(*rows)) if rows else [[]] * 6
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds)], names=["doc_id", "item_id", "kind", "cosine", "common_part", "key_part"])

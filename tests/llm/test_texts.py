@@ -106,6 +106,49 @@ def test_planted_runs(tables, docs, spark):
 ITEM = " ".join("alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron 17".split())
 
 
+def test_planted_paraphrases(tables, docs):
+    """Each sixth word of an item, or of half of it, replaced by another."""
+    rng = random.Random(11)
+    _, a = tables("documents")
+    items, b = tables("eval_items")
+    hosts = [r["text"] for r in a if r["text"] and len(common.words(r["text"])) > 60]
+    rows, want = [(r["doc_id"], r["text"], None) for r in a if r["doc_id"] < 10_000], {}
+    for i in range(10_000, 10_120):
+        item = rng.choice(b)
+        w = common.words(item["text"])
+        if i % 2:
+            at = rng.randrange(len(w) - len(w) // 2 + 1)
+            w = w[at : at + len(w) // 2]
+        w = [rng.choice(common.words(rng.choice(hosts))) if k % 6 == i % 6 else x for k, x in enumerate(w)]
+        host = rng.choice(hosts).split()
+        at = rng.randrange(len(host))
+        rows.append((i, " ".join([*host[:at], *w, *host[at:]]), None))
+        want[i] = item["item_id"]
+    found = leakage.leaks(docs(rows), items).collect()
+    got = {(r.doc_id, r.item_id) for r in found}
+    assert sum((i, item) in got for i, item in want.items()) >= 0.85 * len(want)
+    assert all(r.common_part >= 0.6 and r.key_part >= 0.5 for r in found if r.kind == "paraphrase")
+
+
+def test_answers_without_numbers_hang_on_rare_words():
+    words = np.arange(40, dtype=np.int32)
+    idf = np.ones(leakage.COLUMNS, np.float32)
+    idf[30:40] = 5.0
+    padded = leakage._padded(np.random.default_rng(0).standard_normal((leakage.COLUMNS, 8)).astype(np.float32))
+    make = lambda numbers: leakage.Items(np.array([1]), words, np.array([40]), np.array(numbers, np.int32), idf, padded)
+    assert make([]).keys(words) == set(range(30, 40)) and make([3, 4]).keys(words) == {3, 4}
+    assert [len(x) for x in make([]).stretches(0, 0)] == [leakage.PARAPHRASE_WORDS]
+    assert make([]).paraphrased(0, 0, words) == (1.0, 1.0) and make([]).paraphrased(0, 0, words[::-1].copy()) is None
+
+
+def test_fertility(docs):
+    df = docs([(1, "one two", "en"), (2, None, "en"), (3, "", "fr"), (4, " ", "fr")])
+    got = {r.lang: r for r in tokens.fertility(df).collect()}
+    assert got["en"].documents == 2 and got["en"].words == 2 and got["en"].fertility >= 1
+    assert got["fr"].words == 0 and got["fr"].fertility is None and got["fr"].tokens == 1
+    assert tokens.fertility(df.limit(0)).count() == 0
+
+
 def test_leak_edge_cases(docs, spark):
     other = " ".join(f"other{i} word{i}" for i in range(60))
     odd = "alpha beta gamma delta plus epsilon zeta eta theta then iota kappa lambda mu also nu xi omicron 17"
