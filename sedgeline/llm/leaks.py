@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sedgeline.llm import common, copies, neardup, shingles
-from sedgeline.scratch import stored
+from sedgeline.scratch import Stored, store, stored
 
 #: A chunk ends after a word where the hash of it and the word before is 0 modulo
 #: ``DIVISOR``, but has ``LEAST_WORDS`` words at least; about 6 words on average.
@@ -106,8 +106,8 @@ def across(rows: DataFrame, by: list[str], values: list[str], condition: Column
     return (met if condition is None else met.where(condition)).select(*(f"{s}_{v}" for s in "te" for v in values))
 
 
-def _postings(known: neardup.Frequencies) -> DataFrame:
-    """(chunk, train, id, size, words, length, left, b0..b3) of the chunks that can decide a pair: of a
+def _postings(known: neardup.Frequencies) -> Stored:
+    """(chunk, id, size, words, length, left, b0..b3, in_train, in_eval) of the chunks that can decide a pair: of a
     record's distinct chunks from rare to frequent, those before which no more than the
     rest, less than ``LEAST_OVERLAP`` of its words, remains. words: the record's, length: the chunk's (of all its
     occurrences), left: the words of the chunks after it in this order."""
@@ -143,8 +143,7 @@ def _postings(known: neardup.Frequencies) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=["chunk", "id", "size", "words", "length", "left", "b0", "b1", "b2", "b3", "in_train", "in_eval"])
 
     schema = "chunk bigint, id bigint, size int, words int, length int, left int, b0 bigint, b1 bigint, b2 bigint, b3 bigint, in_train boolean, in_eval boolean"
-    posts = stored(known.records.select("id", "seqs", "chunks", "lengths", "in_train", "in_eval", "keys", "counts").mapInArrow(run, schema), "chunk-postings")
-    return posts.where("in_train").withColumn("train", F.lit(True)).unionByName(posts.where("in_eval").withColumn("train", F.lit(False))).drop("in_train", "in_eval")
+    return store(known.records.select("id", "seqs", "chunks", "lengths", "in_train", "in_eval", "keys", "counts").mapInArrow(run, schema), "chunk-postings")
 
 
 def _proposed(records: DataFrame, similarity: float) -> DataFrame:
@@ -154,7 +153,9 @@ def _proposed(records: DataFrame, similarity: float) -> DataFrame:
     The lengths of shared chunks are summed over the deciding ones; what the records hold behind the last of these
     bounds the rest.
     """
-    posts = _postings(neardup.with_frequencies(records, "chunks"))
+    kept = _postings(neardup.with_frequencies(records, "chunks"))
+    sided = lambda held, train: kept.df.where(held).withColumn("train", F.lit(train)).drop("in_train", "in_eval")
+    posts = sided("in_train", True).unionByName(sided("in_eval", False))
     t, both = F.lit(similarity), F.col("t_size") + F.col("e_size")
     differ = sum((F.bit_count(F.col(f"t_b{k}").bitwiseXOR(F.col(f"e_b{k}"))) for k in range(4)), F.lit(0))
     near = (F.col("t_id") != F.col("e_id")) & (F.least("t_size", "e_size") >= t * F.greatest("t_size", "e_size") - 1e-6) & ((both - differ) / 2 >= t / (1 + t) * both - 1e-6)
@@ -162,7 +163,9 @@ def _proposed(records: DataFrame, similarity: float) -> DataFrame:
     shared = cells.groupBy("t_id", "e_id").agg(
         F.sum(F.least("t_length", "e_length")).alias("shared"), F.min(F.least("t_left", "e_left")).alias("left"), F.first(F.least("t_words", "e_words")).alias("words")
     )
-    return shared.where(F.col("shared") + F.col("left") >= LEAST_OVERLAP * F.col("words")).select("t_id", "e_id")
+    out = stored(shared.where(F.col("shared") + F.col("left") >= LEAST_OVERLAP * F.col("words")).select("t_id", "e_id"), "proposed")
+    kept.drop()
+    return out
 
 
 def similar_reps(table: DataFrame, similarity: float = neardup.SIMILARITY, exact: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -181,7 +184,7 @@ def similar_reps(table: DataFrame, similarity: float = neardup.SIMILARITY, exact
         ends = xy.union(xy.select("y", "x")).toDF("t_id", "e_id")
         near = ends.join(kinds.where("in_train").select(F.col("id").alias("t_id")), "t_id").join(kinds.where("in_eval").select(F.col("id").alias("e_id")), "e_id").select("t_id", "e_id")
     else:
-        pairs = stored(_proposed(records, similarity), "proposed")
+        pairs = _proposed(records, similarity)
         ends = stored(pairs.select("t_id").union(pairs.select("e_id")).distinct().toDF("id"), "proposed-ends")
         few = records.join(ends, "id", "left_semi")  # most records are in no pair
         of = lambda s: few.select(F.col("id").alias(f"{s}_id"), F.col("size").alias(f"{s}_size"), F.col("seqs").alias(f"{s}_seqs"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sedgeline.llm import common, copies, shingles, splits
-from sedgeline.scratch import stored
+from sedgeline.scratch import store, stored
 
 #: Words in a sequence, and the least similarity (common over all distinct sequences).
 SEQUENCE, SIMILARITY = 3, 0.6
@@ -219,8 +219,9 @@ def similar(records: DataFrame, similarity: float = SIMILARITY, counters: int |
     (fewer words than a sequence) are similar to none. counters: the most counters of the frequency table.
     """
     records = records.where("size > 0")
-    posts = stored(postings(with_frequencies(records, "seqs", counters), similarity), "postings")
-    pairs = stored(_candidates(posts, similarity), "candidates")
+    posts = store(postings(with_frequencies(records, "seqs", counters), similarity), "postings")
+    pairs = stored(_candidates(posts.df, similarity), "candidates")
+    posts.drop()
     ends = stored(pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "id"), "candidate-ends")
     records = records.join(ends, "id", "left_semi")  # most records are in no pair
     of = lambda s: records.select(F.col("id").alias(s), F.col("size").alias(f"{s}_size"), F.col("seqs").alias(f"{s}_seqs"))
