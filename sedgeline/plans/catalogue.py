@@ -65,6 +65,15 @@ def firewall_decisions(spark, d):
     return checked.groupBy("decision.allowed", "decision.exact_match", "decision.template_match").agg(F.count(F.lit(1)).alias("row_count"))
 
 
+@query(f"""
+WITH {FROZEN} SELECT exact AS exact_prompt_hash, row_number() OVER (ORDER BY exact) - 1 AS ordinal FROM (SELECT DISTINCT exact FROM frozen_)""")
+def frozen_hashes(spark, d):
+    """The frozen hashes, each once, in their order."""
+    inv = table(spark, d, "inventory").where(text.split_name(F.col("source_split")) != "train").select(F.col("canonical_prompt").alias("prompt"))
+    entries = firewall.freeze(inv.unionByName(table(spark, d, "eval_items").select(F.col("text").alias("prompt"))))
+    return ordinal.with_ordinal(firewall.hash_sets(entries)[0], "exact_prompt_hash")
+
+
 @query(f"SELECT doc_id, sha256({norm0('text')}) AS h FROM documents")
 def norm_v0_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", identity.hash_v0(F.col("text")).alias("h"))
@@ -291,9 +300,11 @@ def macro_micro(spark, d):
 _COMPOSITE = "0.3 * 100.0 * least(1.0, p_size / 15.0) + 0.2 * greatest(0.0, least(100.0, 100.0 * (7.0 - 4 * p_retailprice / 1024.0) / 7.0))"
 
 
-@query(f"SELECT p_partkey, round({_COMPOSITE}, 4) AS composite FROM part WHERE 4 * p_retailprice <= 7000 ORDER BY round({_COMPOSITE}, 2) DESC, p_partkey LIMIT 1")
+@query(f"SELECT p_partkey, round({_COMPOSITE}, 4) AS composite FROM part WHERE 4 * p_retailprice <= 7000 AND p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 ORDER BY round({_COMPOSITE}, 2) DESC, p_partkey LIMIT 1")
 def composite_winner(spark, d):
-    profiles = table(spark, d, "part").select("p_partkey", F.col("p_size").alias("tps"), (4 * F.col("p_retailprice")).alias("peak_rss_mb"), F.lit(None).cast("double").alias("arc"))
+    """Over profiles of which some have no or a zero memory measure, which don't fit the budget."""
+    rss = F.when(F.col("p_partkey") % 7 == 0, None).when(F.col("p_partkey") % 11 == 0, 0.0).otherwise(4 * F.col("p_retailprice"))
+    profiles = table(spark, d, "part").select("p_partkey", F.col("p_size").alias("tps"), rss.alias("peak_rss_mb"), F.lit(None).cast("double").alias("arc"))
     best = scoring.winner(scoring.composite(profiles), "p_partkey")
     return best.select("p_partkey", F.round("composite", 4).alias("composite"))
 

@@ -532,3 +532,34 @@ def events_tumbling_stream(spark, d):
     counted.writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     out = spark.read.parquet(f"{base}/out").groupBy("window_start", "event_type").agg(F.max_by(F.struct("n", "total"), "part").alias("s"))
     return out.select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "s.n", F.round("s.total", 4).alias("total"))
+
+
+@query("""
+SELECT item_id, CASE item_id % 6 WHEN 0 THEN behavior WHEN 1 THEN subject WHEN 2 THEN subject WHEN 3 THEN subject WHEN 4 THEN '7' ELSE '' END AS gold FROM eval_items""")
+def gold_answers(spark, d):
+    """Gold answers as given, else from a raw record's number, answer, target or label, else empty."""
+    s = F.col("subject")
+    raws = [F.to_json(F.struct(s.alias("target"))), F.to_json(F.struct(s.alias("answer"), F.lit("x").alias("label"))), F.to_json(F.struct(F.lit(" ").alias("answer"), s.alias("target"))), F.to_json(F.struct(s.alias("label"))), F.to_json(F.struct(F.lit(7).alias("answer_number"), s.alias("answer"))), F.lit("{}")]
+    raw = F.element_at(F.array(*raws), (F.col("item_id") % 6 + 1).cast("int"))
+    given = F.when(F.col("item_id") % 6 == 0, F.col("behavior")).otherwise(" ")
+    return table(spark, d, "eval_items").select("item_id", prompts.gold_answer(given, raw).alias("gold"))
+
+
+@query(f"""
+WITH b AS (SELECT count(*) AS n FROM documents WHERE {norm1('text')} IN (SELECT {norm1('text')} FROM eval_items) OR {template('text')} IN (SELECT {template('text')} FROM eval_items))
+SELECT CASE WHEN n > 0 THEN 'refused' ELSE 'allowed' END AS outcome, 'allowed' AS without_them FROM b""")
+def firewall_assertion(spark, d):
+    """Whether the documents may be candidates: refused if any equals a frozen item, and allowed once all that hit are left out."""
+    items = table(spark, d, "eval_items").select(F.col("text").alias("prompt"))
+    sets = firewall.hash_sets(firewall.freeze(items))
+    docs = firewall.hashed(table(spark, d, "documents").select("doc_id", F.col("text").alias("prompt")))
+
+    def outcome(df):
+        try:
+            firewall.assert_allowed(df, *sets)
+            return "allowed"
+        except ValueError:
+            return "refused"
+
+    rest = firewall.check(docs, *sets).where("decision.allowed").drop("decision")
+    return spark.createDataFrame([(outcome(docs), outcome(rest))], "outcome string, without_them string")

@@ -237,3 +237,11 @@ def test_neighbors_edge_cases(spark):
     got = [(r.query_id, r.neighbor_id) for r in neighbors.cosine_neighbors(df.where("vec_id = 0"), df, 5).orderBy(F.col("cosine").desc()).collect()]
     assert got == [(0, 5), (0, 1)]
     assert neighbors.cosine_neighbors(df.limit(0), df, 5).count() == 0
+
+
+def test_strict_census_names_unknown_sources(spark):
+    inv = spark.createDataFrame([(1, "gone", "train", "secondary_9_12", "permissive", True, None)], "record_no int, source_id string, source_split string, grade_band string, license_class string, hard_gate_pass boolean, rejection_reasons array<string>")
+    src = spark.createDataFrame([("s", True, "r", "train", "permissive")], SOURCE)
+    with pytest.raises(Exception, match="unknown source gone"):
+        census.decided(inv, src).collect()
+    assert census.decided(inv, src, strict=False).first().reasons == ["unknown_source", "frozen_eval_manifest_missing"]
