@@ -35,7 +35,7 @@ COSINE, RUN = 0.45, 12
 #: A paraphrase: cosine, words of the item's stretches around the best matching passage (or the whole of a shorter item), part
 #: of a stretch in a common subsequence with the text around there, part of the answer's words: the stretch's numbers, else
 #: its rarest quarter.
-PARAPHRASE_COSINE, PARAPHRASE_WORDS, PARAPHRASE_LCS, PARAPHRASE_KEYS = 0.45, 24, 0.6, 0.5
+PARAPHRASE_COSINE, PARAPHRASE_WORDS, PARAPHRASE_LCS, PARAPHRASE_KEYS = 0.5, 24, 0.6, 0.5
 #: Words of the items held at once; a larger set of items is searched in blocks.
 BLOCK_WORDS = 500_000
 #: Words of the corpus worked on at once in a worker.
@@ -305,13 +305,18 @@ class Items:
 
     def paraphrased(self, item: int, passage: int, own: np.ndarray) -> tuple[float, float] | None:
         """(common_part, key_part) of the best stretch around a passage that a piece of text holds as a paraphrase, or None."""
-        best, listed = None, own.tolist()
+        listed = own.tolist()
+        best, held = None, set(listed)
         for stretch in self.stretches(item, passage):
-            if np.isin(stretch, own).sum() < PARAPHRASE_LCS * len(stretch):
+            asked = stretch.tolist()
+            if sum(map(held.__contains__, asked)) < PARAPHRASE_LCS * len(asked):
                 continue  # no subsequence can be as long
-            part, keys = lcs(stretch.tolist(), listed) / len(stretch), self.keys(stretch)
-            known = len(keys.intersection(listed)) / len(keys)
-            if part >= PARAPHRASE_LCS and known >= PARAPHRASE_KEYS:
+            part = lcs(asked, listed) / len(asked)
+            if part < PARAPHRASE_LCS:
+                continue
+            keys = self.keys(stretch)
+            known = len(keys & held) / len(keys)
+            if known >= PARAPHRASE_KEYS:
                 best = max(best or (0.0, 0.0), (round(part, 6), round(known, 6)))
         return best
 
