@@ -183,17 +183,16 @@ def sqlite_rows(spark, d):
     import sqlite3
     import tempfile
     from contextlib import closing
-    from pathlib import Path
-
-    base = scratch.root(spark)
-    folder = Path(base.removeprefix("file://")) if base.startswith("file://") else Path(tempfile.mkdtemp())
-    if not base.startswith("file://") and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("SQLite files need a shared folder that is mounted on every machine")
-    folder.mkdir(parents=True, exist_ok=True)
-    path = str(folder / f"items-{uuid.uuid4().hex}.sqlite")
-    with closing(sqlite3.connect(path)) as db:
-        db.execute("CREATE TABLE items (item_id INTEGER, subject TEXT, text TEXT)")
-        rows = table(spark, d, "eval_items").select("item_id", "subject", "text").toLocalIterator()
-        db.executemany("INSERT INTO items VALUES (?, ?, ?)", (tuple(r) for r in rows))
-        db.commit()
-    return readers.sqlite_table(spark, path, "items", "item_id bigint, subject string, text string", rows_a_task=100)
+
+    to = f"{_to(spark, 'items')}.sqlite"
+    with tempfile.TemporaryDirectory(prefix="sedgeline-sqlite-") as folder:
+        made = f"{folder}/items.sqlite"
+        with closing(sqlite3.connect(made)) as db:
+            db.execute("CREATE TABLE items (item_id INTEGER, subject TEXT, text TEXT)")
+            rows = table(spark, d, "eval_items").select("item_id", "subject", "text").toLocalIterator()
+            db.executemany("INSERT INTO items VALUES (?, ?, ?)", (tuple(r) for r in rows))
+            db.commit()
+        # made on a disk of the driver and copied as a whole: the shared folder may be any file system, with locks or without
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        at(to).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(False, True, at(f"file://{made}"), at(to))
+    return readers.sqlite_table(spark, to, "items", "item_id bigint, subject string, text string", rows_a_task=100, frozen=True)

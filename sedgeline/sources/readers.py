@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import json
+import shutil
 import sqlite3
+import tempfile
+import uuid
 from collections.abc import Iterable
 from contextlib import closing
 from pathlib import Path
 
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -182,14 +187,34 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return listed.repartition("path").mapInArrow(run, "path string, bytes bigint, sha256 string, n_lines bigint").orderBy("path")
 
 
-def sqlite_table(spark: SparkSession, path: str, name: str, schema: str, rows_a_task: int = 1_000_000) -> DataFrame:
-    """A table of a SQLite file that all executors can open, read by tasks in ranges of rowid.
+def sqlite_table(spark: SparkSession, path: str, name: str, schema: str, rows_a_task: int = 1_000_000, frozen: bool = False) -> DataFrame:
+    """A table of a SQLite file, read by tasks in ranges of rowid.
+
+    path: as Spark's other readers have it, with or without a scheme. On a disk, which all executors must share, tasks open
+    the file in place. SQLite reads at random, so of a file on another system the driver and each executor keep one copy, to which
+    its write-ahead log must have been added. frozen: nothing writes to the file any more, so it is opened without locks,
+    which some shared folders lack.
 
     The driver asks for the smallest and greatest rowid only. A table without rowids is streamed by one task.
     """
     kind = spark.createDataFrame([], schema).schema
     wanted = ", ".join(f'"{f.name}"' for f in kind.fields)
-    with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    system = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    source = system.makeQualified(at(path))
+    place, fetched = source.toUri().getPath(), None
+    if source.toUri().getScheme() != "file":
+        folder = tempfile.mkdtemp(prefix="sedgeline-sqlite-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        fetched, frozen = f"{uuid.uuid4().hex}.sqlite", True
+        place = f"{folder}/{fetched}"
+        system.copyToLocalFile(False, source, at(f"file://{place}"), True)
+        spark.sparkContext.addFile(place)
+
+    def opened(place):
+        return closing(sqlite3.connect(f"{Path(place).as_uri()}?mode=ro{'&immutable=1' if frozen else ''}", uri=True))
+
+    with opened(place) as db:
         try:
             low, high = db.execute(f'SELECT min(rowid), max(rowid) FROM "{name}"').fetchone()
             ranges = [] if low is None else [(a, a + rows_a_task) for a in range(low, high + 1, rows_a_task)]
@@ -202,7 +227,7 @@ def sqlite_table(spark: SparkSession, path: str, name: str, schema: str, rows_a_
     def run(batches):
         for batch in batches:
             for low, high in zip(*(c.to_pylist() for c in batch.columns)):
-                with closing(sqlite3.connect(f"file:{path}?mode=ro", uri=True)) as db:
+                with opened(SparkFiles.get(fetched) if fetched else place) as db:
                     part = "" if low is None else f" WHERE rowid >= {low} AND rowid < {high}"
                     cursor = db.execute(f'SELECT {wanted} FROM "{name}"{part}')
                     while rows := cursor.fetchmany(20_000):

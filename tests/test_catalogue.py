@@ -7,6 +7,7 @@ import os
 import duckdb
 import pytest
 
+from sedgeline import scratch
 from sedgeline.plans import catalogue
 
 
@@ -78,3 +79,15 @@ def test_wrong_answers_of_decimals(spark, tmp_path):
     spark.createDataFrame([(1, "so #### 2.5"), (2, "so #### 7"), (3, "so #### 0")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.wrong for r in catalogue.QUERIES["wrong_answers"](spark, str(tmp_path)).collect()}
     assert got == {1: "3.5", 2: "8", 3: "-1"}
+
+
+@pytest.mark.parametrize("kind", ["{}", "file:{}", "file://{}", "viewfs://sedgeline{}"])
+def test_sqlite_rows_on_a_cluster_with_any_shared_folder(spark, data, duck, tmp_path, monkeypatch, kind):
+    folder = tmp_path / "a folder#1 of 50%?"
+    folder.mkdir()
+    spark.sparkContext._jsc.hadoopConfiguration().set(f"fs.viewfs.mounttable.sedgeline.link.{tmp_path}", f"file://{tmp_path}")
+    monkeypatch.setattr(scratch, "root", lambda _: kind.format(folder))
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    got = sorted(tuple(r) for r in catalogue.QUERIES["sqlite_rows"](spark, data).collect())
+    assert got == sorted(duck.execute(catalogue.ORACLE_SQL["sqlite_rows"]).fetchall())
+    assert len(list(folder.glob("items-*.sqlite"))) == 1
