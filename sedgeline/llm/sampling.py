@@ -10,6 +10,8 @@ nothing moves; what still lacks cannot be met and is reported.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,25 +49,23 @@ def supply(plan: DataFrame, cells: DataFrame, inventory: DataFrame) -> DataFrame
     return targets(plan, cells).join(small(n), ["subject", "behavior"], "left").withColumn("supply", F.coalesce("supply", F.lit(0)))
 
 
-def found(plan: DataFrame, cells: DataFrame, inventory: DataFrame) -> DataFrame:
-    """(sample_name, subject, behavior) of the cells with fewer records than their minimum or target."""
-    need = F.greatest(F.col("minimum").cast("double"), F.col("share") * F.col("sample_size"))
-    return supply(plan, cells, inventory).where(F.col("supply") < need).select("sample_name", "subject", "behavior")
-
-
 def rake(lines: list[dict]) -> dict[tuple[str, str], float]:
     """The quota of each cell of one sample, by proportional fitting.
 
     A cell's target is its share of the sample size; shares that add up to more than
-    1 are scaled to 1. Every cell keeps its target as far as it is supplied, its margin. What cells lack is raked over
+    1 are scaled to 1. Of several lines of a cell the largest share counts, one that is negative or no number is none. Every cell keeps its target as far as it is supplied, its margin. What cells lack is raked over
     the others: in turn the cells of each subject, of each behavior, and all of them are scaled to what their targets
     add up to, up within their supply, down to their own targets at most. Margins of subjects and behaviors can pull
     against each other, so each step goes half the way; the sum of all is met as far as there are
     records. Cells without a target get none.
     """
     size = max((x["sample_size"] for x in lines), default=0)
-    whole = sum(x["share"] for x in lines)
-    want = {(x["subject"], x["behavior"]): x["share"] / max(1.0, whole) * size for x in lines}
+    share: dict = {}
+    for x in lines:
+        c = (x["subject"], x["behavior"])
+        share[c] = max(share.get(c, 0.0), x["share"] if 0 < x["share"] < math.inf else 0.0)
+    whole = sum(share.values())
+    want = {c: v / max(1.0, whole) * size for c, v in share.items()}
     room = {(x["subject"], x["behavior"]): float(x["supply"]) for x in lines}
     base = {c: min(room[c], want[c]) for c in want}
     got = dict(base)
@@ -114,7 +114,7 @@ def _state(inventory: DataFrame, lines: DataFrame) -> DataFrame:
     -ln(u) / weight with u from a hash, so a cell is chosen in proportion to its weight; h: a 30-bit number
     that grows with this key. All from the row itself and the plan's lines, without a shuffle.
     """
-    wanted = lines.where("supply > 0 and (minimum > 0 or quota > 0)").select("sample_name", "subject", "behavior", "weight")
+    wanted = lines.where("supply > 0 and (minimum > 0 or quota > 0)").select("sample_name", "subject", "behavior", "weight").distinct()
     cells = wanted.groupBy("sample_name", "subject").agg(F.map_from_entries(F.collect_list(F.struct("behavior", "weight"))).alias("cells"))  # behaviors of a plan
     own = F.array_sort(F.array_distinct(F.filter(F.transform("eligible_behaviors", behavior_name), lambda b: b.isNotNull())))
     rows = inventory.select(F.col("record_no").cast("long").alias("record_no"), common.subject_name(F.col("subject")).alias("subject"), own.alias("own")).where("size(own) > 0")
@@ -245,7 +245,7 @@ def _drawn(plan: DataFrame, cells: DataFrame, inventory: DataFrame) -> tuple[Dat
         goal.setdefault(of, {})[r.behavior] = min(max(r.minimum, r.quota), r.supply)
     chosen = stored(_state(inventory, lines), "sample-choices")
     # cells take the smallest keys up to their quota
-    budget = budgets._few(lines.select(_cell("behavior").alias("line"), _cell("behavior").alias("cell"), F.col("quota").alias("budget")).where("budget > 0"))
+    budget = budgets._few(lines.select(_cell("behavior").alias("line"), _cell("behavior").alias("cell"), F.col("quota").alias("budget")).where("budget > 0").distinct())
     items = chosen.where("first is not null").select(_cell("first").alias("cell"), "h", F.lit(1).alias("size"))
     cut = F.broadcast(budgets._few(budgets.thresholds(items, budget)).select(F.col("line").alias("_cell"), "threshold"))  # a plan's lines
     met = chosen.join(cut, _cell("first") == F.col("_cell"), "left")
@@ -259,7 +259,7 @@ def _drawn(plan: DataFrame, cells: DataFrame, inventory: DataFrame) -> tuple[Dat
         moves = {}
         for of, n in counts.items():
             for (kind, at), to in exchange(n, least[of], goal[of]).items():
-                moves["\u001f".join([*of, "\u001e".join(kind), at or ""])] = to
+                moves["\u001f".join([*(x for x in of if x is not None), "\u001e".join(kind), at or ""])] = to  # as _group has it
         if not moves:
             break
         salt += 1  # the rare records that share all bits of a hash are apart in the next round
@@ -272,12 +272,24 @@ def draw(plan: DataFrame, cells: DataFrame, inventory: DataFrame) -> DataFrame:
     return _drawn(plan, cells, inventory)[1]
 
 
-def gaps(plan: DataFrame, cells: DataFrame, inventory: DataFrame) -> DataFrame:
-    """(sample_name, subject, behavior, target_share, share, drawn, minimum, missing): what a sample
-    reaches; missing: records below the larger of minimum and target."""
+def _reached(plan: DataFrame, cells: DataFrame, inventory: DataFrame) -> DataFrame:
+    """The fitted lines with ``drawn``, the records that their cell has in its sample."""
     lines, sample = _drawn(plan, cells, inventory)
     by = ["sample_name", "subject", "behavior"]
     n = sample.groupBy(*by).agg(F.count(F.lit(1)).alias("drawn"))
-    out = lines.join(F.broadcast(n), by, "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+    return lines.join(F.broadcast(n), by, "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
+
+
+def found(plan: DataFrame, cells: DataFrame, inventory: DataFrame) -> DataFrame:
+    """(sample_name, subject, behavior) of the cells that cannot be met: what is drawn for them is below their minimum or
+    target, and with all records of the cell, also those that other cells have taken, it still were."""
+    need = F.greatest(F.col("minimum").cast("double"), F.col("share") * F.col("sample_size"))
+    return _reached(plan, cells, inventory).where((F.col("drawn") < need) & (F.col("supply") < need)).select("sample_name", "subject", "behavior")
+
+
+def gaps(plan: DataFrame, cells: DataFrame, inventory: DataFrame) -> DataFrame:
+    """(sample_name, subject, behavior, target_share, share, drawn, minimum, missing): what a sample
+    reaches; missing: records below the larger of minimum and target."""
+    out = _reached(plan, cells, inventory)
     need = F.ceil(F.greatest(F.col("minimum").cast("double"), F.round(F.col("share") * F.col("sample_size"), 6)))
-    return out.select(*by, F.col("share").alias("target_share"), F.round(F.when(F.col("sample_size") > 0, F.col("drawn") / F.col("sample_size")), 6).alias("share"), "drawn", "minimum", F.greatest(need - F.col("drawn"), F.lit(0)).alias("missing"))
+    return out.select("sample_name", "subject", "behavior", F.col("share").alias("target_share"), F.round(F.when(F.col("sample_size") > 0, F.col("drawn") / F.col("sample_size")), 6).alias("share"), "drawn", "minimum", F.greatest(need - F.col("drawn"), F.lit(0)).alias("missing"))

@@ -81,6 +81,32 @@ def test_sample(spark, inventory):
     assert sampling.draw(t[0].limit(0), t[1], t[2]).count() == 0
 
 
+def test_found_comes_through_the_draw(spark, inventory, monkeypatch):
+    ran = []
+    for module, step in ((sampling, "rake"), (sampling, "_state"), (budgets, "thresholds"), (sampling, "exchange")):
+        monkeypatch.setattr(module, step, lambda *a, f=getattr(module, step), step=step: (ran.append(step), f(*a))[1])
+    t = sample_tables(spark, inventory)
+    assert {tuple(r) for r in sampling.found(*t).collect()} == {("s", "physics", "hint"), ("t", "biology", "solve")}
+    assert set(ran) == {"rake", "_state", "thresholds", "exchange"}
+
+
+def test_found_in_odd_plans(spark, inventory):
+    plan, cells, inv = sample_tables(spark, inventory)
+    inf = float("inf")
+    odd = [("s", "Maths", "solve", 0.4, 100), ("s", "math", "solve", 9.0, 100), (None, "math", "solve", 0.4, 100), (None, "math", "explain", 0.9, 100), (None, "physics", "solve", 0.5, 100), ("u", "math", "solve", float("nan"), 100), ("u", "math", "explain", -1.0, 100), ("u", "physics", "solve", inf, 100), ("u", "physics", "hint", 0.1, None), ("u", None, "solve", 0.1, 100), ("u", "math", None, 0.1, 100)]
+    all_ = plan.union(spark.createDataFrame(odd, PLAN))
+    have = {("math", "solve"): 300, ("math", "explain"): 300, ("physics", "solve"): 40, ("physics", "hint"): 1}
+    least = {("math", "explain"): 30, ("physics", "hint"): 3, ("physics", "solve"): 10}
+    want = []
+    for name, subject, behavior, share, size in (tuple(r) for r in all_.collect()):
+        cell = (subject and subject.lower().replace("maths", "math"), behavior)
+        target = (share or 0.0) * (size or 0)
+        if target != target or have.get(cell, 0) < max(least.get(cell, 0), target):
+            want.append((name, *cell))
+    assert sorted((tuple(r) for r in sampling.found(all_, cells, inv).collect()), key=str) == sorted(want, key=str)
+    assert sampling.draw(all_, cells, inv).groupBy("sample_name", "record_no").count().where("count > 1").count() == 0
+
+
 def test_rake_moves_what_a_cell_lacks():
     line = lambda s, b, share, supply: {"subject": s, "behavior": b, "share": share, "sample_size": 100, "supply": supply}
     got = sampling.rake([line("m", "x", 0.25, 10), line("m", "y", 0.25, 500), line("p", "x", 0.25, 500), line("p", "y", 0.25, 500)])
